@@ -48,6 +48,12 @@ class Tables:
             _STAGED[key] = path
         return self.spark.read.parquet(path)
 
+    def staged_copy(self, df: DataFrame) -> DataFrame:
+        """A one-off written copy (for a table about to be replaced)."""
+        path = work_dir(self.spark, "copy")
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def raw(self, name: str) -> DataFrame:
         return adapter.table(self.spark, self.sf_dir, name)
 
