@@ -1,5 +1,5 @@
 """Imports every module that defines fragments or final statements."""
 
 import retailflow.plans.catalogue  # noqa: F401
-from oracle import domain, f_core, f_scan, facts  # noqa: F401
+from oracle import domain, f_core, f_join, f_scan, facts  # noqa: F401
 from oracle.finals import FINALS  # noqa: F401

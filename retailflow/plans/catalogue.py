@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from retailflow.plans import q_core, q_scan  # noqa: F401
+from retailflow.plans import q_core, q_join, q_scan  # noqa: F401
 from retailflow.plans.registry import QUERIES  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retailflow.functions import scalars as S
 from retailflow.functions.ranking import group_rank, top_k
 from retailflow.operators import calendar, catalog, consign, inventory, sinks
+from retailflow.operators.pos_history import closed_season, drop_reason
 from retailflow.plans.registry import query
 from retailflow.session import work_dir
 from retailflow.sources import adapter, files, html
@@ -397,31 +398,11 @@ def p04(t):
     return per_season(t, calendar.active_seasons(t.spark, 2027))
 
 
-def closed_season(sku):
-    """Fixed classifier of the closed seasons (pre-seasons fold in)."""
-    seg = S.season_segment(sku)
-    return (
-        F.when(seg.rlike("^(rs|ps|s)26"), "spring26")
-        .when(seg.rlike("^(pf|f)26"), "fall26")
-        .when(seg.rlike("^(rs|ps|s)25"), "spring25")
-        .when(seg.rlike("^(pf|f)25"), "fall25")
-    )
-
-
 @query("p05_closed_season_classifier", "pid:i season:s")
 def p05(t):
     return t.catalog.select("pid", F.coalesce(closed_season("sku"), F.lit("other")).alias("season"))
 
 
-def drop_reason(sku):
-    seg = S.season_segment(sku)
-    code = S.nonblank(F.regexp_extract(seg, r"^(?:rs|ps|pf|s|f)?\d{2}", 0))
-    return F.when(~F.contains(S.sku_of(sku), F.lit("/")), "no-slash").when(
-        closed_season(sku).isNull(),
-        F.concat(F.lit("other-season:"), F.coalesce(code, F.substring(seg, 1, 4), F.lit(""))),
-    )
-
-
 @query("p06_classifier_with_reason", "pid:i season:s reason:s")
 def p06(t):
     return t.catalog.select(
@@ -510,7 +491,8 @@ def p14(t):
 
 @query("p15_open_headers", "consignment_id:i status:s")
 def p15(t):
-    closed = ["RECEIVED", "COMPLETE", "COMPLETED", "CLOSED", "CANCELLED", "VOIDED"]
+    # Header statuses that are no longer open.
+    closed = ["RECEIVED", "COMPLETE", "COMPLETED", "CLOSED", "CANCELLED", "CANCELED", "VOIDED"]
     heads = t.raw_consign_lines.filter(
         F.col("deleted_at").isNull() & ~S.compact_status("status").isin(closed)
     )
