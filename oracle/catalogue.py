@@ -1,5 +1,8 @@
 """Imports every module that defines fragments or final statements."""
 
 import retailflow.plans.catalogue  # noqa: F401
-from oracle import domain, f_core, f_join, f_scan, facts  # noqa: F401
-from oracle.finals import FINALS  # noqa: F401
+from oracle import domain, f_agg, f_core, f_join, f_scan, facts  # noqa: F401
+from oracle import statement
+from oracle.finals import FINALS
+
+STATEMENTS = {name: statement(sql) for name, sql in FINALS.items()}

@@ -216,7 +216,8 @@ SELECT l_orderkey AS consignment_id,
     END AS date,
   l_partkey AS pid,
   CASE WHEN l_orderkey % 43 = 0 THEN -{_Q} ELSE {_Q} END AS "count",
-  CASE WHEN l_linestatus = 'F' THEN {_Q} ELSE CAST(floor(l_quantity / 2) AS BIGINT) END AS received
+  CASE WHEN l_linestatus = 'F' OR l_partkey % 9 < 6 THEN {_Q}
+    ELSE CAST(floor(l_quantity / 2) AS BIGINT) END AS received
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 fragment(
@@ -236,7 +237,7 @@ fragment(
 SELECT l_partkey AS pid,
   CASE WHEN l_linenumber % 2 = 0 OR l_suppkey % 4 <> 0 THEN CAST(l_suppkey % 4 AS VARCHAR)
     ELSE '__default__' END AS outlet,
-  CAST(l_quantity AS BIGINT) AS amount,
+  CAST(CASE WHEN l_partkey % 4 = 0 THEN l_quantity ELSE 0 END AS BIGINT) AS amount,
   (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS version
 FROM lineitem WHERE l_linenumber NOT IN (2, 7)""",
 )

@@ -224,17 +224,14 @@ def u03(t):
 @query("u04_pid_to_sku_sources", "pid:i sku:s")
 def u04(t):
     """Direct maps: the last source wins; inverted SKU maps only fill gaps, first wins."""
-    pid = F.col("pid")
-
-    def source(df, rank, direct, inverted):
-        d = df.filter(direct).select("pid", "sku", F.lit(-rank).alias("prio"))
-        i = df.filter(inverted).select("pid", S.sku_of("sku").alias("sku"), F.lit(rank).alias("prio"))
-        return d.union(i)
-
-    both = source(t.prior_products, 1, pid % 2 == 0, pid % 3 == 0).union(
-        source(t.catalog, 2, pid % 5 == 0, pid % 7 != 0)
+    scan = F.col("scan")
+    direct = F.col("kind") == "direct"
+    rows = t.sku_maps.select(
+        "pid",
+        F.when(direct, F.col("sku")).otherwise(S.sku_of("sku")).alias("sku"),
+        F.when(direct, -scan).otherwise(scan).alias("prio"),
     )
-    return both.filter("sku <> ''").groupBy("pid").agg(F.min_by("sku", "prio").alias("sku"))
+    return rows.filter("sku <> ''").groupBy("pid").agg(F.min_by("sku", "prio").alias("sku"))
 
 
 @query("u05_returns_union", "season:s sku:s pos_units:i import_units:i units:i")

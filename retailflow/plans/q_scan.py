@@ -25,20 +25,10 @@ def s01(t):
     return t.catalog
 
 
-def catalog_updates(t):
-    """A later page of the catalog feed: some products with a new price."""
-    return t.catalog.filter(F.col("pid") % 5 == 0).withColumns(
-        {
-            "version": F.col("version") + adapter.VERSION_LAYER,
-            "price": (F.col("price") + 1).cast("decimal(10,2)"),
-        }
-    )
-
-
 @query("s02_incremental_catalog_read", "pid:i price:d version:i")
 def s02(t):
-    stored = t.catalog
-    feed = stored.unionByName(catalog_updates(t))
+    stored = t.catalog.select("pid", "price", "version")
+    feed = stored.unionByName(t.catalog_updates)
     cursor = stored.agg(F.max("version")).scalar()
     fresh = feed.filter(F.col("version") > cursor)
     rows = stored.unionByName(fresh).groupBy("pid")
@@ -211,11 +201,7 @@ def s15(t):
 
 @query("s16_csv_audit_read", "product_id:s")
 def s16(t):
-    pid = F.col("pid")
-    status = F.when(pid % 4 == 0, "ok").when(pid % 4 == 1, "").when(pid % 4 == 2, "error")
-    rows = t.catalog.select(
-        (pid / 2).cast("bigint").alias("product_id"), "name", status.alias("status")
-    )
+    rows = t.audit_log.withColumnRenamed("pid", "product_id")
     path = work_dir(t.spark, "audit")
     rows.write.option("header", True).csv(path)
     return files.read_audit_ids(t.spark, path)
@@ -517,15 +503,10 @@ def p17(t):
     """Legacy SKUs not mapped to a product whose handle is not known dead."""
     skus = t.legacy.select(S.sku_of("style").alias("sku_key")).filter("sku_key <> ''").distinct()
     mapped = t.catalog.select(S.sku_of("sku").alias("sku_key"))
-    dead = t.prior_products.filter(F.col("pid") % 5 == 0).select(
-        S.handle_for_sku(F.concat(F.lit("x"), F.col("pid").cast("string"), F.lit("/s25"))).alias(
-            "handle"
-        )
-    )
     wanted = skus.join(mapped, "sku_key", "left_anti").withColumn(
         "handle", S.handle_for_sku("sku_key")
     )
-    return wanted.join(dead, "handle", "left_anti")
+    return wanted.join(t.dead_handles, "handle", "left_anti")
 
 
 @query("p18_uncategorized_rows", "season:s pid:i sku:s vendor_name:s ordered:i received:i sold:i")

@@ -225,7 +225,7 @@ def raw_consign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 41 != 0, F.add_months(F.to_date("o_orderdate"), 26 * 12)).alias("date"),
         F.col("l_partkey").alias("pid"),
         F.when(key % 43 == 0, -qty).otherwise(qty).alias("count"),
-        F.when(F.col("l_linestatus") == "F", qty)
+        F.when((F.col("l_linestatus") == "F") | (F.col("l_partkey") % 9 < 6), qty)
         .otherwise(F.floor(F.col("l_quantity") / 2).cast("bigint"))
         .alias("received"),
     )
@@ -244,9 +244,12 @@ def consign_version_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory updates; amounts and outlets arrive under varying names."""
+    """Inventory updates; amounts and outlets arrive under varying names.
+
+    Three of four products are sold out in every outlet.
+    """
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
-    amount = F.col("l_quantity")
+    amount = F.when(F.col("l_partkey") % 4 == 0, F.col("l_quantity")).otherwise(F.lit(0.0))
     outlet = (supp % 4).cast("string")
     return table(spark, sf_dir, "lineitem").select(
         F.when(line == 7, F.lit(None)).otherwise(F.col("l_partkey")).alias("product_id"),
@@ -464,3 +467,55 @@ def counter_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     epoch = F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 10)
     return per_hour.withColumn("epoch", epoch.cast("bigint"))
+
+
+def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page of the product feed: (pid, price, version) of re-priced products."""
+    pid = F.col("p_partkey")
+    price = F.when(pid % 17 == 0, F.lit(0)).otherwise(_dec("p_retailprice"))
+    return (
+        table(spark, sf_dir, "part")
+        .filter(pid % 5 == 0)
+        .select(
+            pid.alias("pid"),
+            (price.cast("decimal(10,2)") + 1).cast("decimal(10,2)").alias("price"),
+            (pid + VERSION_LAYER).alias("version"),
+        )
+    )
+
+
+def sku_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial pid / SKU maps of two scans; ``inverted`` ones are keyed by SKU."""
+    pid = F.col("p_partkey")
+    shift = F.when(pid % 7 == 0, 1).otherwise(0)
+
+    def entries(scan, sku, direct, inverted):
+        kind = F.array_compact(
+            F.array(F.when(direct, F.lit("direct")), F.when(inverted, F.lit("inverted")))
+        )
+        return table(spark, sf_dir, "part").select(
+            pid.alias("pid"), sku.alias("sku"), F.lit(scan).alias("scan"),
+            F.explode(kind).alias("kind"),
+        )
+
+    older = entries(1, _sku(shift), (pid % 2 == 0) & (pid % 9 != 4), (pid % 3 == 0) & (pid % 9 != 4))
+    return older.unionByName(entries(2, _sku(), pid % 5 == 0, pid % 7 != 0))
+
+
+def dead_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles a product lookup has already failed for."""
+    pid = F.col("p_partkey")
+    return (
+        table(spark, sf_dir, "part")
+        .filter((pid % 5 == 0) & (pid % 9 != 4))
+        .select(F.concat(F.lit("x"), pid.cast("string"), F.lit("s25")).alias("handle"))
+    )
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome per product of an earlier clean-up run."""
+    pid = F.col("p_partkey")
+    status = F.when(pid % 4 == 0, "ok").when(pid % 4 == 1, "").when(pid % 4 == 2, "error")
+    return table(spark, sf_dir, "part").select(
+        (pid / 2).cast("bigint").alias("pid"), "p_name", status.alias("status")
+    )
