@@ -199,14 +199,13 @@ FROM t_bucket LEFT JOIN {c} USING (season, pid) LEFT JOIN {s} USING (pid)
 LEFT JOIN t_on_hand USING (pid)"""
 fragment("t_stats_plain", _STATS.format(c="t_consign", s="t_sales"))
 fragment("t_stats_scan", _STATS.format(c="t_consign_baked", s="t_sales_baked"))
-fragment(
-    "t_stats",
-    """
+SETTLE = """
 SELECT * REPLACE (CASE WHEN pid % 43 = 0 THEN NULL WHEN pid % 4 = 0 THEN live_on_hand
   WHEN qty_received = 0 THEN coalesce(live_on_hand, 0)
   ELSE greatest(0, qty_received - sold - on_sale - ret_qty) END AS live_on_hand)
-FROM t_stats_scan""",
-)
+FROM {}"""
+fragment("t_stats", SETTLE.format("t_stats_scan"))
+fragment("t_fresh", SETTLE.format("t_stats_plain"))
 fragment(
     "t_legacy_in",
     f"""

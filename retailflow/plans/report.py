@@ -164,9 +164,17 @@ class Tables:
         get the stock their own facts imply; every fourth keeps its count and a
         few have none.
         """
-        base = stats.product_stats(
-            self.listed, self.season_consign(True), self.sales_totals(True), self.stock
+        return self._settled(self.season_consign(True), self.sales_totals(True))
+
+    @property
+    def fresh_stats(self) -> DataFrame:
+        """The same statistics re-derived from everything known now."""
+        return self.staged(
+            "fresh_stats", lambda: self._settled(self.season_consign(), self.sales_totals())
         )
+
+    def _settled(self, consigned: DataFrame, sold: DataFrame) -> DataFrame:
+        base = stats.product_stats(self.listed, consigned, sold, self.stock)
         settled = F.when(
             F.col("qty_received") == 0, F.coalesce("live_on_hand", F.lit(0))
         ).otherwise(S.derived_on_hand("qty_received", "sold", "on_sale", "ret_qty"))
