@@ -117,16 +117,37 @@ def _as_originals(contribs: DataFrame) -> DataFrame:
     )
 
 
+def _plain_measures() -> list:
+    """Measures when no original decides the bucket of a return."""
+    return _measures(F.lit(None).cast("string"))
+
+
+def _originals_of(lines: DataFrame, back: DataFrame, prices: DataFrame, counts=None) -> DataFrame:
+    """Contributions of just the sales that some return refers to."""
+    wanted = back.select(F.col("return_for").alias("sale_id")).distinct()
+    named = lines.join(wanted, "sale_id", "left_semi")
+    return _as_originals(
+        _partials(classify(named, prices), counts).select(*_KEYS, *_plain_measures())
+    )
+
+
 def contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Five measures per (sale, pid); one version per sale expected.
 
     A return is booked to the bucket its original sold from when that is known
     and unambiguous (one level: the original's own original is not followed).
+    Ordinary sales, the bulk of the lines, take no part in that join.
     """
-    partials = _partials(classify(live_lines(lines), prices))
-    originals = _as_originals(partials.select(*_KEYS, *_measures(F.lit(None).cast("string"))))
-    joined = _with_originals(partials, originals)
-    return joined.select(*_KEYS, *_measures(S.return_bucket("o_sold", "o_on_sale")))
+    live = live_lines(lines)
+    is_return = F.col("return_for").isNotNull()
+    back = live.filter(is_return)
+    plain = _partials(classify(live.filter(~is_return), prices))
+    joined = _with_originals(
+        _partials(classify(back, prices)), _originals_of(live, back, prices)
+    )
+    return plain.select(*_KEYS, *_plain_measures()).unionByName(
+        joined.select(*_KEYS, *_measures(S.return_bucket("o_sold", "o_on_sale")))
+    )
 
 
 def version_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
@@ -136,22 +157,32 @@ def version_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     ``counts`` is false for versions that void the sale.
     """
     ok = S.sale_counts("status") & ~S.sale_is_void("status", "deleted_at")
-    partials = _partials(classify(valid_lines(lines), prices), counts=ok)
-    originals = _as_originals(partials.select(*_KEYS, *_measures(F.lit(None).cast("string"))))
-    latest = (
-        _with_originals(partials.filter(F.col("return_for").isNotNull()), originals)
-        .groupBy("sale_id", "version", "pid")
+    valid = valid_lines(lines)
+    is_return = F.col("return_for").isNotNull()
+    back = valid.filter(is_return)
+    plain = _partials(classify(valid.filter(~is_return), prices), ok)
+    returned = _partials(classify(back, prices), ok)
+    keys = ["sale_id", "version", "pid"]
+    decided = (
+        _with_originals(returned, _originals_of(valid, back, prices, ok))
+        .groupBy(*keys)
         .agg(F.max_by(F.struct("o_sold", "o_on_sale"), F.col("o_version")).alias("o"))
     )
-    joined = partials.join(latest, ["sale_id", "version", "pid"], "left")
-    bucket = S.return_bucket("o.o_sold", "o.o_on_sale")
-    return joined.select(*_KEYS, "counts", *_measures(bucket))
+    joined = returned.join(decided, keys, "left")
+    return plain.select(*_KEYS, "counts", *_plain_measures()).unionByName(
+        joined.select(*_KEYS, "counts", *_measures(S.return_bucket("o.o_sold", "o.o_on_sale")))
+    )
 
 
 def current_versions(lines: DataFrame) -> DataFrame:
     return lines.groupBy("sale_id").agg(F.max("version").alias("version"))
 
 
+def newest(lines: DataFrame) -> DataFrame:
+    """Lines of the newest version of each sale."""
+    return lines.join(current_versions(lines), ["sale_id", "version"], "left_semi")
+
+
 def current_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Contributions of the newest version of each sale."""
     return (
@@ -172,8 +203,8 @@ def totals(contribs: DataFrame) -> DataFrame:
 def store_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Live totals per pid with the latest sale date over all history."""
     history = version_contributions(lines, prices).filter("counts")
-    newest = current_versions(lines).withColumn("_live", F.lit(True))
-    marked = history.join(newest, ["sale_id", "version"], "left")
+    current = current_versions(lines).withColumn("_live", F.lit(True))
+    marked = history.join(current, ["sale_id", "version"], "left")
     live = F.coalesce("_live", F.lit(False))
     return marked.groupBy("pid").agg(
         *[S.zero(F.sum(F.when(live, F.col(m)))).alias(m) for m in ("sold", "on_sale", "returned")],

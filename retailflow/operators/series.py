@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def counter_deltas(snapshots: DataFrame, key: str, counters: list[str]) -> DataF
         out = out.withColumn(f"d_{c}", F.col(c) - F.lag(c).over(w))
     hours = (F.col("ts") - F.col("from_ts")).cast("double") / 3600
     out = out.withColumn("hours", hours).filter("hours > 0")
-    reset = F.greatest(*[-F.col(f"d_{c}") for c in counters]) > 0
+    reset = reduce(lambda a, b: a | b, [F.col(f"d_{c}") < 0 for c in counters])
     out = out.withColumn("reset", reset)
     for c in counters:
         rate = F.floor(F.col(f"d_{c}").cast("double") / F.col("hours") * 24 + 0.5)

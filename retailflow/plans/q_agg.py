@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
@@ -19,10 +21,7 @@ SALE_SUMS = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
 
 def all_versions(t):
-    first, *rest = t.sale_version_layers
-    for layer in rest:
-        first = first.unionByName(layer)
-    return first
+    return reduce(DataFrame.unionByName, t.sale_version_layers)
 
 
 @query("a02_signed_contributions", TOTALS)
@@ -360,9 +359,7 @@ def a38(t):
 
 @query("w01_latest_version", "sale_id:i version:i status:s n_lines:i")
 def w01(t):
-    lines = all_versions(t)
-    newest = lines.join(sales.current_versions(lines), ["sale_id", "version"], "left_semi")
-    return newest.groupBy("sale_id", "version", "status").agg(F.count(F.lit(1)).alias("n_lines"))
+    return sales.newest(all_versions(t)).groupBy("sale_id", "version", "status").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("w02_first_row_per_sku", "season:s sku_key:s row_price:d row_cost:d")

@@ -22,13 +22,18 @@ def sampled(t):
 
 def checked(t):
     """Field checks of the stored scan against fresh facts (some stock unknown)."""
-    fresh = t.fresh_stats.filter("live_on_hand IS NOT NULL").select("season", "pid", "live_on_hand")
-    return t.staged(
-        "checked",
-        lambda: validate.checks(
-            t.report_rows(False), fresh, t.season_consign(), t.sales_totals(), sampled(t)
-        ),
-    )
+
+    def build():
+        rows, fresh, consigned, sold = t.together(
+            lambda: t.report_rows(False),
+            lambda: t.fresh_stats,
+            lambda: t.season_consign(),
+            lambda: t.sales_totals(),
+        )
+        fresh = fresh.filter("live_on_hand IS NOT NULL").select("season", "pid", "live_on_hand")
+        return validate.checks(rows, fresh, consigned, sold, sampled(t))
+
+    return t.staged("checked", build)
 
 
 def invariants(t):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.operators import consign, rollup
@@ -32,10 +35,8 @@ def a01(t):
 
 @query("a03_store_aggregate", TOTALS + " last_sold:s")
 def a03(t):
-    first, *rest = t.sale_version_layers
-    for layer in rest:
-        first = first.unionByName(layer)
-    return sales.store_totals(first, t.prices)
+    lines = reduce(DataFrame.unionByName, t.sale_version_layers)
+    return sales.store_totals(lines, t.prices)
 
 
 @query("a05_consignment_entry", "consignment_id:i type:s date:s pid:i " + QTYS)

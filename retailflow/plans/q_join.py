@@ -53,11 +53,10 @@ def j04(t):
 
 @query("j05_return_to_original", "sale_id:i return_for:i pid:i o_sold:i o_on_sale:i bucket:s")
 def j05(t):
-    partials = sales._partials(sales.classify(sales.live_lines(t.raw_sale_lines), t.prices))
-    originals = sales._as_originals(
-        partials.select(*sales._KEYS, *sales._measures(F.lit(None).cast("string")))
-    )
-    joined = sales._with_originals(partials.filter("return_for IS NOT NULL"), originals)
+    live = sales.live_lines(t.raw_sale_lines)
+    back = live.filter("return_for IS NOT NULL")
+    partials = sales._partials(sales.classify(back, t.prices))
+    joined = sales._with_originals(partials, sales._originals_of(live, back, t.prices))
     return joined.withColumn("bucket", S.return_bucket("o_sold", "o_on_sale"))
 
 

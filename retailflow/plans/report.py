@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ UNSEEN_CONSIGNMENT = 499
 
 
 _STAGED: dict[tuple, str] = {}
+_LOCKS: dict[tuple, Lock] = {}
+_GUARD = Lock()
+
+# Fact tables the adapter joins together; a deployment has them as tables.
+FACT_TABLES = {"raw_sale_lines", "raw_consign_lines", "pos_entries", "pos_transactions"}
 
 
 class Tables:
@@ -35,19 +43,39 @@ class Tables:
         source = getattr(adapter, name, None)
         if source is None:
             raise AttributeError(name)
-        value = source(self.spark, self.sf_dir)
+        if name in FACT_TABLES:
+            value = self.staged(name, lambda: source(self.spark, self.sf_dir))
+        else:
+            value = source(self.spark, self.sf_dir)
         setattr(self, name, value)
         return value
 
+    @property
+    def sale_version_layers(self) -> list[DataFrame]:
+        return adapter.sale_version_layers(self.raw_sale_lines)
+
+    @property
+    def consign_version_layers(self) -> list[DataFrame]:
+        return adapter.consign_version_layers(self.raw_consign_lines)
+
     def staged(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.as_of, name)
-        path = _STAGED.get(key)
-        if path is None:
-            path = work_dir(self.spark, name)
-            build().write.parquet(path)
-            _STAGED[key] = path
+        with _GUARD:
+            lock = _LOCKS.setdefault(key, Lock())
+        with lock:
+            path = _STAGED.get(key)
+            if path is None:
+                path = work_dir(self.spark, name)
+                build().write.parquet(path)
+                _STAGED[key] = path
         return self.spark.read.parquet(path)
 
+    def together(self, *tables) -> list[DataFrame]:
+        """Resolve independent tables at once, so their jobs share the cluster."""
+        bound = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return [job.result() for job in [pool.submit(bound(build)) for build in tables]]
+
     def staged_copy(self, df: DataFrame) -> DataFrame:
         """A one-off written copy (for a table about to be replaced)."""
         path = work_dir(self.spark, "copy")
@@ -164,17 +192,23 @@ class Tables:
         get the stock their own facts imply; every fourth keeps its count and a
         few have none.
         """
-        return self._settled(self.season_consign(True), self.sales_totals(True))
+        return self._settled(True)
 
     @property
     def fresh_stats(self) -> DataFrame:
         """The same statistics re-derived from everything known now."""
         return self.staged(
-            "fresh_stats", lambda: self._settled(self.season_consign(), self.sales_totals())
+            "fresh_stats", lambda: self._settled(False)
         )
 
-    def _settled(self, consigned: DataFrame, sold: DataFrame) -> DataFrame:
-        base = stats.product_stats(self.listed, consigned, sold, self.stock)
+    def _settled(self, baked: bool) -> DataFrame:
+        listed, consigned, sold, stock = self.together(
+            lambda: self.listed,
+            lambda: self.season_consign(baked),
+            lambda: self.sales_totals(baked),
+            lambda: self.stock,
+        )
+        base = stats.product_stats(listed, consigned, sold, stock)
         settled = F.when(
             F.col("qty_received") == 0, F.coalesce("live_on_hand", F.lit(0))
         ).otherwise(S.derived_on_hand("qty_received", "sold", "on_sale", "ret_qty"))
@@ -188,15 +222,23 @@ class Tables:
         )
 
     def inputs(self, overlay: bool = True) -> rows.Inputs:
+        stored, bucket, sku_pid, legacy, vendors, fresh = self.together(
+            lambda: self.scan_stats,
+            lambda: self.listed,
+            lambda: self.sku_map,
+            lambda: self.legacy,
+            lambda: self.vendors_of_record,
+            lambda: self.season_consign() if overlay else None,
+        )
         return rows.Inputs(
-            bucket=self.listed,
-            stats=self.scan_stats,
-            sku_pid=self.sku_map,
-            legacy=self.legacy,
-            vendors=self.vendors_of_record,
+            bucket=bucket,
+            stats=stored,
+            sku_pid=sku_pid,
+            legacy=legacy,
+            vendors=vendors,
             departments=self.departments,
             codes=self.codes,
-            overlay=self.season_consign() if overlay else None,
+            overlay=fresh,
         )
 
 

@@ -193,9 +193,8 @@ def raw_sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.unionByName(returns)
 
 
-def sale_version_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def sale_version_layers(first: DataFrame) -> list[DataFrame]:
     """The sale stream in arrival order: first load, edits, voids."""
-    first = raw_sale_lines(spark, sf_dir)
     own = F.col("return_for").isNull()
     edits = first.filter(own & (F.col("sale_id") % 7 == 0)).withColumns(
         {"version": F.col("version") + VERSION_LAYER, "quantity": F.col("quantity") + 1}
@@ -231,8 +230,7 @@ def raw_consign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def consign_version_layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    first = raw_consign_lines(spark, sf_dir)
+def consign_version_layers(first: DataFrame) -> list[DataFrame]:
     cid = F.col("consignment_id")
     edits = first.filter(cid % 9 == 0).withColumns(
         {"version": F.col("version") + VERSION_LAYER, "received": F.col("received") + 1}
