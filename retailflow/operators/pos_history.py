@@ -198,3 +198,15 @@ def excluded_returns(entries: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("skus"),
         )
     )
+
+
+def top_and_rest(excluded: DataFrame, top: int = 15) -> DataFrame:
+    """The ``top`` reasons by units and one line for all others."""
+    columns = ["units", "cost", "retail", "skus"]
+    largest = excluded.orderBy(F.col("units").desc(), F.col("reason")).limit(top)
+    rest = excluded.join(largest.select("reason"), "reason", "left_anti").agg(
+        *[F.sum(c).alias(c) for c in columns]
+    )
+    return largest.select(F.col("reason").alias("place"), *columns).unionByName(
+        rest.filter("skus > 0").select(F.lit("rest").alias("place"), *columns)
+    )

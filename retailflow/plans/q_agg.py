@@ -330,13 +330,7 @@ def a34(t):
 @query("a35_excluded_returns", "place:s units:i cost:d retail:d skus:i")
 def a35(t):
     """Largest excluded reasons by units, the rest in one line."""
-    w = Window.orderBy(F.col("units").desc(), F.col("reason"))
-    # reasons are season codes: a short list whatever the data size
-    ranked = pos_history.excluded_returns(t.pos_entries).withColumn("rn", F.row_number().over(w))
-    place = F.when(F.col("rn") <= 3, F.col("reason")).otherwise("rest")
-    return ranked.groupBy(place.alias("place")).agg(
-        *[F.sum(c).alias(c) for c in ("units", "cost", "retail", "skus")]
-    )
+    return pos_history.top_and_rest(pos_history.excluded_returns(t.pos_entries), top=3)
 
 
 @query("a36_distinct_sets", "kind:s season:s n:i")
