@@ -38,6 +38,7 @@ DISCOUNT_FLAGS = [
     "price_book_id",
     "pricebook_id",
 ]
+# Line fields that may carry the full unit price, in order.
 FULL_PRICE_FIELDS = [
     "full_price",
     "original_price",
@@ -45,6 +46,7 @@ FULL_PRICE_FIELDS = [
     "price_excluding_tax",
     "unit_full_price",
 ]
+# Timestamps a consignment date is taken from, in order.
 CONSIGN_DATE_FIELDS = [
     "due_at",
     "received_at",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
 
+# Field names of inventory rows, in order of preference.
 PID_FIELDS = ["product_id", "productId"]
 OUTLET_FIELDS = [
     "outlet_id",

@@ -94,7 +94,11 @@ def f10(t):
         key % 5 == 2, F.concat(text, F.lit("T23:30:00Z"))
     )
     received = F.when(key % 5 == 3, F.concat(text, F.lit(" 10:00:00")))
-    return t.raw("orders").select("o_orderkey", S.consignment_date(due, received, text).alias("day"))
+    stamped = t.raw("orders").select(
+        "o_orderkey", due.alias("due_at"), received.alias("received_at"), text.alias("created_at")
+    )
+    present = [c for c in S.CONSIGN_DATE_FIELDS if c in stamped.columns]
+    return stamped.select("o_orderkey", S.consignment_date(*present).alias("day"))
 
 
 @query("f11_date_rules", "season:s n_in_range:i n_open_ended:i first_shifted:s")

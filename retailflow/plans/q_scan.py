@@ -239,20 +239,10 @@ def k02(t):
     return t.spark.read.parquet(path)
 
 
-def vendor_update(t):
-    """A later import: half of the vendors again with more ordered, plus new keys."""
-    v = t.legacy_vendors
-    again = v.filter(F.col("brand_num") % 2 == 0).withColumn("ordered", S.money(F.col("ordered") + 5))
-    new = v.filter(F.col("brand_num") % 5 == 1).withColumn(
-        "vendor_key", F.concat(F.lit("new__"), "vendor_key")
-    )
-    return again.unionByName(new)
-
-
 @query("k03_upsert_legacy_vendors", "season:s vendor_key:s vendor_name:s ordered:d")
 def k03(t):
     path = work_dir(t.spark, "override_vendor")
-    sinks.latest_wins(t.legacy_vendors, vendor_update(t), ["season", "vendor_key"]).write.partitionBy(
+    sinks.latest_wins(t.legacy_vendors, t.vendor_updates, ["season", "vendor_key"]).write.partitionBy(
         "season"
     ).parquet(path)
     return t.spark.read.parquet(path)
@@ -267,7 +257,7 @@ def ordinal_per_season(df, order):
 def k04(t):
     """Known keys keep their place, new ones are appended; records are replaced."""
     old = t.legacy_vendors
-    update = vendor_update(t)
+    update = t.vendor_updates
     keys = F.col("vendor_key").asc()
     fresh = update.join(old, ["season", "vendor_key"], "left_anti")
     index = sinks.merge_index(ordinal_per_season(old, keys), ordinal_per_season(fresh, keys))
@@ -326,7 +316,7 @@ def k08(t):
 def k09(t):
     path, backup = work_dir(t.spark, "vendors"), work_dir(t.spark, "vendors_backup")
     t.legacy_vendors.select("season", "vendor_key", "ordered").write.parquet(path)
-    changed = vendor_update(t).select("season", "vendor_key", "ordered")
+    changed = t.vendor_updates.select("season", "vendor_key", "ordered")
     sinks.backup_and_overwrite(t.spark, path, backup, changed)
     after = t.staged_copy(t.spark.read.parquet(path))
     sinks.revert(t.spark, path, backup)

@@ -15,7 +15,8 @@ from retailflow.operators import calendar, catalog, consign, inventory, rollup,
 from retailflow.session import work_dir
 from retailflow.sources import adapter
 
-# Share of facts a stored scan has not seen yet (ids divisible by these).
+# Facts that arrived after the stored scan: ids divisible by these. The stored
+# scan ("baked") lacks them; every fresh table covers all facts.
 UNSEEN_SALE = 997
 UNSEEN_CONSIGNMENT = 499
 

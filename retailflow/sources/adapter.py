@@ -517,3 +517,14 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         (pid / 2).cast("bigint").alias("pid"), "p_name", status.alias("status")
     )
+
+
+def vendor_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later legacy import: some records again with more ordered, some new keys."""
+    v = legacy_vendors(spark, sf_dir)
+    n = F.col("brand_num")
+    again = v.filter(n % 2 == 0).withColumn("ordered", S.money(F.col("ordered") + 5))
+    new = v.filter(n % 5 == 1).withColumn(
+        "vendor_key", F.concat(F.lit("new__"), "vendor_key")
+    )
+    return again.unionByName(new)

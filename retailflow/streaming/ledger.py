@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StructType
 
 from retailflow.functions import scalars as S
 from retailflow.operators import catalog, consign, inventory, sales
+from retailflow.session import cut_lineage
 
 SALE_MEASURES = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
@@ -133,7 +134,10 @@ class SalesLedger:
         )
 
     def _new_entries(self, fresh: DataFrame, known: DataFrame) -> DataFrame:
-        partials = sales._partials(sales.classify(sales.live_lines(fresh), self.prices))
+        # used three times below, so it is computed once
+        partials = cut_lineage(
+            self.spark, sales._partials(sales.classify(sales.live_lines(fresh), self.prices))
+        )
         own = partials.select(*sales._KEYS, *sales._measures(F.lit(None).cast("string")))
         # an original is looked up in this batch first, then in the ledger
         stored = known.filter("pid IS NOT NULL").join(
