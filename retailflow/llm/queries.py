@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retailflow.llm import best_fit, chat_format, cube_mix, hyperminhash, line_dedup, quality_mcd, warc
+from retailflow.llm import (
+    best_fit,
+    chat_format,
+    cross_polytope,
+    cube_mix,
+    html_wrapper,
+    hyperminhash,
+    language_id,
+    line_dedup,
+    quality_mcd,
+    warc,
+)
 from retailflow.llm.common import table
 
 
@@ -14,10 +25,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_wrapper(spark, sf_dir):
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
 
@@ -42,6 +61,10 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
+def op8_cross_polytope(spark, sf_dir):
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_mcd.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -51,11 +74,14 @@ def op10_hyperminhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_wrapper": op1_html_wrapper,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc": op5_warc,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
+    "op8_cross_polytope": op8_cross_polytope,
     "op9_quality_rules": op9_quality_rules,
     "op10_hyperminhash": op10_hyperminhash,
 }
