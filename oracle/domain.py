@@ -185,7 +185,7 @@ SELECT l_orderkey AS sale_id, l_orderkey * 2 AS version,
   CASE WHEN CAST(l_tax AS DECIMAL(4,2)) > 0.07 THEN 'VOIDED' ELSE 'CONFIRMED' END AS line_status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 UNION ALL
-SELECT l_orderkey + 1000000000, l_orderkey * 2 + 1, 'CLOSED', false, l_orderkey,
+SELECT -l_orderkey, l_orderkey * 2 + 1, 'CLOSED', false, l_orderkey,
   CAST(o_orderdate AS DATE) + 30, l_partkey, -least({_Q}, 2),
   CAST(-least({_Q}, 2) * {_PRICE} AS DECIMAL(18,4)), NULL, {_PRICE}, false, 'CONFIRMED'
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey

@@ -135,8 +135,10 @@ _V = ", ".join(f"sum({m}) AS {m}" for m in MEASURES)
 final(
     "a22_vendor_header_from_rollup",
     f"SELECT season, vendor_key, 'all' AS scope, {_V} FROM t_vendor_totals GROUP BY season, vendor_key "
-    f"UNION ALL SELECT season, vendor_key, 'ECONOMY', {_V} FROM t_vendor_totals "
-    "WHERE dept_id IN ('ECONOMY', '__none__') GROUP BY season, vendor_key",
+    f"UNION ALL SELECT v.season, v.vendor_key, d.dept_id, {_V} FROM t_vendor_totals v "
+    "JOIN (SELECT DISTINCT season, vendor_key, dept_id FROM t_vendor_totals WHERE dept_id <> '__none__') d "
+    "ON d.season = v.season AND d.vendor_key = v.vendor_key AND v.dept_id IN (d.dept_id, '__none__') "
+    "GROUP BY v.season, v.vendor_key, d.dept_id",
 )
 final(
     "a23_vendor_header_from_rows",
@@ -217,9 +219,9 @@ WHERE line_status <> 'VOIDED' AND quantity <> 0 AND status = 'CLOSED' AND NOT de
 fragment(
     "t_guard",
     """
-SELECT pid FROM t_season_pids WHERE season IN ('spring27', 'prespring27', 'fall27')
+SELECT pid FROM t_season_pids JOIN t_seasons USING (season)
 UNION
-SELECT pid FROM t_consign WHERE season IN ('spring27', 'prespring27', 'fall27')""",
+SELECT pid FROM t_consign JOIN t_seasons USING (season)""",
 )
 fragment(
     "t_stale",
@@ -282,7 +284,7 @@ FROM (
 final(
     "a35_excluded_returns",
     f"""
-SELECT CASE WHEN rn <= 3 THEN r ELSE 'rest' END AS place, sum(units) AS units, sum(cost) AS cost,
+SELECT CASE WHEN rn <= 15 THEN r ELSE 'rest' END AS place, sum(units) AS units, sum(cost) AS cost,
   sum(retail) AS retail, sum(skus) AS skus
 FROM (
   SELECT {reason("sku")} AS r, sum(units) AS units, sum(cost) AS cost, sum(retail) AS retail,

@@ -28,12 +28,11 @@ fragment(
     """
 SELECT r.*, f.live_on_hand AS f_live, c.qty_ordered AS f_ordered, c.qty_received AS f_received,
   c.qty_returned AS f_returned, s.sold AS f_sold, s.on_sale AS f_on_sale, s.sale_amt AS f_sale_amt,
-  p.pid IS NOT NULL AS sampled, f.live_on_hand IS NOT NULL AND r.live_on_hand IS NOT NULL AS fresh
+  true AS sampled, f.live_on_hand IS NOT NULL AND r.live_on_hand IS NOT NULL AS fresh
 FROM t_rows_scan r
 LEFT JOIN t_fresh f ON f.season = r.season AND f.pid = r.pid
 LEFT JOIN t_consign c ON c.season = r.season AND c.pid = r.pid
 LEFT JOIN t_sales s ON s.pid = r.pid
-LEFT JOIN t_sample p ON p.season = r.season AND p.pid = r.pid
 WHERE r.pid IS NOT NULL AND NOT r.inventory_mismatch""",
 )
 fragment(
@@ -150,9 +149,9 @@ SELECT season, CASE WHEN tripped THEN 'drift' WHEN incomplete OR degraded THEN '
   validated, tripped, concat_ws(',', CASE WHEN incomplete THEN 'cache-incomplete' END,
     CASE WHEN degraded THEN 'rollup-degraded' END, nullif(codes, '')) AS codes
 FROM (
-  SELECT h.season, pos_rows > 0 AND complete_pct < 0.995 AS incomplete, h.season = 'spring27' AS degraded,
+  SELECT h.season, pos_rows > 0 AND complete_pct < 0.995 AS incomplete, h.season IN (SELECT season FROM t_invariants) AS degraded,
     d.season IS NOT NULL AS validated, coalesce(codes <> '', false) AS tripped, codes
-  FROM t_health h LEFT JOIN (SELECT * FROM t_drift WHERE season <> 'fall26') d ON d.season = h.season)""",
+  FROM t_health h LEFT JOIN t_drift d ON d.season = h.season)""",
 )
 final(
     "v06_mismatch_breakdown",
@@ -284,7 +283,7 @@ final(
 final(
     "v09_history_record",
     """
-SELECT d.*, 'sample' AS mode, codes <> '' AS tripped,
+SELECT d.*, 'full' AS mode, codes <> '' AS tripped,
   (SELECT count(*) FROM t_rows_scan r WHERE r.season = d.season AND ordered_qty > 0 AND cost <= 0)
     AS ordered_cost_gap,
   (SELECT count(*) FROM t_rows_scan r WHERE r.season = d.season AND price <= 0

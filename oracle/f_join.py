@@ -6,9 +6,9 @@ from oracle.finals import final
 final(
     "j01_semi_join_season_lines",
     """
-SELECT sale_id, pid, count(*) AS n_lines, sum(quantity) AS units FROM t_sale_lines
-WHERE line_status <> 'VOIDED' AND quantity <> 0
-  AND pid IN (SELECT pid FROM t_season_pids WHERE season = 'spring26') GROUP BY ALL""",
+SELECT season, sale_id, pid, count(*) AS n_lines, sum(quantity) AS units
+FROM t_sale_lines JOIN (SELECT DISTINCT season, pid FROM t_season_pids) USING (pid)
+WHERE line_status <> 'VOIDED' AND quantity <> 0 GROUP BY ALL""",
 )
 final("j02_project_season_sales", "SELECT season, t_sales.* FROM t_sales JOIN t_season_pids USING (pid)")
 final("j03_row_lookup", "SELECT * FROM t_bucket")

@@ -36,7 +36,7 @@ final(
     "s05_consignment_scan",
     """
 SELECT consignment_id, type, version, count(*) AS n_items, sum("count") AS units
-FROM t_consign_lines WHERE type IN ('SUPPLIER', 'RETURN') GROUP BY ALL""",
+FROM t_consign_lines GROUP BY ALL""",
 )
 final(
     "s06_global_consignment_floor",
@@ -44,7 +44,7 @@ final(
 SELECT (SELECT min(range_start) FROM t_seasons) AS floor, count(DISTINCT consignment_id) AS n_consignments
 FROM t_consign_lines WHERE date >= (SELECT min(range_start) FROM t_seasons)""",
 )
-final("s07_inventory_scan", "SELECT * FROM t_inventory_rows")
+final("s07_inventory_scan", "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM t_inventory_rows")
 
 N = "page_id"
 
@@ -193,23 +193,24 @@ final("k02_upsert_summary", _SUM.format("_scan", "<>") + " UNION ALL " + _SUM.fo
 fragment(
     "t_vendor_update",
     """
-SELECT season, vendor_key, vendor_name, ordered + 5 AS ordered FROM t_vendors WHERE n % 2 = 0
+SELECT season, vendor_key, vendor_name, ordered + 5 AS ordered, v_ordinal FROM t_vendors WHERE n % 2 = 0
 UNION ALL
-SELECT season, 'new__' || vendor_key, vendor_name, ordered FROM t_vendors WHERE n % 5 = 1""",
+SELECT season, 'new__' || vendor_key, vendor_name, ordered, v_ordinal FROM t_vendors WHERE n % 5 = 1""",
 )
 fragment(
     "t_upserted",
     """
 SELECT coalesce(n.season, o.season) AS season, coalesce(n.vendor_key, o.vendor_key) AS vendor_key,
   CASE WHEN n.season IS NULL THEN o.vendor_name ELSE n.vendor_name END AS vendor_name,
-  CASE WHEN n.season IS NULL THEN o.ordered ELSE n.ordered END AS ordered, o.season IS NULL AS is_new
+  CASE WHEN n.season IS NULL THEN o.ordered ELSE n.ordered END AS ordered, o.season IS NULL AS is_new,
+  coalesce(o.v_ordinal, n.v_ordinal) AS v_ordinal
 FROM t_vendors o FULL JOIN t_vendor_update n ON o.season = n.season AND o.vendor_key = n.vendor_key""",
 )
 final("k03_upsert_legacy_vendors", "SELECT * FROM t_upserted")
 final(
     "k04_legacy_import_merge",
     """
-SELECT *, row_number() OVER (PARTITION BY season ORDER BY is_new, vendor_key) - 1 AS place
+SELECT *, row_number() OVER (PARTITION BY season ORDER BY is_new, v_ordinal, vendor_key) - 1 AS place
 FROM t_upserted""",
 )
 final(
@@ -270,8 +271,8 @@ def gate(*codes):
 final(
     "p01_season_gate",
     f"""
-SELECT pid, sku, {gate("s26", "rs26", "ps26")} AS in_spring26, {gate("f26", "pf26")} AS in_fall26,
-  {gate("rs27", "ps27")} AS in_prespring27 FROM t_catalog""",
+SELECT pid, sku, coalesce((SELECT string_agg(DISTINCT season, ',' ORDER BY season) FROM t_codes k
+  WHERE starts_with(coalesce({segment('c.sku')}, ''), k.code)), '') AS seasons FROM t_catalog c""",
 )
 final(
     "p02_season_codes",

@@ -68,6 +68,11 @@ def money(c) -> Column:
     return col(c).cast("decimal(18,4)")
 
 
+def total(c) -> Column:
+    """A sum of money: as exact as ``money``, but wide enough for any number of lines."""
+    return col(c).cast("decimal(38,4)")
+
+
 def dbl(c) -> Column:
     return col(c).cast("double")
 

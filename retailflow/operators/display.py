@@ -20,7 +20,7 @@ def product_buckets(rows: DataFrame) -> DataFrame:
         return F.count_if(F.expr(cond))
 
     def value(cond, v):
-        return S.money(S.zero(F.sum(F.when(F.expr(cond), v))))
+        return S.total(S.zero(F.sum(F.when(F.expr(cond), v))))
 
     back = S.returned_value("ret_val", "ret_qty", "price")
     return rows.groupBy("season").agg(
@@ -29,7 +29,7 @@ def product_buckets(rows: DataFrame) -> DataFrame:
         count("on_hand > 0").alias("stock_n"),
         value("on_hand > 0", price * F.col("on_hand")).alias("stock_v"),
         count("sold > 0").alias("sold_n"),
-        S.money(F.sum(price * F.col("sold"))).alias("sold_v"),
+        S.total(F.sum(price * F.col("sold"))).alias("sold_v"),
         count("on_sale > 0").alias("sale_n"),
         value("on_sale <> 0", F.col("sale_amt")).alias("sale_v"),
         count("ret_qty > 0").alias("returned_n"),
@@ -45,7 +45,7 @@ def percent(part, whole):
 
 def kpis(depts: DataFrame) -> DataFrame:
     names = ["ordered", "ordered_cost", "received", "cost", "sold"]
-    sums = depts.groupBy("season").agg(*[S.money(F.sum(n)).alias(n) for n in names])
+    sums = depts.groupBy("season").agg(*[S.total(F.sum(n)).alias(n) for n in names])
     return sums.withColumns(
         {"received_pct": percent("received", "ordered"), "sold_pct": percent("sold", "received")}
     )

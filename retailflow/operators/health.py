@@ -72,15 +72,16 @@ def data_gaps(rows: DataFrame) -> DataFrame:
     return rows.select("season", "row_key", "sku", "vendor_name", F.explode(codes).alias("code"))
 
 
-def badge(health: DataFrame, drift: DataFrame, degraded: list[str]) -> DataFrame:
+def badge(health: DataFrame, drift: DataFrame, degraded: DataFrame) -> DataFrame:
     """Level and reason codes per season; drift outranks a warning.
 
-    ``drift`` has (season, reasons) for validated seasons; ``degraded`` names the
-    seasons whose totals could not be rebuilt.
+    ``drift`` has (season, reasons) for validated seasons; ``degraded`` holds
+    the seasons (one row each) whose totals could not be rebuilt.
     """
-    joined = health.join(drift, "season", "left")
+    marked = degraded.select("season", F.lit(True).alias("_degraded"))
+    joined = health.join(drift, "season", "left").join(marked, "season", "left")
     incomplete = (F.col("pos_rows") > 0) & (F.col("complete_pct") < CACHE_WARN_PCT)
-    bad = F.col("season").isin(degraded) if degraded else F.lit(False)
+    bad = F.coalesce("_degraded", F.lit(False))
     tripped = F.size(F.coalesce("reasons", F.array().cast("array<string>"))) > 0
     codes = F.concat_ws(
         ",",

@@ -35,7 +35,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         return [F.col(n) for n in names if n in raw.columns]
 
     outlet = [S.nonblank(c) for c in present(OUTLET_FIELDS)]
-    amount = F.coalesce(*present(AMOUNT_FIELDS)).try_cast("bigint")
+    amount = F.coalesce(*present(AMOUNT_FIELDS)).try_cast("decimal(20,4)")
     return raw.select(
         F.coalesce(*present(PID_FIELDS)).alias("pid"),
         F.coalesce(*outlet, F.lit(DEFAULT_OUTLET)).alias("outlet"),

@@ -72,7 +72,7 @@ def sold_by(gated: DataFrame, key: str, prefix: str = "legacy_") -> DataFrame:
         .groupBy("season", key)
         .agg(
             *[
-                (S.money(F.sum(src)) if src.endswith("amt") else F.sum(src)).alias(prefix + out)
+                (S.total(F.sum(src)) if src.endswith("amt") else F.sum(src)).alias(prefix + out)
                 for src, out in names.items()
             ]
         )

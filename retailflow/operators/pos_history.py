@@ -55,13 +55,13 @@ def sales_aggregate(transactions: DataFrame) -> DataFrame:
         total(sold & full, q).alias("sold_qty"),
         total(sold & ~full, q).alias("sale_qty"),
         total(back, -q).alias("return_qty"),
-        S.money(total(sold, amt)).alias("gross_amt"),
-        S.money(total(sold & full, amt)).alias("sold_amt"),
-        S.money(total(sold & ~full, amt)).alias("sale_amt"),
+        S.total(total(sold, amt)).alias("gross_amt"),
+        S.total(total(sold & full, amt)).alias("sold_amt"),
+        S.total(total(sold & ~full, amt)).alias("sale_amt"),
         total(full, q).alias("sold_net_qty"),
         total(~full, q).alias("sale_net_qty"),
-        S.money(total(full, amt)).alias("sold_net_amt"),
-        S.money(total(~full, amt)).alias("sale_net_amt"),
+        S.total(total(full, amt)).alias("sold_net_amt"),
+        S.total(total(~full, amt)).alias("sale_net_amt"),
         F.min("sold_on").alias("first_sale"),
         F.max("sold_on").alias("last_sale"),
     )
@@ -78,15 +78,15 @@ def season_summary(po: DataFrame, sales: DataFrame) -> DataFrame:
 
     bought = po.groupBy(season.alias("season")).agg(
         total(order, q).alias("ordered_all_u"),
-        S.money(total(order, q * F.col("cost"))).alias("ordered_all_cost"),
-        S.money(total(order, q * F.col("price"))).alias("ordered_all_retail"),
+        S.total(total(order, q * F.col("cost"))).alias("ordered_all_cost"),
+        S.total(total(order, q * F.col("price"))).alias("ordered_all_retail"),
         total(order & placed, q).alias("ordered_placed_u"),
-        S.money(total(order & placed, q * F.col("cost"))).alias("ordered_placed_cost"),
-        S.money(total(order & placed, q * F.col("price"))).alias("ordered_placed_retail"),
+        S.total(total(order & placed, q * F.col("cost"))).alias("ordered_placed_cost"),
+        S.total(total(order & placed, q * F.col("price"))).alias("ordered_placed_retail"),
         total(order, F.col("qty_received")).alias("received_u"),
         total(ret, q).alias("returns_u"),
-        S.money(total(ret, q * F.col("cost"))).alias("returns_cost"),
-        S.money(total(ret, q * F.col("price"))).alias("returns_retail"),
+        S.total(total(ret, q * F.col("cost"))).alias("returns_cost"),
+        S.total(total(ret, q * F.col("price"))).alias("returns_retail"),
     )
     names = [
         "sold_qty", "sale_qty", "return_qty", "sold_amt", "sale_amt", "sold_net_qty",
@@ -121,8 +121,8 @@ def placed_by_sku(entries: DataFrame) -> DataFrame:
 def returns_by_sku(entries: DataFrame) -> DataFrame:
     return entries.filter("po_type = 3").groupBy("sku").agg(
         F.sum("qty_ordered").alias("units"),
-        S.money(F.sum(F.col("qty_ordered") * F.col("cost"))).alias("cost"),
-        S.money(F.sum(F.col("qty_ordered") * F.col("price"))).alias("retail"),
+        S.total(F.sum(F.col("qty_ordered") * F.col("cost"))).alias("cost"),
+        S.total(F.sum(F.col("qty_ordered") * F.col("price"))).alias("retail"),
     )
 
 
@@ -167,7 +167,7 @@ def ordered_plan(entries: DataFrame, legacy: DataFrame, vendors: DataFrame) -> D
         }
     )
     after = keyed.groupBy("season", "vendor_key", "residual").agg(
-        S.money(F.sum("placed_retail")).alias("after"), F.count(F.lit(1)).alias("n_skus")
+        S.total(F.sum("placed_retail")).alias("after"), F.count(F.lit(1)).alias("n_skus")
     )
     before = vendors.filter(
         F.col("source").isNull() & F.col("season").isin(CLOSED_SEASONS)
@@ -193,8 +193,8 @@ def excluded_returns(entries: DataFrame) -> DataFrame:
         .groupBy("reason")
         .agg(
             F.sum("units").alias("units"),
-            S.money(F.sum("cost")).alias("cost"),
-            S.money(F.sum("retail")).alias("retail"),
+            S.total(F.sum("cost")).alias("cost"),
+            S.total(F.sum("retail")).alias("retail"),
             F.count(F.lit(1)).alias("skus"),
         )
     )

@@ -32,7 +32,7 @@ def row_values(rows: DataFrame) -> DataFrame:
 
 
 def sums(prefix_in: str = "v_", names=tuple(MEASURES)) -> list:
-    return [S.money(F.sum(prefix_in + m)).alias(m) for m in names]
+    return [S.total(F.sum(prefix_in + m)).alias(m) for m in names]
 
 
 def bottom_up(rows: DataFrame) -> DataFrame:
@@ -104,13 +104,13 @@ def legacy_buckets(inp: R.Inputs, rows: DataFrame) -> DataFrame:
     own = ~F.col("overlap")
     buckets = valued.groupBy(*keys).agg(
         F.max("overlap").alias("overlap"),
-        S.money(F.sum("value")).alias("all_retail"),
-        S.money(F.sum("value_cost")).alias("all_cost"),
-        S.money(S.zero(F.sum(F.when(own, F.col("value"))))).alias("own_retail"),
-        S.money(S.zero(F.sum(F.when(own, F.col("value_cost"))))).alias("own_cost"),
+        S.total(F.sum("value")).alias("all_retail"),
+        S.total(F.sum("value_cost")).alias("all_cost"),
+        S.total(S.zero(F.sum(F.when(own, F.col("value"))))).alias("own_retail"),
+        S.total(S.zero(F.sum(F.when(own, F.col("value_cost"))))).alias("own_cost"),
         F.max(F.col("value") > 0).alias("has_retail"),
         F.max(F.col("value_cost") > 0).alias("has_cost"),
-        S.money(F.sum("ret_retail")).alias("ret_retail"),
+        S.total(F.sum("ret_retail")).alias("ret_retail"),
         F.min_by("f", "ord").alias("f"),
         F.min("ord").alias("ord"),
     )
@@ -134,7 +134,7 @@ def _with_vendor_level(inp: R.Inputs, buckets: DataFrame) -> DataFrame:
         records.join(buckets.select(*keys, "ret_retail"), keys)
         .groupBy(*keys)
         .agg(
-            S.money(F.sum(S.net_vendor_ordered("ordered", "ordered_scraped", "ret_retail"))).alias(
+            S.total(F.sum(S.net_vendor_ordered("ordered", "ordered_scraped", "ret_retail"))).alias(
                 "vendor_level"
             )
         )
@@ -192,10 +192,10 @@ def combine(base: DataFrame, buckets: DataFrame) -> DataFrame:
         F.coalesce("vendor_name", "l_name").alias("vendor_name"),
         F.coalesce("dept_name", "l_dept").alias("dept_name"),
         F.coalesce("ord", "l_ord").alias("ord"),
-        S.money(pos).alias("pos_ordered"),
-        S.money(F.when(S.zero(ordered) == 0, pos).otherwise(ordered)).alias("ordered"),
-        S.money(cost).alias("ordered_cost"),
-        *[S.money(S.zero(m)).alias(m) for m in MEASURES[2:]],
+        S.total(pos).alias("pos_ordered"),
+        S.total(F.when(S.zero(ordered) == 0, pos).otherwise(ordered)).alias("ordered"),
+        S.total(cost).alias("ordered_cost"),
+        *[S.total(S.zero(m)).alias(m) for m in MEASURES[2:]],
         decision.alias("rule"),
     )
 
@@ -213,7 +213,7 @@ def dept_totals(vendors: DataFrame, seasons: DataFrame, departments: DataFrame)
     sums_ = vendors.groupBy("season", "dept_id").agg(
         F.min_by("dept_name", "ord").alias("dept_name"),
         F.count(F.lit(1)).alias("n_vendors"),
-        *[S.money(F.sum(m)).alias(m) for m in MEASURES],
+        *[S.total(F.sum(m)).alias(m) for m in MEASURES],
     )
     known = departments.select(
         F.explode(F.array([F.lit(s) for s in seasons])).alias("season"), "dept_id", "dept_name"
@@ -230,4 +230,4 @@ def dept_totals(vendors: DataFrame, seasons: DataFrame, departments: DataFrame)
 
 def season_totals(depts: DataFrame) -> DataFrame:
     """Season sums and the grand total over all seasons."""
-    return depts.rollup("season").agg(*[S.money(F.sum(m)).alias(m) for m in MEASURES])
+    return depts.rollup("season").agg(*[S.total(F.sum(m)).alias(m) for m in MEASURES])

@@ -195,7 +195,7 @@ def current_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
 def totals(contribs: DataFrame) -> DataFrame:
     return contribs.groupBy("pid").agg(
         *[F.sum(m).alias(m) for m in ("sold", "on_sale", "returned")],
-        *[S.money(F.sum(m)).alias(m) for m in ("sale_amt", "sold_amt")],
+        *[S.total(F.sum(m)).alias(m) for m in ("sale_amt", "sold_amt")],
         F.max("sale_date").alias("last_sold"),
     )
 
@@ -208,6 +208,6 @@ def store_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
     live = F.coalesce("_live", F.lit(False))
     return marked.groupBy("pid").agg(
         *[S.zero(F.sum(F.when(live, F.col(m)))).alias(m) for m in ("sold", "on_sale", "returned")],
-        *[S.money(S.zero(F.sum(F.when(live, F.col(m))))).alias(m) for m in ("sale_amt", "sold_amt")],
+        *[S.total(S.zero(F.sum(F.when(live, F.col(m))))).alias(m) for m in ("sale_amt", "sold_amt")],
         F.max("sale_date").alias("last_sold"),
     )

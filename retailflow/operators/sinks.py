@@ -14,18 +14,36 @@ def product_key() -> F.Column:
     )
 
 
-def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    """Overwrite just the partitions present in ``df``."""
+def replace_partitions(df: DataFrame, path: str, key: str, values: list[str] | None = None) -> None:
+    """Overwrite the partitions present in ``df`` and clear those of ``values`` it lacks.
+
+    ``values`` names what is replaced even if nothing is left of it. New partitions are
+    in place before stale ones go, so a failure in between leaves old rows, never none.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
+        .partitionBy(key)
         .parquet(path)
     )
+    if values is None:
+        return
+    present = {r[0] for r in df.select(key).where(F.col(key).isin(values)).distinct().collect()}
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for value in values:
+        if value not in present:
+            folder = hadoop(f"{path}/{key}={value}")
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def latest_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: rows of ``new`` replace rows of ``old`` with the same keys."""
+def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Upsert: rows of ``new`` replace rows of ``old`` with the same keys.
+
+    Of several new rows with one key the last by ``order`` stays.
+    """
+    if order is not None:
+        whole = F.struct(*[F.col(c) for c in new.columns])
+        new = new.groupBy(*keys).agg(F.max_by(whole, F.col(order)).alias("_row")).select("_row.*")
     kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(new)
 

@@ -113,8 +113,8 @@ def counts(rows: DataFrame, checked: DataFrame, rollup_bad: DataFrame) -> DataFr
         F.count_if(legacy).alias("legacy_only"),
         F.count_if(manual).alias("manual_adjustment"),
         F.count_if(~legacy & ~manual).alias("checked_products"),
-        S.money(F.sum(retail)).alias("total_retail"),
-        S.money(S.zero(F.sum(F.when(~legacy & ~manual, retail)))).alias("checked_retail"),
+        S.total(F.sum(retail)).alias("total_retail"),
+        S.total(S.zero(F.sum(F.when(~legacy & ~manual, retail)))).alias("checked_retail"),
     )
     stock, gap = F.col("field") == "onHand", F.abs(F.col("actual") - F.col("expected"))
     drift = F.col("drift")
@@ -202,7 +202,7 @@ def rollup_invariants(rows: DataFrame, vendors: DataFrame, depts: DataFrame) ->
         "field", S.zero("expected").alias("expected"), "actual",
     )
     dkeys = ["season", "dept_id"]
-    v_sums = vendors.groupBy(*dkeys).agg(*[S.money(F.sum(m)).alias(m) for m in rollup.MEASURES])
+    v_sums = vendors.groupBy(*dkeys).agg(*[S.total(F.sum(m)).alias(m) for m in rollup.MEASURES])
     top = _tall(depts, dkeys, rollup.MEASURES).withColumnRenamed("value", "actual")
     base = _tall(v_sums, dkeys, rollup.MEASURES).withColumnRenamed("value", "expected")
     d = top.join(base, [*dkeys, "field"], "left").select(

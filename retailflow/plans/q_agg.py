@@ -172,14 +172,15 @@ HEADER = "ordered:d ordered_cost:d received:d cost:d returned:d returned_cost:d
 
 @query("a22_vendor_header_from_rollup", "season:s vendor_key:s scope:s " + HEADER)
 def a22(t):
-    """Per vendor: all departments, and one department with the unassigned one."""
+    """Per vendor: all departments, and each department with the unassigned one."""
     v = t.vendor_totals()
     sums = [F.sum(m).alias(m) for m in rollup.MEASURES]
     everywhere = v.groupBy("season", "vendor_key").agg(*sums).withColumn("scope", F.lit("all"))
-    one = v.filter(F.col("dept_id").isin("ECONOMY", S.NONE_ID))
-    return everywhere.unionByName(
-        one.groupBy("season", "vendor_key").agg(*sums).withColumn("scope", F.lit("ECONOMY"))
-    )
+    own = v.filter(F.col("dept_id") != S.NONE_ID).withColumn("scope", F.col("dept_id"))
+    scopes = own.select("season", "vendor_key", "scope").distinct()
+    loose = v.filter(F.col("dept_id") == S.NONE_ID).join(scopes, ["season", "vendor_key"])
+    each = own.unionByName(loose).groupBy("season", "vendor_key", "scope").agg(*sums)
+    return everywhere.unionByName(each)
 
 
 @query("a23_vendor_header_from_rows", "season:s vendor_key:s " + HEADER)
@@ -237,11 +238,11 @@ def classified(t, consignment_only=False):
 
 
 def active_guard(t):
-    """Union of pids known to any season table."""
+    """Union of pids known to the table of any season of the calendar."""
     return (
         bucket(t).select("season", "pid")
         .unionByName(t.season_consign().select("season", "pid"))
-        .filter(F.col("season").isin("spring27", "prespring27", "fall27"))
+        .join(t.seasons.select("season"), "season", "left_semi")
         .select("pid")
         .distinct()
     )
@@ -330,7 +331,7 @@ def a34(t):
 @query("a35_excluded_returns", "place:s units:i cost:d retail:d skus:i")
 def a35(t):
     """Largest excluded reasons by units, the rest in one line."""
-    return pos_history.top_and_rest(pos_history.excluded_returns(t.pos_entries), top=3)
+    return pos_history.top_and_rest(pos_history.excluded_returns(t.pos_entries), top=15)
 
 
 @query("a36_distinct_sets", "kind:s season:s n:i")
@@ -462,11 +463,11 @@ def o04(t):
 
 
 @query("o05_capped_candidates", "pid:i sku:s over_threshold:b")
-def o05(t):
+def o05(t, cap: int = 2000, threshold: int = 2000):
     rows = classified(t)
     n = rows.filter("reason = 'candidate'").agg(F.count(F.lit(1))).scalar()
     logged = t.audit_log.filter("status = 'ok'")
-    return stale.to_retire(rows, logged, 25).withColumn("over_threshold", n > 1000)
+    return stale.to_retire(rows, logged, cap).withColumn("over_threshold", n > threshold)
 
 
 @query("o06_vendor_index", "season:s letter:s vendor_name:s rank:i")

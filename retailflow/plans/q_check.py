@@ -15,9 +15,11 @@ from retailflow.plans.q_scan import ACTIVE
 from retailflow.plans.registry import query
 
 
-def sampled(t):
+def stock_checked(t, per_season: int | None = None):
+    """Products whose stock is compared: all, or an even sample of each season."""
     rows = t.report_rows(False).filter("pid IS NOT NULL AND NOT inventory_mismatch")
-    return series.even_sample(rows.select("season", "pid"), ["season"], "pid", 60)
+    rows = rows.select("season", "pid")
+    return rows.distinct() if per_season is None else series.even_sample(rows, ["season"], "pid", per_season)
 
 
 def checked(t):
@@ -31,7 +33,7 @@ def checked(t):
             lambda: t.sales_totals(),
         )
         fresh = fresh.filter("live_on_hand IS NOT NULL").select("season", "pid", "live_on_hand")
-        return validate.checks(rows, fresh, consigned, sold, sampled(t))
+        return validate.checks(rows, fresh, consigned, sold, stock_checked(t))
 
     return t.staged("checked", build)
 
@@ -86,8 +88,10 @@ def v04(t):
 
 @query("v05_health_badge", "season:s level:s validated:b tripped:b codes:s")
 def v05(t):
-    drift = counted(t).filter("season <> 'fall26'").select("season", "reasons")
-    return health.badge(health.row_health(t.report_rows()), drift, ["spring27"])
+    """Seasons whose totals disagree with their rows are degraded."""
+    drift = counted(t).select("season", "reasons")
+    degraded = invariants(t).select("season").distinct()
+    return health.badge(health.row_health(t.report_rows()), drift, degraded)
 
 
 @query(
@@ -215,7 +219,7 @@ def v09(t):
         F.count_if(F.col("code") == "zero-price-gap").alias("zero_price_gap"),
     )
     return counted(t).join(gaps, "season", "left").select(
-        "season", F.lit("sample").alias("mode"), "tripped",
+        "season", F.lit("full").alias("mode"), "tripped",
         F.array_join("reasons", ",").alias("codes"), "total_rows", "legacy_only",
         "checked_products", "drifted_products", "mismatch_count",
         *[S.zero(c).alias(c) for c in ("ordered_cost_gap", "zero_price_gap")], "retail_drift",
@@ -289,20 +293,20 @@ def l01(t):
     sums = season_sum(
         known,
         n_skus=F.count(F.lit(1)),
-        retail_all=S.money(F.sum(F.col("qty_all") * F.col("price"))),
-        retail_placed=S.money(F.sum(value)),
-        cost_placed=S.money(F.sum(F.col("qty_placed") * F.col("cost"))),
+        retail_all=S.total(F.sum(F.col("qty_all") * F.col("price"))),
+        retail_placed=S.total(F.sum(value)),
+        cost_placed=S.total(F.sum(F.col("qty_placed") * F.col("cost"))),
         units_placed=F.sum("qty_placed"),
         present_skus=F.count_if(hit),
-        present_retail=S.money(S.zero(F.sum(F.when(hit, value)))),
+        present_retail=S.total(S.zero(F.sum(F.when(hit, value)))),
         missing_skus=F.count_if(~hit),
-        missing_retail=S.money(S.zero(F.sum(F.when(~hit, value)))),
+        missing_retail=S.total(S.zero(F.sum(F.when(~hit, value)))),
     )
     records = season_sum(
-        t.vendors_of_record, records=F.count(F.lit(1)), top_level=S.money(F.sum("ordered"))
+        t.vendors_of_record, records=F.count(F.lit(1)), top_level=S.total(F.sum("ordered"))
     )
     products = season_sum(
-        gated, per_product=S.money(F.sum(F.col("qty_ordered") * F.col("price"))),
+        gated, per_product=S.total(F.sum(F.col("qty_ordered") * F.col("price"))),
     )
     skus = season_sum(listed, import_skus=F.count(F.lit(1)))
     out = zeros(
@@ -320,7 +324,7 @@ def with_activity(t, placed):
 
 def pos_ordered(t, overlay=False):
     rows = rollup.row_values(t.report_rows(overlay).filter("pid IS NOT NULL"))
-    return season_sum(rows, pos_ordered=S.money(F.sum("v_ordered")))
+    return season_sum(rows, pos_ordered=S.total(F.sum("v_ordered")))
 
 
 @query(
@@ -337,7 +341,7 @@ def l02(t):
     left = ~over & F.col("vendor_key").isNull()
 
     def money_if(cond):
-        return S.money(S.zero(F.sum(F.when(cond, value))))
+        return S.total(S.zero(F.sum(F.when(cond, value))))
 
     sums = season_sum(
         owned,
@@ -384,7 +388,7 @@ def l03(t):
     hit = F.coalesce("hit", F.lit(False))
     sums = season_sum(
         j,
-        old_units=F.sum("units"), old_sale_amt=S.money(F.sum("sale_net_amt")),
+        old_units=F.sum("units"), old_sale_amt=S.total(F.sum("sale_net_amt")),
         matched_old=total(has, u), matched_pos=total(has, p), fillable=total(has & (u >= p), u - p),
         pos_greater_pids=F.count_if(more), pos_greater_units=total(more, p - u),
         import_only_units=total(~has & hit, u), no_row_units=total(~has & ~hit, u),
@@ -398,7 +402,7 @@ def l04(t):
     old = season_sum(
         pos_history.returns_by_sku(t.pos_entries)
         .withColumn("season", pos_history.closed_season("sku")).filter("season IS NOT NULL"),
-        old_units=F.sum("units"), old_retail=S.money(F.sum("retail")),
+        old_units=F.sum("units"), old_retail=S.total(F.sum("retail")),
     )
     stored = season_sum(
         t.legacy.filter("source = 'returns-backfill'"), stored_units=F.sum("qty_returned")
@@ -417,7 +421,7 @@ def report_side(t):
             rows, returned_units=F.sum("ret_qty"), sold_units=F.sum(F.col("sold") + F.col("on_sale"))
         ),
         season_sum(dup, collisions=F.count(F.lit(1)), collision_units=F.sum("u")),
-        season_sum(t.vendor_totals(False), ordered=S.money(F.sum("ordered"))),
+        season_sum(t.vendor_totals(False), ordered=S.total(F.sum("ordered"))),
     )
 
 
@@ -438,7 +442,7 @@ def l05(t):
     union = pos_ret.unionByName(backfill.join(pos_ret, ["season", "sku_key"], "left_anti"))
     placed = t.staged("placed", lambda: pos_history.placed_by_sku(t.pos_entries)).filter("qty_placed > 0")
     alone = season_sum(
-        with_activity(t, placed).filter("NOT overlap"), alone=S.money(F.sum("placed_retail"))
+        with_activity(t, placed).filter("NOT overlap"), alone=S.total(F.sum("placed_retail"))
     )
     shown = t.report_rows(False).select("season", S.sku_of("sku").alias("sku"))
     missed = season_sum(
@@ -477,6 +481,6 @@ def l05(t):
 def l06(t):
     sums = cost_gaps(t).groupBy("season", "state").agg(
         F.count(F.lit(1)).alias("n"),
-        S.money(S.zero(F.sum(F.when(F.col("state") == "fillable", F.col("old_cost"))))).alias("cost_sum"),
+        S.total(S.zero(F.sum(F.when(F.col("state") == "fillable", F.col("old_cost"))))).alias("cost_sum"),
     )
     return sums.withColumn("avg_cost", S.dbl("cost_sum") / S.dbl("n"))

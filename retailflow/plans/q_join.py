@@ -18,14 +18,15 @@ def bucket(t):
     return catalog.season_catalog(t.catalog, t.codes)
 
 
-@query("j01_semi_join_season_lines", "sale_id:i pid:i n_lines:i units:i")
+@query("j01_semi_join_season_lines", "season:s sale_id:i pid:i n_lines:i units:i")
 def j01(t):
-    spring = bucket(t).filter("season = 'spring26'").select("pid")
+    """Sale lines of the products of each season."""
+    members = bucket(t).select("season", "pid").distinct()
     return (
         sales.valid_lines(t.raw_sale_lines)
         .groupBy("sale_id", "pid")
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("quantity").alias("units"))
-        .join(spring, "pid", "left_semi")
+        .join(members, "pid")
     )
 
 

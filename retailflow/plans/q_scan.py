@@ -69,7 +69,7 @@ def s04(t):
 def s05(t):
     """Headers by type with their line items."""
     lines = t.raw_consign_lines
-    wanted = lines.filter(F.col("type").isin("SUPPLIER", "RETURN"))
+    wanted = lines.filter(F.col("type").isin("SUPPLIER", "RETURN", "SUPPLIER_RETURN"))
     return wanted.groupBy("consignment_id", "type", "version").agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("count").alias("units")
     )
@@ -82,7 +82,7 @@ def s06(t):
     return heads.agg(F.count(F.lit(1)).alias("n_consignments")).withColumn("floor", floor)
 
 
-@query("s07_inventory_scan", "pid:i outlet:s amount:i version:i")
+@query("s07_inventory_scan", "pid:i outlet:s amount:d version:i")
 def s07(t):
     return inventory.normalize(t.raw_inventory)
 
@@ -221,7 +221,7 @@ def k01(t):
     """Store the scan's rows, then replace one season with fresh ones."""
     path = work_dir(t.spark, "product_season")
     sinks.replace_partitions(stored_rows(t, False), path, "season")
-    sinks.replace_partitions(stored_rows(t, True).filter("season = 'spring26'"), path, "season")
+    sinks.replace_partitions(stored_rows(t, True).filter("season = 'spring26'"), path, "season", ["spring26"])
     return t.spark.read.parquet(path)
 
 
@@ -235,7 +235,7 @@ def k02(t):
 
     path = work_dir(t.spark, "report_summary")
     sinks.replace_partitions(summary(False), path, "season")
-    sinks.replace_partitions(summary(True).filter("season = 'fall26'"), path, "season")
+    sinks.replace_partitions(summary(True).filter("season = 'fall26'"), path, "season", ["fall26"])
     return t.spark.read.parquet(path)
 
 
@@ -258,7 +258,7 @@ def k04(t):
     """Known keys keep their place, new ones are appended; records are replaced."""
     old = t.legacy_vendors
     update = t.vendor_updates
-    keys = F.col("vendor_key").asc()
+    keys = F.struct("v_ordinal", "vendor_key").asc()
     fresh = update.join(old, ["season", "vendor_key"], "left_anti")
     index = sinks.merge_index(ordinal_per_season(old, keys), ordinal_per_season(fresh, keys))
     records = sinks.latest_wins(old, update, ["season", "vendor_key"])
@@ -336,15 +336,15 @@ def matches(sku, codes: list[str]):
     return hit
 
 
-@query("p01_season_gate", "pid:i sku:s in_spring26:b in_fall26:b in_prespring27:b")
+@query("p01_season_gate", "pid:i sku:s seasons:s")
 def p01(t):
-    return t.catalog.withColumns(
-        {
-            "in_spring26": matches("sku", ["s26", "rs26", "ps26"]),
-            "in_fall26": matches("sku", ["f26", "pf26"]),
-            "in_prespring27": matches("sku", ["rs27", "ps27"]),
-        }
+    """Seasons of the calendar whose codes a SKU's segment starts with."""
+    segment = S.season_segment("sku")
+    coded = t.catalog.select("pid", "sku", segment.alias("segment"), S.season_code("sku").alias("code"))
+    hit = coded.join(t.codes.select("season", "code"), "code").groupBy("pid").agg(
+        F.array_join(F.sort_array(F.collect_set("season")), ",").alias("seasons")
     )
+    return t.catalog.select("pid", "sku").join(hit, "pid", "left").withColumn("seasons", F.coalesce("seasons", F.lit("")))
 
 
 def counted(t):

@@ -27,7 +27,6 @@ CODE_SEASONS = [
     "fall27",
     "spring26",
 ]
-RETURN_ID_OFFSET = 1_000_000_000
 VERSION_LAYER = 1_000_000_000
 
 
@@ -142,7 +141,7 @@ def _lines(spark, sf_dir):
 
 
 def raw_sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sale lines with their sale header, plus customer-return sales."""
+    """Sale lines with their sale header, plus customer-return sales (negative ids)."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     base = _lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
@@ -175,7 +174,7 @@ def raw_sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     back = -F.least(qty, F.lit(2))
     returns = base.filter((key % 10 == 9) & (F.col("l_returnflag") != "R")).select(
-        (key + RETURN_ID_OFFSET).alias("sale_id"),
+        (-key).alias("sale_id"),
         (key * 2 + 1).alias("version"),
         F.lit("CLOSED").alias("status"),
         F.lit(None).cast("string").alias("deleted_at"),
@@ -377,9 +376,9 @@ def legacy_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", "brand_num",
     ]
     sums = rows.groupBy(*keys).agg(
-        S.money(F.sum(value)).alias("listed"),
-        S.money(F.sum(F.col("qty_stock") * F.col("price"))).alias("received"),
-        S.money(F.sum(F.col("qty_sold") * F.col("price"))).alias("sold"),
+        S.total(F.sum(value)).alias("listed"),
+        S.total(F.sum(F.col("qty_stock") * F.col("price"))).alias("received"),
+        S.total(F.sum(F.col("qty_sold") * F.col("price"))).alias("sold"),
         F.count(F.lit(1)).alias("n_products"),
     )
     marked_up = S.money(F.col("listed") * F.lit("1.1").cast("decimal(2,1)"))

@@ -37,11 +37,30 @@ class Log:
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def read(self, before: int | None = None) -> DataFrame:
-        """All entries, or those of batches with a smaller id."""
+        """All entries, or those of batches with a smaller id.
+
+        A finished base stands for all batches up to its id.
+        """
         with_batch = StructType(list(self.schema.fields)).add("batch_id", LongType())
         df = self.spark.read.schema(with_batch).parquet(self.path)
+        base = self.base()
+        if base is not None:
+            folded = self.spark.read.schema(self.schema).parquet(self.base_path(base))
+            folded = folded.withColumn("batch_id", F.lit(base).cast("long"))
+            df = df.filter(F.col("batch_id") > base).unionByName(folded)
         return df if before is None else df.filter(F.col("batch_id") < before)
 
+    def base_path(self, upto: int) -> str:
+        return f"{self.path}_base/upto={upto}"
+
+    def base(self) -> int | None:
+        """Newest finished base: the one whose write left its success mark."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        marks = hadoop(f"{self.path}_base/upto=*/_SUCCESS")
+        found = marks.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(marks)
+        names = [f.getPath().getParent().getName() for f in found or []]
+        return max((int(n.split("=")[1]) for n in names), default=None)
+
     def ensure(self) -> Log:
         """Make the folder exist (an empty batch before the first)."""
         empty = self.spark.createDataFrame([], self.schema)
@@ -91,8 +110,8 @@ class SalesLedger:
         "sold bigint, on_sale bigint, sale_amt decimal(18,4), sold_amt decimal(18,4), returned bigint"
     )
     DELTA = (
-        "pid bigint, sold bigint, on_sale bigint, sale_amt decimal(18,4), "
-        "sold_amt decimal(18,4), returned bigint, last_sold date"
+        "pid bigint, sold bigint, on_sale bigint, sale_amt decimal(38,4), "
+        "sold_amt decimal(38,4), returned bigint, last_sold date"
     )
 
     def __post_init__(self):
@@ -103,24 +122,37 @@ class SalesLedger:
         self.deltas = Log(self.spark, self.path + "/deltas", schema(self.DELTA)).ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Retract what the batch's sales contributed before, add the new."""
+        """Retract what the batch's sales contributed before, add the new.
+
+        Every version in the batch is followed, so the result is that of one batch
+        for each version: a return takes the version of its original that came before
+        it, and dates of versions already replaced still count as sold.
+        """
         # only the batch's sales and the originals of its returns are looked up
         keys = batch.select(F.explode(F.array("sale_id", "return_for")).alias("sale_id"))
         stored = self.entries.read(before=batch_id)
         known = latest(stored.join(keys.distinct(), "sale_id", "left_semi"), "sale_id")
         seen = known.select("sale_id", "version").distinct()
         # the same version again is no change
-        fresh = newest_in_batch(batch, "sale_id").join(seen, ["sale_id", "version"], "left_anti")
-        self.entries.write(self._new_entries(fresh, known), batch_id)
+        lines = batch.join(seen, ["sale_id", "version"], "left_anti")
+        versions = cut_lineage(self.spark, self._all_versions(lines, known, seen))
+        newest = versions.groupBy("sale_id").agg(F.max("version").alias("version"))
+        columns = [f.name for f in self.entries.schema]
+        current = versions.join(newest, ["sale_id", "version"], "left_semi")
+        self.entries.write(current.select(*columns), batch_id)
 
         new = self.spark.read.parquet(f"{self.entries.path}/batch_id={batch_id}")
         touched = new.select("sale_id").distinct()
         old = known.join(touched, "sale_id", "left_semi")
+        passed = versions.filter("pid IS NOT NULL").select("pid", "sale_date")
+        none = {m: F.lit(0) for m in SALE_MEASURES}
         signed = (
             old.withColumns({"sign": F.lit(-1), "sale_date": F.lit(None).cast("date")})
             .drop("batch_id")
             .unionByName(new.withColumn("sign", F.lit(1)))
             .filter("pid IS NOT NULL")
+            .select("pid", "sale_date", "sign", *SALE_MEASURES)
+            .unionByName(passed.withColumns({"sign": F.lit(0)} | none))
         )
         self.deltas.write(
             signed.groupBy("pid").agg(
@@ -133,29 +165,42 @@ class SalesLedger:
             batch_id,
         )
 
-    def _new_entries(self, fresh: DataFrame, known: DataFrame) -> DataFrame:
+    def _all_versions(self, lines: DataFrame, known: DataFrame, seen: DataFrame) -> DataFrame:
+        """Entries of every version in the batch; voided ones as a row without pid."""
         # used three times below, so it is computed once
         partials = cut_lineage(
-            self.spark, sales._partials(sales.classify(sales.live_lines(fresh), self.prices))
+            self.spark, sales._partials(sales.classify(sales.live_lines(lines), self.prices))
         )
         own = partials.select(*sales._KEYS, *sales._measures(F.lit(None).cast("string")))
-        # an original is looked up in this batch first, then in the ledger
-        stored = known.filter("pid IS NOT NULL").join(
-            own.select("sale_id").distinct(), "sale_id", "left_anti"
+        # the version of each original that came last before the return, batch or ledger
+        arrived = lines.select("sale_id", "version").unionByName(seen).distinct()
+        arrived = arrived.withColumnsRenamed({"sale_id": "return_for", "version": "o_version"})
+        back = partials.filter("return_for IS NOT NULL")
+        returns = back.select("sale_id", "version", "return_for").distinct()
+        before = (
+            returns.join(arrived, "return_for")
+            .filter("o_version < version")
+            .groupBy("sale_id", "version")
+            .agg(F.max("o_version").alias("last_version"))
         )
-        originals = sales._as_originals(
-            own.unionByName(stored.select(*sales._KEYS, *SALE_MEASURES))
+        stored = known.filter("pid IS NOT NULL").select(*sales._KEYS, *SALE_MEASURES)
+        originals = sales._as_originals(own.unionByName(stored))
+        chosen = back.join(before, ["sale_id", "version"], "left")
+        cond = (
+            (chosen["return_for"] == originals["o_sale_id"])
+            & (chosen["pid"] == originals["o_pid"])
+            & (chosen["last_version"] == originals["o_version"])
         )
-        resolved = sales._with_originals(partials, originals).select(
+        decided = chosen.join(originals, cond, "left").select(
             *sales._KEYS, *sales._measures(S.return_bucket("o_sold", "o_on_sale"))
         )
+        plain = own.filter("return_for IS NULL")
         gone = (
-            fresh.select("sale_id", "version", "return_for", "sale_date")
+            lines.select("sale_id", "version", "return_for", "sale_date")
             .distinct()
-            .join(partials.select("sale_id").distinct(), "sale_id", "left_anti")
+            .join(partials.select("sale_id", "version").distinct(), ["sale_id", "version"], "left_anti")
         )
-        columns = [f.name for f in self.entries.schema]
-        return resolved.unionByName(gone, allowMissingColumns=True).select(*columns)
+        return plain.unionByName(decided).unionByName(gone, allowMissingColumns=True)
 
     def totals(self) -> DataFrame:
         return self.deltas.read().groupBy("pid").agg(
@@ -219,7 +264,7 @@ class InventoryLedger:
     path: str
 
     def __post_init__(self):
-        schema = StructType.fromDDL("pid bigint, outlet string, amount bigint, version bigint")
+        schema = StructType.fromDDL("pid bigint, outlet string, amount decimal(20,4), version bigint")
         self.log = Log(self.spark, self.path + "/stock", schema).ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -256,16 +301,26 @@ class CatalogLedger:
 
 
 def compact(log: Log, reduced: DataFrame, upto: int) -> None:
-    """Fold batches up to ``upto`` into one: write the reduced rows aside, swap in.
+    """Fold the batches up to ``upto`` into a base.
 
-    Run only while no query of the stream is active. ``reduced`` must be a
-    function of the entries of batches up to ``upto``; it lands in batch ``upto``
-    and the smaller ids become empty, which keeps every later read unchanged.
+    ``reduced`` must be a function of the entries of those batches. The base counts from
+    the moment its success mark is there, which is the last thing its write does; until
+    then readers see the batches, afterwards the base. The folded batches are emptied
+    only later, so stopping anywhere leaves every read unchanged.
     """
-    side = f"{log.path}_compact_{upto}"
+    old = log.base()
     columns = [f.name for f in log.schema]
-    reduced.select(*columns).write.mode("overwrite").parquet(side)
-    ids = [r[0] for r in log.read().select("batch_id").distinct().filter(F.col("batch_id") < upto).collect()]
-    log.write(log.spark.read.schema(log.schema).parquet(side), upto)
-    for batch_id in ids:
-        log.write(log.spark.createDataFrame([], log.schema), batch_id)
+    reduced.select(*columns).write.mode("overwrite").parquet(log.base_path(upto))
+    drop_folded(log, upto, old)
+
+
+def drop_folded(log: Log, upto: int, old_base: int | None) -> None:
+    """Delete what a finished base has made superfluous."""
+    hadoop = log.spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(log.path).getFileSystem(log.spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(hadoop(log.path)):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and -1 < int(name.split("=")[1]) <= upto:
+            files.delete(status.getPath(), True)
+    if old_base is not None and old_base != upto:
+        files.delete(hadoop(log.base_path(old_base)), True)

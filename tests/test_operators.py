@@ -236,3 +236,79 @@ def test_sales_ledger_edits_voids_and_replays(spark, tmp_path):
     )
     ledger.compact(state.deltas, deltas, 2)
     assert totals_of(state) == before
+
+
+def test_sales_ledger_ignores_how_the_feed_is_cut(spark, tmp_path):
+    feed = [
+        line(1, 14, 1, 5, 400, full=100),  # discounted
+        line(7, 15, 1, -2, -160, back=1),  # returned to where it sold
+        line(1, 16, 1, 6, 600),  # the sale is edited afterwards
+        line(2, 17, 2, 4, 200, full=50),
+        line(2, 18, 2, 4, 200, full=50, status="VOIDED"),
+        line(8, 19, 2, -1, -50, back=2),  # its original is void by then
+        (9, 20, "CLOSED", None, None, dt.date(2025, 9, 9), 2, 1, D(50), None, D(50), "CONFIRMED"),
+        line(9, 21, 2, 1, 50, full=50),  # replaces a later sale date
+    ]
+    results = []
+    for name, size in (("one", 1), ("two", 2), ("three", 3), ("all", len(feed))):
+        state = sale_state(spark, tmp_path / name)
+        for k in range(0, len(feed), size):
+            state.process(spark.createDataFrame(feed[k : k + size], LINE), k // size)
+        results.append(sorted(map(tuple, state.totals().collect())))
+    assert all(r == results[0] for r in results)
+    assert {r[0]: r[-1] for r in results[0]} == {1: DAY, 2: dt.date(2025, 9, 9)}
+
+
+def test_compaction_may_stop_anywhere(spark, tmp_path, monkeypatch):
+    state = sale_state(spark, tmp_path)
+    for k in range(3):
+        state.process(spark.createDataFrame([line(k + 1, k + 1, 1, 2, 200)], LINE), k)
+    before = totals_of(state)
+    deltas = state.deltas.read().filter("batch_id <= 1").groupBy("pid").agg(
+        *[F.sum(m).cast(state.deltas.schema[m].dataType).alias(m) for m in ledger.SALE_MEASURES],
+        F.max("last_sold").alias("last_sold"),
+    )
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    real = ledger.drop_folded
+    monkeypatch.setattr(ledger, "drop_folded", stop)
+    with pytest.raises(RuntimeError):
+        ledger.compact(state.deltas, deltas, 1)
+    assert totals_of(state) == before == {1: (6, 0, 0)}
+    monkeypatch.setattr(ledger, "drop_folded", real)
+    real(state.deltas, 1, None)
+    assert totals_of(state) == before
+    state.process(spark.createDataFrame([line(4, 9, 1, 1, 100)], LINE), 3)
+    assert totals_of(state) == {1: (7, 0, 0)}
+
+
+def test_fractional_stock_counts(spark):
+    raw = spark.createDataFrame([(1, "2.5", 1), (1, "n/a", 2), (2, "3", 1)], "product_id bigint, qty string, version bigint")
+    assert {r["pid"]: r["on_hand"] for r in inventory.on_hand(inventory.normalize(raw)).collect()} == {1: D("2.5"), 2: D(3)}
+
+
+def test_large_sums_stay_exact(spark):
+    from retailflow.functions import scalars as S
+
+    df = spark.createDataFrame([(D("90000000000000.01"),)] * 2, "v decimal(18,4)")
+    assert df.select(S.total(F.sum("v")).alias("v")).first()["v"] == D("180000000000000.02")
+
+
+def test_replaced_season_may_become_empty(spark, tmp_path):
+    from retailflow.operators import sinks
+
+    path = str(tmp_path / "rows")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "v bigint, season string")
+    sinks.replace_partitions(rows, path, "season")
+    sinks.replace_partitions(rows.filter("false"), path, "season", ["b"])
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "a")]
+
+
+def test_last_write_of_a_key_wins(spark):
+    from retailflow.operators import sinks
+
+    old = spark.createDataFrame([("k", 1, 0)], "key string, v bigint, place bigint")
+    new = spark.createDataFrame([("k", 2, 1), ("k", 3, 2), ("n", 4, 3)], "key string, v bigint, place bigint")
+    assert sorted(map(tuple, sinks.latest_wins(old, new, ["key"], "place").collect())) == [("k", 3, 2), ("n", 4, 3)]
