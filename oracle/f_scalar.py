@@ -117,10 +117,13 @@ final(
 final(
     "f27_status_marks",
     """
-SELECT season, row_key, m AS marks, length(m) AS n FROM (
-  SELECT season, row_key, repeat('s', greatest(0, sold)) || repeat('d', greatest(0, on_sale))
-    || repeat('k', greatest(0, on_hand)) || repeat('r', greatest(0, ret_qty))
-    || repeat('o', greatest(0, on_order_qty)) AS m FROM t_rows)""",
+SELECT season, row_key,
+  concat_ws(',', CASE WHEN sold > 0 THEN 's:' || sold END, CASE WHEN on_sale > 0 THEN 'd:' || on_sale END,
+    CASE WHEN on_hand > 0 THEN 'k:' || on_hand END, CASE WHEN ret_qty > 0 THEN 'r:' || ret_qty END,
+    CASE WHEN on_order_qty > 0 THEN 'o:' || on_order_qty END) AS marks,
+  coalesce(greatest(0, sold), 0) + coalesce(greatest(0, on_sale), 0) + coalesce(greatest(0, on_hand), 0)
+    + coalesce(greatest(0, ret_qty), 0) + coalesce(greatest(0, on_order_qty), 0) AS n
+FROM t_rows""",
 )
 _P = pct("sold", "received")
 final(

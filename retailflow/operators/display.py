@@ -70,10 +70,11 @@ def vendor_index(vendors: DataFrame) -> DataFrame:
 
 
 def status_marks(order_of_units: list[tuple[str, str]]):
-    """Marks array: a letter repeated per unit, in status order."""
-    return F.concat(
+    """(mark, units) pairs in status order; marks without units are left out."""
+    pairs = F.array(
         *[
-            F.array_repeat(F.lit(mark), F.greatest(F.lit(0), F.col(c)).cast("int"))
+            F.struct(F.lit(mark).alias("mark"), F.greatest(F.lit(0), F.col(c)).cast("bigint").alias("n"))
             for mark, c in order_of_units
         ]
     )
+    return F.filter(pairs, lambda p: p["n"] > 0)

@@ -238,9 +238,9 @@ def f26(t):
 def f27(t):
     order = [("s", "sold"), ("d", "on_sale"), ("k", "on_hand"), ("r", "ret_qty"), ("o", "on_order_qty")]
     marks = display.status_marks(order)
-    return t.report_rows().select(
-        "season", "row_key", F.array_join(marks, "").alias("marks"), F.size(marks).alias("n")
-    )
+    shown = F.transform(marks, lambda p: F.concat_ws(":", p["mark"], p["n"].cast("string")))
+    units = F.aggregate(marks, F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
+    return t.report_rows().select("season", "row_key", F.array_join(shown, ",").alias("marks"), units.alias("n"))
 
 
 @query("f28_percent_bands", "season:s dept_id:s band:s")

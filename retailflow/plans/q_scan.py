@@ -242,7 +242,7 @@ def k02(t):
 @query("k03_upsert_legacy_vendors", "season:s vendor_key:s vendor_name:s ordered:d")
 def k03(t):
     path = work_dir(t.spark, "override_vendor")
-    sinks.latest_wins(t.legacy_vendors, t.vendor_updates, ["season", "vendor_key"]).write.partitionBy(
+    sinks.latest_wins(t.legacy_vendors, t.vendor_updates, ["season", "vendor_key"], "v_ordinal").write.partitionBy(
         "season"
     ).parquet(path)
     return t.spark.read.parquet(path)
@@ -261,7 +261,7 @@ def k04(t):
     keys = F.struct("v_ordinal", "vendor_key").asc()
     fresh = update.join(old, ["season", "vendor_key"], "left_anti")
     index = sinks.merge_index(ordinal_per_season(old, keys), ordinal_per_season(fresh, keys))
-    records = sinks.latest_wins(old, update, ["season", "vendor_key"])
+    records = sinks.latest_wins(old, update, ["season", "vendor_key"], "v_ordinal")
     return index.join(records.select("season", "vendor_key", "ordered"), ["season", "vendor_key"]).withColumnRenamed(
         "ordinal", "place"
     )

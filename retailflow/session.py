@@ -22,6 +22,9 @@ RUNTIME_CONF = {
 }
 
 
+_OWN: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings every plan in this package expects."""
     for key, value in RUNTIME_CONF.items():
@@ -47,8 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused folder below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder below the application's part of the shared folder.
+
+    That part is deleted when the application's driver ends.
+    """
+    base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if base not in _OWN:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _OWN.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(spark: SparkSession, df):
