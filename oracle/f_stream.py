@@ -14,7 +14,8 @@ final(
     "t03_consignment_reconcile",
     """
 SELECT pid, sum(qty_ordered) AS qty_ordered, sum(qty_received) AS qty_received,
-  sum(qty_returned) AS qty_returned FROM t_entries_live GROUP BY pid
+  sum(qty_returned) AS qty_returned, (SELECT min(date) FROM t_entries_all) AS sales_floor
+FROM t_entries_live GROUP BY pid
 HAVING sum(qty_ordered) <> 0 OR sum(qty_received) <> 0 OR sum(qty_returned) <> 0""",
 )
 final("t04_inventory_upsert", "SELECT * FROM t_on_hand")

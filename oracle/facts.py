@@ -99,6 +99,7 @@ GROUP BY ALL"""
 
 
 fragment("t_entries", entries("t_consign_lines"))
+fragment("t_entries_all", entries("t_consign_versions"))
 fragment(
     "t_entries_baked",
     entries("(SELECT * FROM t_consign_lines WHERE consignment_id % 499 <> 0)"),

@@ -46,11 +46,11 @@ def t02(t):
     return t.spark.read.parquet(path)
 
 
-@query("t03_consignment_reconcile", "pid:i " + QTYS)
+@query("t03_consignment_reconcile", "pid:i " + QTYS + " sales_floor:s")
 def t03(t):
     state = ledger.ConsignmentLedger(t.spark, work_dir(t.spark, "consign_state"))
     drain(t, "consign", t.consign_version_layers, state.process)
-    return consign.totals(state.entries())
+    return consign.totals(state.entries()).withColumn("sales_floor", state.floor().scalar())
 
 
 @query("t04_inventory_upsert", "pid:i on_hand:i")

@@ -227,8 +227,11 @@ class ConsignmentLedger:
     def __post_init__(self):
         schema = StructType.fromDDL(self.ENTRY)
         self.log = Log(self.spark, self.path + "/entries", schema).ensure()
+        self.dates = Log(self.spark, self.path + "/dates", StructType.fromDDL("date date")).ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        # the earliest date ever seen stays, also when its version is replaced later
+        self.dates.write(consign.live_headers(batch).agg(F.min("date").alias("date")), batch_id)
         stored = self.log.read(before=batch_id)
         keys = batch.select("consignment_id").distinct()
         known = latest(stored.join(keys, "consignment_id", "left_semi"), "consignment_id")
@@ -248,6 +251,10 @@ class ConsignmentLedger:
     def entries(self) -> DataFrame:
         return latest(self.log.read(), "consignment_id").filter("pid IS NOT NULL").drop("batch_id")
 
+    def floor(self) -> DataFrame:
+        """Earliest date of any consignment that was live when it arrived."""
+        return self.dates.read().agg(F.min("date").alias("date"))
+
     def cursors(self) -> DataFrame:
         """Newest version per consignment type."""
         return self.log.read().groupBy("type").agg(F.max("version").alias("version"))
