@@ -40,6 +40,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from retailflow.plans.catalogue import QUERIES
+    from retailflow.plans.report import FACT_TABLES, Tables
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -54,8 +55,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/region.parquet").count()
-    # tables written once by the first query that needs them are timed there
-    times = {}
+    # fact tables are written once per application; that is a line of its own
+    start = time.time()
+    tables = Tables(spark, sf_dir)
+    for name in sorted(FACT_TABLES):
+        getattr(tables, name)
+    times = {"staging_of_facts": round(time.time() - start, 3)}
     for name in HEADLINE:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
