@@ -150,21 +150,29 @@ def contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def version_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
-    """Contributions of every version ever seen.
+def version_partials(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    """Sums per (sale, version, pid) of every version ever seen.
 
-    A return uses the version of its original that was current when it arrived;
-    ``counts`` is false for versions that void the sale.
+    The one pass over the lines that the version rules need; ``counts`` is false for
+    versions that void the sale.
     """
     ok = S.sale_counts("status") & ~S.sale_is_void("status", "deleted_at")
-    valid = valid_lines(lines)
+    return _partials(classify(valid_lines(lines), prices), ok)
+
+
+def version_contributions(partials: DataFrame) -> DataFrame:
+    """Contributions of every version, from ``version_partials`` (best written once).
+
+    A return uses the version of its original that was current when it arrived.
+    """
     is_return = F.col("return_for").isNotNull()
-    back = valid.filter(is_return)
-    plain = _partials(classify(valid.filter(~is_return), prices), ok)
-    returned = _partials(classify(back, prices), ok)
+    plain, returned = partials.filter(~is_return), partials.filter(is_return)
+    wanted = returned.select(F.col("return_for").alias("sale_id")).distinct()
+    named = partials.join(wanted, "sale_id", "left_semi")
+    originals = _as_originals(named.select(*_KEYS, *_plain_measures()))
     keys = ["sale_id", "version", "pid"]
     decided = (
-        _with_originals(returned, _originals_of(valid, back, prices, ok))
+        _with_originals(returned, originals)
         .groupBy(*keys)
         .agg(F.max_by(F.struct("o_sold", "o_on_sale"), F.col("o_version")).alias("o"))
     )
@@ -183,11 +191,11 @@ def newest(lines: DataFrame) -> DataFrame:
     return lines.join(current_versions(lines), ["sale_id", "version"], "left_semi")
 
 
-def current_contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
-    """Contributions of the newest version of each sale."""
+def current_contributions(partials: DataFrame, current: DataFrame) -> DataFrame:
+    """Contributions of the newest version of each sale (``current_versions``)."""
     return (
-        version_contributions(lines, prices)
-        .join(current_versions(lines), ["sale_id", "version"], "left_semi")
+        version_contributions(partials)
+        .join(current, ["sale_id", "version"], "left_semi")
         .filter("counts")
     )
 
@@ -200,11 +208,10 @@ def totals(contribs: DataFrame) -> DataFrame:
     )
 
 
-def store_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
+def store_totals(partials: DataFrame, current: DataFrame) -> DataFrame:
     """Live totals per pid with the latest sale date over all history."""
-    history = version_contributions(lines, prices).filter("counts")
-    current = current_versions(lines).withColumn("_live", F.lit(True))
-    marked = history.join(current, ["sale_id", "version"], "left")
+    history = version_contributions(partials).filter("counts")
+    marked = history.join(current.withColumn("_live", F.lit(True)), ["sale_id", "version"], "left")
     live = F.coalesce("_live", F.lit(False))
     return marked.groupBy("pid").agg(
         *[S.zero(F.sum(F.when(live, F.col(m)))).alias(m) for m in ("sold", "on_sale", "returned")],

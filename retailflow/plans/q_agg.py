@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
@@ -21,14 +20,13 @@ SALE_SUMS = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
 
 def all_versions(t):
-    return reduce(DataFrame.unionByName, t.sale_version_layers)
+    return t.all_sale_versions
 
 
 @query("a02_signed_contributions", TOTALS)
 def a02(t):
     """Change per pid between the first load and now: minus old, plus new."""
-    lines = all_versions(t)
-    new = sales.current_contributions(lines, t.prices).withColumn("sign", F.lit(1))
+    new = sales.current_contributions(t.sale_partials, t.current_sales).withColumn("sign", F.lit(1))
     old = t.sales().withColumn("counts", F.lit(True)).withColumn("sign", F.lit(-1))
     signed = new.unionByName(old)
     sums = signed.groupBy("pid").agg(
@@ -40,13 +38,15 @@ def a02(t):
 @query("a04_rebuild_from_ledger", "n_pids:i sold:i on_sale:i sale_amt:d returned:i max_version:i")
 def a04(t):
     """Totals and cursor recomputed from ledger entries alone."""
-    ledger = t.sales()
-    per_pid = sales.totals(ledger)
-    cursor = ledger.agg(F.max("version")).scalar()
+    sums = ("sold", "on_sale", "sale_amt", "returned")
+    per_pid = t.sales().groupBy("pid").agg(
+        *[F.sum(m).alias(m) for m in sums], F.max("version").alias("max_version")
+    )
     return per_pid.agg(
         F.count(F.lit(1)).alias("n_pids"),
-        *[F.sum(m).alias(m) for m in ("sold", "on_sale", "sale_amt", "returned")],
-    ).withColumn("max_version", cursor)
+        *[F.sum(m).alias(m) for m in sums],
+        F.max("max_version").alias("max_version"),
+    )
 
 
 PO = (

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.operators import consign, rollup
@@ -35,8 +32,7 @@ def a01(t):
 
 @query("a03_store_aggregate", TOTALS + " last_sold:s")
 def a03(t):
-    lines = reduce(DataFrame.unionByName, t.sale_version_layers)
-    return sales.store_totals(lines, t.prices)
+    return sales.store_totals(t.sale_partials, t.current_sales)
 
 
 @query("a05_consignment_entry", "consignment_id:i type:s date:s pid:i " + QTYS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from threading import Lock
 
 from pyspark import inheritable_thread_target
@@ -25,8 +26,10 @@ _STAGED: dict[tuple, str] = {}
 _LOCKS: dict[tuple, Lock] = {}
 _GUARD = Lock()
 
-# Fact tables the adapter joins together; a deployment has them as tables.
-FACT_TABLES = {"raw_sale_lines", "raw_consign_lines", "pos_entries", "pos_transactions"}
+# Shapes of the joined order lines. Those that look up products are written once; a
+# plain projection of the joined lines is not. A deployment has them as tables.
+LINE_SHAPES = {"raw_sale_lines", "raw_consign_lines", "pos_entries", "pos_transactions"}
+FACT_TABLES = {"order_lines"} | LINE_SHAPES - {"raw_consign_lines"}
 
 
 class Tables:
@@ -44,10 +47,11 @@ class Tables:
         source = getattr(adapter, name, None)
         if source is None:
             raise AttributeError(name)
-        if name in FACT_TABLES:
-            value = self.staged(name, lambda: source(self.spark, self.sf_dir))
-        else:
-            value = source(self.spark, self.sf_dir)
+        def build():
+            more = [self.order_lines] if name in LINE_SHAPES else []
+            return source(self.spark, self.sf_dir, *more)
+
+        value = self.staged(name, build) if name in FACT_TABLES else build()
         setattr(self, name, value)
         return value
 
@@ -123,6 +127,18 @@ class Tables:
             lines = lines.filter(F.col("sale_id") % UNSEEN_SALE != 0)
         return sales.contributions(lines, self.prices)
 
+    @property
+    def all_sale_versions(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.sale_version_layers)
+
+    @property
+    def sale_partials(self) -> DataFrame:
+        return self.staged("sale_partials", lambda: sales.version_partials(self.all_sale_versions, self.prices))
+
+    @property
+    def current_sales(self) -> DataFrame:
+        return self.staged("current_sales", lambda: sales.current_versions(self.all_sale_versions))
+
     def entries(self, baked: bool = False) -> DataFrame:
         lines = self.raw_consign_lines
         if baked:

@@ -131,19 +131,20 @@ def departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.unionByName(empty).withColumn("dept_name", F.col("dept_id"))
 
 
-def _lines(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "lineitem")
-        .join(
-            table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-        )
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order header: the one large join all fact shapes share."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus",
     )
+    heads = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def raw_sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_sale_lines(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """Sale lines with their sale header, plus customer-return sales (negative ids)."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    base = _lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    base = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     price, disc = _dec("p_retailprice"), _dec("l_discount", 4, 2)
     full = F.lit(1).cast("decimal(4,2)")
@@ -204,11 +205,11 @@ def sale_version_layers(first: DataFrame) -> list[DataFrame]:
     return [first, edits, voids]
 
 
-def raw_consign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_consign_lines(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """Purchase-order and vendor-return lines with their header."""
     key = F.col("l_orderkey")
     qty = F.col("l_quantity").cast("bigint")
-    return _lines(spark, sf_dir).select(
+    return lines.select(
         key.alias("consignment_id"),
         F.when(key % 10 == 0, "SUPPLIER_RETURN")
         .when(key % 5 == 0, "RETURN")
@@ -392,13 +393,13 @@ def legacy_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pos_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pos_entries(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """Purchase-order entries of the old POS (type 0 orders, 3 vendor returns)."""
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     key = F.col("l_orderkey")
     return (
-        _lines(spark, sf_dir)
+        lines
         .join(part.withColumn("sku", S.sku_of(_sku())), F.col("l_partkey") == F.col("p_partkey"))
         .filter(F.col("sku").contains("/"))
         .join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (key % 53 != 0), "left")
@@ -425,7 +426,7 @@ def pos_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pos_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pos_transactions(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """Register transactions of the old POS; price is the unit price paid."""
     part = table(spark, sf_dir, "part")
     disc = _dec("l_discount", 4, 2)
@@ -433,7 +434,7 @@ def pos_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = F.when(F.col("l_linenumber") % 2 == 0, one - disc).otherwise(one).cast("decimal(4,2)")
     qty = F.col("l_quantity").cast("bigint")
     return (
-        _lines(spark, sf_dir)
+        lines
         .join(part.withColumn("sku", S.sku_of(_sku())), F.col("l_partkey") == F.col("p_partkey"))
         .filter(F.col("sku").contains("/"))
         .select(
