@@ -12,8 +12,22 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Python workers get Arrow batches of bounded size, however long the texts are.
+ARROW = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in ARROW.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str, folders: list | None = None) -> DataFrame:
@@ -22,7 +36,7 @@ def staged(spark: SparkSession, df: DataFrame, name: str, folders: list | None =
     Cuts the lineage: what follows survives lost executors without recomputing
     ``df``. ``folders`` collects the paths, for ``forget`` once nothing reads them.
     """
-    path = work_dir(spark, name)
+    path = work_dir(tune(spark), name)
     df.write.parquet(path)
     if folders is not None:
         folders.append(path)
@@ -48,6 +62,40 @@ def worker_cache(name: str, make):
     return getattr(store, name)
 
 
+def whole_groups(batches, key: str):
+    """Arrow tables that hold whole runs of equal ``key``; rows arrive sorted by it."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        piece = pa.Table.from_batches([batch])
+        held = piece if held is None else pa.concat_tables([held, piece])
+        values = held.column(key).to_numpy()
+        last = np.flatnonzero(values[1:] != values[:-1])
+        if len(last):
+            yield held.slice(0, int(last[-1]) + 1)
+            held = held.slice(int(last[-1]) + 1)
+    if held is not None:
+        yield held
+
+
+def meeting_blocks(rows: DataFrame, bucket: list[str], member: str, block: int) -> DataFrame:
+    """Deal the members of buckets into meetings of two blocks each.
+
+    ``rows`` has ``size``, the members of its bucket. Every block meets itself and every
+    other block of the bucket once, so two members meet exactly once whatever the size.
+    Adds side, low, high (block numbers) and group (a hash of the meeting).
+    """
+    blocks = F.ceil(F.col("size") / block)
+    rows = rows.withColumn("_blocks", blocks).withColumn("side", F.pmod(F.xxhash64(member), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("side", "_other"), "high": F.greatest("side", "_other")})
+    return rows.withColumn("group", F.xxhash64(*bucket, "low", "high")).drop("_other", "_blocks")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,11 +33,11 @@ def components(links: DataFrame) -> DataFrame:
         new: list = []
         following = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         following = staged(spark, following, "components", new)
-        # done when every node has one neighbour and that neighbour is no node's child
-        parents = following.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        open_ = parents.where("n > 1").limit(1).count() or following.join(
-            parents.select(F.col("u").alias("v")), "v", "left_semi"
-        ).limit(1).count()
+        # done when every child has one parent and no parent is a child
+        ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("n")), F.struct(F.col("v").alias("id"), F.lit(0).alias("n"))))
+        roles = following.select(ends.alias("e")).groupBy("e.id")
+        roles = roles.agg(F.sum("e.n").alias("parents"), F.min("e.n").alias("least"))
+        open_ = roles.where("parents > 1 or (parents = 1 and least = 0)").limit(1).count()
         forget(spark, old)
         edges, old = following, new
         if not open_:

@@ -6,15 +6,15 @@ after them (10 bits). Runs of six registers (empty buckets borrow from a bucket
 by a fixed random order) make 42 band keys; two sets of similarity 0.8 share no band key
 with probability below 3e-6, at 0.85 below 3e-9.
 
-Copies (equal sets) collapse first. Documents sharing a band key are then compared in
-rounds around hubs: in each round the members of a band bucket meet a few hubs, those
-standing in the largest buckets first, and only members not yet in the hub's component.
-Hubs leave a bucket once compared, buckets whose members all share a component are done,
-and the number of hubs doubles each round. So a group of thousands of near copies costs
-about one comparison a document, and still no pair of a bucket is left out: in the end
-each pair was either compared or already connected. Compared pairs pass the
-collision-corrected estimate of their registers (six standard errors of slack), then the
-full sets decide.
+Copies (equal sets) collapse first. Members of a small band bucket are compared pair by
+pair. Those of a large one first meet a few hubs, the documents standing in the largest
+buckets, which unites most groups of near copies at one comparison a document. Buckets
+that still hold different components are then compared in blocks of members, a pair of
+blocks a task: the blocks' sets become a matrix over shared shingles and its product
+counts every intersection; only the links that connect components leave the task. So no
+pair of a bucket is left out and none is emitted beyond the small buckets and the hubs.
+Pairs with hubs and in small buckets pass the collision-corrected estimate of their
+registers (six standard errors of slack), then the full sets decide.
 
 Defined results
 * fewer words than a shingle: the whole sequence is the only one; no words or null text:
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import staged
+from retailflow.llm.common import meeting_blocks, shuffle_parts, staged, whole_groups
 from retailflow.llm.components import components
 
 BUCKETS, LOG_BUCKETS = 256, 8
@@ -43,7 +43,10 @@ MANTISSA = 10
 CHANCE = 0.169919487159739093975315012348
 BROADCAST_PAIRS = 500_000  # pairs (16 bytes each) up to which they are broadcast
 SLACK = 6  # standard errors of the estimate
-ALL_PAIRS = 8  # buckets up to this many members are compared whole in the first round
+SMALL = 16  # buckets up to this many members are compared pair by pair
+HUBS = 4  # documents that all members of a larger bucket meet first
+BLOCK = 256  # members of a block
+COLUMNS = 8192  # shingles of a block that are counted at once
 
 
 def _mix(x):
@@ -262,37 +265,123 @@ def linked(docs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     live = staged(spark, bands.join(sizes, "band"), "minhash-buckets")
     # documents that meet most others become hubs first
     weight = live.groupBy("id").agg(F.sum("size").alias("weight"))
-    live = live.join(weight, "id").select("band", "id", "weight")
-    none = spark.createDataFrame([], "a long, b long")
-    links, tried, labels, hubs = none, none, spark.createDataFrame([], "id long, component long"), 1
-    while True:
-        marked = staged(
-            spark,
-            live.join(labels, "id", "left").select("band", "id", "weight", F.coalesce("component", "id").alias("label")),
-            "minhash-live",
-        )
-        open_ = marked.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"))
-        open_ = open_.where("l0 <> l1").select("band", "size")
-        live = staged(spark, marked.join(open_, "band"), "minhash-open")
-        if not live.limit(1).count():
-            return labels
-        # the next hubs of every bucket; a small bucket is compared whole at once
-        order = W.partitionBy("band").orderBy(F.desc("weight"), "id")
-        top = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(hubs, ALL_PAIRS))
-        top = top.where((F.col("size") <= ALL_PAIRS) | (F.col("place") <= hubs)).select("band", "id", "label", "place")
-        top = staged(spark, top, "minhash-hubs")
-        # hub x member across components; of two hubs the earlier one is the hub
-        own = top.select("band", "id", F.col("place").alias("own"))
-        member = live.join(own, ["band", "id"], "left").select("band", F.col("id").alias("b"), F.col("label").alias("lb"), "own")
-        h = top.select("band", "place", F.col("id").alias("a"), F.col("label").alias("la"))
-        pairs = member.join(h, "band").where("la <> lb and (own is null or own > place)").select("a", "b").distinct()
-        pairs = staged(spark, pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        near = staged(spark, _passing(pairs, pairs.count(), sketch, percent), "minhash-near")
-        new = staged(spark, _verified(near, near.count(), docs, percent), "minhash-links")
-        links, tried = links.unionByName(new), tried.unionByName(pairs)
-        labels = components(links)
-        live = live.join(own.drop("own"), ["band", "id"], "left_anti").select("band", "id", "weight")
-        hubs *= 2
+    live = staged(spark, live.join(weight, "id").select("band", "id", "size", "weight"), "minhash-live")
+    # first the small buckets whole, and the large ones around a few hubs
+    order = W.partitionBy("band").orderBy(F.desc("weight"), "id")
+    top = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SMALL)
+    top = top.where((F.col("size") <= SMALL) | (F.col("place") <= HUBS)).select("band", "id", "place")
+    top = staged(spark, top, "minhash-hubs")
+    # of two hubs the earlier one is the hub
+    own = top.select("band", "id", F.col("place").alias("own"))
+    member = live.join(own, ["band", "id"], "left").select("band", F.col("id").alias("b"), "own")
+    pairs = member.join(top.withColumnRenamed("id", "a"), "band").where("own is null or own > place")
+    pairs = staged(spark, pairs.select("a", "b").distinct(), "minhash-pairs")
+    near = staged(spark, _passing(pairs, pairs.count(), sketch, percent), "minhash-near")
+    links = staged(spark, _verified(near, near.count(), docs, percent), "minhash-links")
+    labels = components(links)
+    # then what large buckets still hold of different components
+    rest = live.where(F.col("size") > SMALL).join(own.drop("own"), ["band", "id"], "left_anti")
+    rest = rest.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+    open_ = rest.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size"))
+    rest = staged(spark, rest.join(open_.where("l0 <> l1").select("band", "size"), "band"), "minhash-open")
+    if not rest.limit(1).count():
+        return labels
+    more = staged(spark, _block_links(rest, docs, percent), "minhash-block-links")
+    return components(links.unionByName(more))
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    ids = ids.select("id").distinct()
+    return _attach(ids, ids.count(), texts, "id").dropDuplicates(["id"])
+
+
+def _block_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside large buckets: compared exactly, in blocks.
+
+    A block's sets become a matrix over the shingles that at least two of them share; its
+    product with itself counts all intersections at once. Only links that connect
+    components come back, fewer than a block has members.
+    """
+    spark = rest.sparkSession
+
+    def hash_texts(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        shingles = Shingler()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    sets = staged(spark, _texts_of(rest, docs).mapInArrow(hash_texts, "id long, set binary"), "minhash-open-sets")
+    rows = meeting_blocks(rest, ["band"], "id", BLOCK).join(sets, "id")
+    rows = rows.select("group", "band", "low", "high", "side", "id", "label", "set")
+    dealt = rows.repartition(shuffle_parts(spark), "group").sortWithinPartitions("group", "band", "low", "high")
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in whole_groups(batches, "group"):
+            key = np.stack([part.column(c).to_numpy() for c in ("group", "band", "low", "high")], axis=1)
+            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            found = []
+            for lo, hi in zip([0, *edges], [*edges, len(key)]):
+                own = part.slice(lo, hi - lo)
+                side = own.column("side").to_numpy()
+                cross = own.column("low")[0] != own.column("high")[0]
+                own_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("set")]
+                ids, labels = own.column("id").to_numpy(), own.column("label").to_numpy()
+                found.extend(connecting(own_sets, ids, labels, side if cross else None, percent))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def connecting(sets: list, ids, labels, side, percent: int) -> list[tuple[int, int]]:
+    """Links that connect different labels among ``sets``; with ``side``, only across it."""
+    import numpy as np
+
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    counts = np.diff(np.concatenate((starts, [len(flat)])))
+    column = np.repeat(np.cumsum(counts > 1) - 1, counts)
+    shared = np.repeat(counts > 1, counts)
+    column, owner = column[shared], owner[shared]
+    common = np.zeros((n, n), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        k = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        has = np.zeros((n, min(COLUMNS, width - low)), np.float32)
+        has[owner[k], column[k] - low] = 1
+        common += has @ has.T
+    linked = 100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None] - common.astype(np.int64))
+    linked &= (common > 0) & (labels[:, None] != labels[None])
+    if side is not None:
+        linked &= side[:, None] != side[None]
+    parent = {x: x for x in labels.tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = root(int(labels[i])), root(int(labels[j]))
+        if a != b:
+            parent[b] = a
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
