@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import shuffle_parts, staged
+from retailflow.llm.common import meeting_blocks, shuffle_parts, staged, whole_groups
 from retailflow.llm.components import components
 
 ROUNDS = 3  # sign flips and transforms of a rotation
@@ -219,18 +219,12 @@ def linked_counts(
     per_table = F.size("codes") / tables
     each = each.withColumn("tab", F.floor(F.col("_place") / per_table).cast("int")).drop("_place")
     sizes = each.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block))
-    rows = each.join(sizes, bucket).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # block k of a bucket meets itself and every other block once
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("side", "_other"), "high": F.greatest("side", "_other")})
-    rows = rows.withColumn("group", F.xxhash64(*bucket, "low", "high"))
+    rows = meeting_blocks(each.join(sizes, bucket), bucket, "node", block)
     rows = rows.select("group", "dim", "tab", "code", "low", "high", "side", "node", "mult", "v", "codes", F.xxhash64("label").alias("label"))
     dealt = rows.repartition(shuffle_parts(spark), "group").sortWithinPartitions("dim", "group", "label", "tab", "code", "low", "high")
 
     def compare(batches):
         import numpy as np
-        import pyarrow as pa
 
         def unpack(part):
             get = lambda c: part.column(c).to_numpy()
@@ -255,19 +249,9 @@ def linked_counts(
                 _compare(unpack(part.slice(lo, hi - lo)), threshold, found, small=48)
             return found.batch()
 
-        found, held = _Found(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            piece = pa.Table.from_batches([batch])
-            held = piece if held is None else pa.concat_tables([held, piece])
-            group = held.column("group").to_numpy()
-            cut = _last_start(group)
-            if cut:
-                yield flush(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield flush(held)
+        found = _Found()
+        for part in whole_groups(batches, "group"):
+            yield flush(part)
 
     return dealt.mapInArrow(compare, "node long, other long, n long")
 
@@ -280,11 +264,6 @@ def _runs(values):
     return starts, np.concatenate((starts[1:], [len(values)]))
 
 
-def _last_start(values) -> int:
-    """Where the last run of equal values starts."""
-    return int(_runs(values)[0][-1])
-
-
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.98, tables: int = 4, axes: int = 2, probes: int = 4, block: int = 1024
 ) -> DataFrame:
