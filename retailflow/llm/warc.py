@@ -34,6 +34,7 @@ from retailflow.llm.common import staged
 from retailflow.session import work_dir
 
 CRLF = "\r\n"
+BROADCAST_MARKS = 200_000  # rows of about 100 bytes
 RECORDS = (
     "record_id string, kind string, segment int, origin string, total long, page_id long, "
     "refers_to string, refers_page long, digest string, block binary"
@@ -169,6 +170,9 @@ def write_archives(
     f = facts.where("elsewhere or copies > 1").select(
         F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "copies", "keeper", "elsewhere"
     )
+    # few enough marks go to where the pages are; otherwise both sides are shuffled
+    if f.count() <= BROADCAST_MARKS:
+        f = F.broadcast(f)
     marked = rows.join(f, rows["page_id"].eqNullSafe(f["_page"]) & (rows["digest"] == f["_digest"]), "left")
     marked = marked.select(
         "page_id",
