@@ -120,10 +120,12 @@ SELECT * FROM (
   SELECT season, sku, qty_placed AS old_ordered, placed_retail AS old_retail FROM t_placed)
 FULL JOIN (SELECT season, sku, units AS old_returned FROM t_pos_returns WHERE season IS NOT NULL)
   USING (season, sku)
+FULL JOIN (SELECT sku, {closed("sku")} AS season, sum(quantity) AS old_sold FROM t_pos_tx GROUP BY sku
+    HAVING ({closed("sku")}) IS NOT NULL) USING (season, sku)
 FULL JOIN (SELECT season, sku_key AS sku, max(qty_ordered) AS import_ordered,
-    max(qty_returned) AS import_returned FROM t_legacy_in GROUP BY ALL) USING (season, sku)
+    max(qty_returned) AS import_returned, max(qty_sold + qty_sale) AS import_sold FROM t_legacy_in GROUP BY ALL) USING (season, sku)
 FULL JOIN (SELECT season, {sku_of("sku")} AS sku, sum(ordered_qty) AS row_ordered,
-    sum(ret_qty) AS row_returned FROM t_rows WHERE sku <> '' GROUP BY ALL) USING (season, sku)
+    sum(ret_qty) AS row_returned, sum(sold + on_sale) AS row_sold FROM t_rows WHERE sku <> '' GROUP BY ALL) USING (season, sku)
 WHERE season IN ('spring25', 'fall25', 'spring26', 'fall26')""",
 )
 final("j16_three_way_by_sku", "SELECT * FROM t_three")

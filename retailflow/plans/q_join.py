@@ -140,21 +140,26 @@ def three_way(t):
     ).filter("season IS NOT NULL")
     gated = L.in_season(t.legacy, t.codes)
     imported = gated.groupBy("season", F.col("sku_key").alias("sku")).agg(
-        F.max("qty_ordered").alias("import_ordered"), F.max("qty_returned").alias("import_returned")
+        F.max("qty_ordered").alias("import_ordered"), F.max("qty_returned").alias("import_returned"),
+        F.max(F.col("qty_sold") + F.col("qty_sale")).alias("import_sold"),
     )
+    sold = t.pos_transactions.groupBy("sku").agg(F.sum("quantity").alias("old_sold")).select(
+        pos_history.closed_season("sku").alias("season"), "sku", "old_sold"
+    ).filter("season IS NOT NULL")
     rows = t.report_rows().filter("sku <> ''").groupBy("season", S.sku_of("sku").alias("sku")).agg(
-        F.sum("ordered_qty").alias("row_ordered"), F.sum("ret_qty").alias("row_returned")
+        F.sum("ordered_qty").alias("row_ordered"), F.sum("ret_qty").alias("row_returned"),
+        F.sum(F.col("sold") + F.col("on_sale")).alias("row_sold"),
     )
     out = orders
-    for side in (returns, imported, rows):
+    for side in (returns, sold, imported, rows):
         out = out.join(side, ["season", "sku"], "full_outer")
     return out.filter(F.col("season").isin(pos_history.CLOSED_SEASONS))
 
 
 @query(
     "j16_three_way_by_sku",
-    "season:s sku:s old_ordered:i old_returned:i import_ordered:i import_returned:i "
-    "row_ordered:i row_returned:i",
+    "season:s sku:s old_ordered:i old_returned:i old_sold:i import_ordered:i import_returned:i "
+    "import_sold:i row_ordered:i row_returned:i row_sold:i",
 )
 def j16(t):
     return three_way(t)
