@@ -398,7 +398,10 @@ UNION ALL
   season, dept_id || '/' || vendor_key, ordered FROM t_vendor_totals QUALIFY rank <= 30)
 UNION ALL
 (SELECT 'gaps', row_number() OVER (ORDER BY season, row_key || '/' || code) AS rank, season,
-  row_key || '/' || code, NULL FROM t_gaps QUALIFY rank <= 200)""",
+  row_key || '/' || code, NULL FROM t_gaps QUALIFY rank <= 200)
+UNION ALL
+(SELECT 'mismatches', row_number() OVER (ORDER BY season, row_key || '/' || field) AS rank, season,
+  row_key || '/' || field, delta FROM t_mismatches QUALIFY rank <= 100)""",
 )
 final(
     "o05_capped_candidates",

@@ -51,6 +51,10 @@ def shown(c):
     return f"CASE WHEN field = 'saleAmt' THEN {round2(c)} ELSE CAST({c} AS DOUBLE) END"
 
 
+fragment(
+    "t_mismatches",
+    f"SELECT season, row_key, field, {round2('(actual - expected)')} AS delta FROM t_checked WHERE drift",
+)
 final(
     "v01_validation_mismatches",
     f"""

@@ -439,7 +439,13 @@ def o03(t):
 
 @query("o04_top_k", "report:s rank:i season:s key:s value:d")
 def o04(t):
-    """Largest vendor changes, largest vendors, first data gaps."""
+    """Largest vendor changes, largest vendors, first data gaps and mismatches."""
+    from retailflow.plans.q_check import v01_rows
+
+    wrong = v01_rows(t).select(
+        F.lit("mismatches").alias("report"), "season", F.concat_ws("/", "row_key", "field").alias("key"),
+        F.col("delta").cast("double").alias("value"),
+    )
     plan = pos_history.ordered_plan(t.pos_entries, t.legacy, t.vendors_of_record)
     changes = plan.filter("NOT residual").select(
         F.lit("changes").alias("report"), "season", F.col("vendor_key").alias("key"),
@@ -459,6 +465,7 @@ def o04(t):
         top_k(changes, 12, F.abs("value").desc(), *tie)
         .unionByName(top_k(vendors, 30, F.col("value").desc(), *tie))
         .unionByName(top_k(gaps, 200, *tie))
+        .unionByName(top_k(wrong, 100, *tie))
     )
 
 
