@@ -217,7 +217,8 @@ SELECT l_orderkey AS consignment_id,
   l_partkey AS pid,
   CASE WHEN l_orderkey % 43 = 0 THEN -{_Q} ELSE {_Q} END AS "count",
   CASE WHEN l_linestatus = 'F' OR l_partkey % 9 < 6 THEN {_Q}
-    ELSE CAST(floor(l_quantity / 2) AS BIGINT) END AS received
+    ELSE CAST(floor(l_quantity / 2) AS BIGINT) END AS received,
+  CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_linenumber * 10 AS DECIMAL(10,2)) END AS unit_retail
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 fragment(

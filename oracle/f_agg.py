@@ -453,11 +453,13 @@ FROM t_consign f LEFT JOIN t_consign_baked s USING (season, pid)""",
 final(
     "r09_scan_finalise",
     """
-SELECT *, ret_qty * ret_price AS ret_val FROM (
-  SELECT s.season, s.pid, s.ret_qty,
-    coalesce(nullif(b.price, 0), nullif(CASE WHEN k.qty_ordered > 0 THEN c.cost * 2 END, 0), 0) AS ret_price
+SELECT season, pid, CAST(ret_price AS DOUBLE) AS ret_price,
+  CAST(CASE WHEN ret_val <> 0 THEN ret_val ELSE ret_qty * ret_price END AS DOUBLE) AS ret_val FROM (
+  SELECT s.season, s.pid, s.ret_qty, s.ret_val,
+    coalesce(nullif(b.price, 0), CASE WHEN k.qty_ordered > 0 AND m.qty_ordered > 0
+      THEN CAST(CAST(m.qty_ordered * 100 AS BIGINT) // CAST(k.qty_ordered AS BIGINT) AS DECIMAL(18,4)) * 0.0001 END, 0) AS ret_price
   FROM t_stats s JOIN t_bucket b USING (season, pid) LEFT JOIN t_consign_baked k USING (season, pid)
-  LEFT JOIN t_catalog c ON c.pid = s.pid WHERE s.ret_qty > 0)""",
+  LEFT JOIN t_consign_cents m USING (season, pid) WHERE s.ret_qty > 0)""",
 )
 final(
     "r10_sales_delta_refresh",

@@ -151,6 +151,15 @@ HAVING sum(qty_ordered) <> 0 OR sum(qty_received) <> 0 OR sum(qty_returned) <> 0
 
 fragment("t_consign", season_consign("t_entries"))
 fragment("t_consign_baked", season_consign("t_entries_baked"))
+# ordered retail in cents takes the place of the ordered quantity
+fragment(
+    "t_entries_cents",
+    entries(
+        """(SELECT * REPLACE (CAST("count" * coalesce(unit_retail, 0) * 100 AS BIGINT) AS "count")
+FROM t_consign_lines WHERE consignment_id % 499 <> 0)"""
+    ),
+)
+fragment("t_consign_cents", season_consign("t_entries_cents"))
 fragment(
     "t_stock_latest",
     "SELECT pid, outlet, arg_max(amount, version) AS amount, max(version) AS version "

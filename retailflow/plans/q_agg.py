@@ -532,16 +532,28 @@ def r08(t):
 
 @query("r09_scan_finalise", "season:s pid:i ret_price:d ret_val:d")
 def r09(t):
-    """Return dollars with a missing price taken from ordered dollars per unit."""
-    stats = t.scan_stats.filter("ret_qty > 0")
+    """Return dollars where they are missing, by the first price there is.
+
+    The product's own price (or its parent's, which the season bucket has taken over), else
+    purchase-order dollars per ordered unit. Return dollars already known stay.
+    """
+    stats = t.scan_stats.filter("ret_qty > 0").select("season", "pid", "ret_qty", F.col("ret_val").alias("known"))
     prices = t.listed.select("season", "pid", "price")
-    average = t.season_consign(True).join(
-        t.catalog.select("pid", F.col("cost").alias("unit")), "pid"
-    ).select("season", "pid", F.when(F.col("qty_ordered") > 0, F.col("unit") * 2).alias("implied"))
-    joined = stats.join(prices, ["season", "pid"]).join(average, ["season", "pid"], "left")
-    ret_price = S.money(S.zero(S.first_nonzero("price", "implied")))
+    units = t.season_consign(True).select("season", "pid", "qty_ordered")
+    joined = (
+        stats.join(prices, ["season", "pid"])
+        .join(units, ["season", "pid"], "left")
+        .join(t.ordered_cents(), ["season", "pid"], "left")
+    )
+    per_unit = F.when(
+        (F.col("qty_ordered") > 0) & (F.col("cents") > 0),
+        F.expr("cents * 100 div qty_ordered").cast("decimal(18,4)") * F.lit("0.0001").cast("decimal(5,4)"),
+    )
+    joined = joined.withColumn("per_unit", S.money(per_unit))
+    ret_price = S.money(S.zero(S.first_nonzero("price", "per_unit")))
+    priced = S.money(F.col("ret_qty") * F.col("ret_price"))
     return joined.withColumn("ret_price", ret_price).withColumn(
-        "ret_val", S.money(F.col("ret_qty") * F.col("ret_price"))
+        "ret_val", F.when(F.col("known") != 0, F.col("known")).otherwise(priced)
     )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from retailflow.functions import scalars as S
 from retailflow.operators import health, pos_history, reconcile, rollup, series, stale, validate
 from retailflow.operators import legacy as L
-from retailflow.operators import rows as R
 from retailflow.plans.q_agg import active_guard, classified
 from retailflow.plans.q_core import MEASURES
 from retailflow.plans.q_join import cost_gaps

@@ -148,6 +148,13 @@ class Tables:
     def consign(self, baked: bool = False) -> DataFrame:
         return consign.season_totals(self.entries(baked), self.owners, self.seasons)
 
+    def ordered_cents(self) -> DataFrame:
+        """Ordered retail per (season, pid) of the stored scan, in cents."""
+        lines = self.raw_consign_lines.filter(F.col("consignment_id") % UNSEEN_CONSIGNMENT != 0)
+        cents = (F.col("count") * S.zero("unit_retail") * 100).cast("bigint")
+        totals = consign.season_totals(consign.entries(lines.withColumn("count", cents)), self.owners, self.seasons)
+        return totals.select("season", "pid", F.col("qty_ordered").alias("cents"))
+
     @property
     def on_hand(self) -> DataFrame:
         return inventory.on_hand(inventory.normalize(self.raw_inventory))

@@ -227,6 +227,7 @@ def raw_consign_lines(spark: SparkSession, sf_dir: str, lines: DataFrame) -> Dat
         F.when((F.col("l_linestatus") == "F") | (F.col("l_partkey") % 9 < 6), qty)
         .otherwise(F.floor(F.col("l_quantity") / 2).cast("bigint"))
         .alias("received"),
+        F.when(key % 7 != 0, (F.col("l_linenumber") * 10).cast("decimal(10,2)")).alias("unit_retail"),
     )
 
 
