@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from retailflow.functions import scalars as S
 from retailflow.operators import catalog, consign, inventory, sales
@@ -25,48 +25,77 @@ from retailflow.session import cut_lineage
 SALE_MEASURES = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
 
+BUCKETS = 64
+
+
+def bucket_of(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Log:
-    """Append-only table of one stream, partitioned by batch id."""
+    """Append-only table of one stream, partitioned by batch id and bucket of ``key``."""
 
     spark: SparkSession
     path: str
     schema: StructType
+    key: str
+
+    def save(self, df: DataFrame, path: str) -> None:
+        dealt = df.withColumn("bucket", bucket_of(self.key))
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        self.save(df, f"{self.path}/batch_id={batch_id}")
+
+    def _load(self, path: str, *partitions: str) -> DataFrame:
+        schema = StructType(list(self.schema.fields))
+        for name in partitions:
+            schema = schema.add(name, LongType() if name == "batch_id" else IntegerType())
+        return self.spark.read.schema(schema).parquet(path)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All entries, or those of batches with a smaller id.
+    def batch(self, batch_id: int) -> DataFrame:
+        return self._load(f"{self.path}/batch_id={batch_id}", "bucket").drop("bucket")
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """All entries, or those of batches with a smaller id, or of some buckets only.
 
         A finished base stands for all batches up to its id.
         """
-        with_batch = StructType(list(self.schema.fields)).add("batch_id", LongType())
-        df = self.spark.read.schema(with_batch).parquet(self.path)
+        df = self._load(self.path, "batch_id", "bucket")
         base = self.base()
         if base is not None:
-            folded = self.spark.read.schema(self.schema).parquet(self.base_path(base))
+            folded = self._load(self.base_path(base), "bucket")
             folded = folded.withColumn("batch_id", F.lit(base).cast("long"))
             df = df.filter(F.col("batch_id") > base).unionByName(folded)
-        return df if before is None else df.filter(F.col("batch_id") < before)
+        if before is not None:
+            df = df.filter(F.col("batch_id") < before)
+        if buckets is not None:
+            df = df.filter(F.col("bucket").isin(buckets))
+        return df.drop("bucket")
 
     def base_path(self, upto: int) -> str:
         return f"{self.path}_base/upto={upto}"
 
     def base(self) -> int | None:
         """Newest finished base: the one whose write left its success mark."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        marks = hadoop(f"{self.path}_base/upto=*/_SUCCESS")
-        found = marks.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(marks)
+        found = self._files().globStatus(self._hadoop(f"{self.path}_base/upto=*/_SUCCESS"))
         names = [f.getPath().getParent().getName() for f in found or []]
         return max((int(n.split("=")[1]) for n in names), default=None)
 
     def ensure(self) -> Log:
         """Make the folder exist (an empty batch before the first)."""
-        empty = self.spark.createDataFrame([], self.schema)
-        empty.write.mode("ignore").parquet(f"{self.path}/batch_id=-1")
+        files = self._files()
+        if not files.exists(self._hadoop(self.path)):
+            self.write(self.spark.createDataFrame([], self.schema), -1)
         return self
 
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
 
 def latest(log_rows: DataFrame, key: str) -> DataFrame:
     """Rows of the newest batch that wrote each key (a key may have many rows)."""
@@ -74,6 +103,12 @@ def latest(log_rows: DataFrame, key: str) -> DataFrame:
     return log_rows.join(newest, [key, "batch_id"], "left_semi")
 
 
+def known_rows(log: Log, keys: DataFrame, before: int) -> DataFrame:
+    """Earlier entries of ``keys``, read from the buckets that can hold them."""
+    buckets = [r[0] for r in keys.select(bucket_of(log.key)).distinct().collect()]  # at most BUCKETS
+    return log.read(before, buckets).join(keys, log.key, "left_semi")
+
+
 def run(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process everything available, then stop; restarts continue from there."""
     query = (
@@ -118,8 +153,8 @@ class SalesLedger:
         def schema(ddl):
             return StructType.fromDDL(ddl)
 
-        self.entries = Log(self.spark, self.path + "/entries", schema(self.ENTRY)).ensure()
-        self.deltas = Log(self.spark, self.path + "/deltas", schema(self.DELTA)).ensure()
+        self.entries = Log(self.spark, self.path + "/entries", schema(self.ENTRY), "sale_id").ensure()
+        self.deltas = Log(self.spark, self.path + "/deltas", schema(self.DELTA), "pid").ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Retract what the batch's sales contributed before, add the new.
@@ -130,8 +165,8 @@ class SalesLedger:
         """
         # only the batch's sales and the originals of its returns are looked up
         keys = batch.select(F.explode(F.array("sale_id", "return_for")).alias("sale_id"))
-        stored = self.entries.read(before=batch_id)
-        known = latest(stored.join(keys.distinct(), "sale_id", "left_semi"), "sale_id")
+        keys = keys.filter("sale_id IS NOT NULL").distinct()
+        known = latest(known_rows(self.entries, keys, batch_id), "sale_id")
         seen = known.select("sale_id", "version").distinct()
         # the same version again is no change
         lines = batch.join(seen, ["sale_id", "version"], "left_anti")
@@ -141,7 +176,7 @@ class SalesLedger:
         current = versions.join(newest, ["sale_id", "version"], "left_semi")
         self.entries.write(current.select(*columns), batch_id)
 
-        new = self.spark.read.parquet(f"{self.entries.path}/batch_id={batch_id}")
+        new = self.entries.batch(batch_id)
         touched = new.select("sale_id").distinct()
         old = known.join(touched, "sale_id", "left_semi")
         passed = versions.filter("pid IS NOT NULL").select("pid", "sale_date")
@@ -226,15 +261,14 @@ class ConsignmentLedger:
 
     def __post_init__(self):
         schema = StructType.fromDDL(self.ENTRY)
-        self.log = Log(self.spark, self.path + "/entries", schema).ensure()
-        self.dates = Log(self.spark, self.path + "/dates", StructType.fromDDL("date date")).ensure()
+        self.log = Log(self.spark, self.path + "/entries", schema, "consignment_id").ensure()
+        self.dates = Log(self.spark, self.path + "/dates", StructType.fromDDL("date date"), "date").ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         # the earliest date ever seen stays, also when its version is replaced later
         self.dates.write(consign.live_headers(batch).agg(F.min("date").alias("date")), batch_id)
-        stored = self.log.read(before=batch_id)
         keys = batch.select("consignment_id").distinct()
-        known = latest(stored.join(keys, "consignment_id", "left_semi"), "consignment_id")
+        known = latest(known_rows(self.log, keys, batch_id), "consignment_id")
         seen = known.select("consignment_id", "version").distinct()
         fresh = newest_in_batch(batch, "consignment_id").join(
             seen, ["consignment_id", "version"], "left_anti"
@@ -272,7 +306,7 @@ class InventoryLedger:
 
     def __post_init__(self):
         schema = StructType.fromDDL("pid bigint, outlet string, amount decimal(20,4), version bigint")
-        self.log = Log(self.spark, self.path + "/stock", schema).ensure()
+        self.log = Log(self.spark, self.path + "/stock", schema, "pid").ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         self.log.write(inventory.latest(inventory.normalize(batch)), batch_id)
@@ -290,7 +324,7 @@ class CatalogLedger:
     schema: StructType
 
     def __post_init__(self):
-        self.log = Log(self.spark, self.path + "/products", self.schema).ensure()
+        self.log = Log(self.spark, self.path + "/products", self.schema, "pid").ensure()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         columns = [f.name for f in self.schema]
@@ -317,17 +351,16 @@ def compact(log: Log, reduced: DataFrame, upto: int) -> None:
     """
     old = log.base()
     columns = [f.name for f in log.schema]
-    reduced.select(*columns).write.mode("overwrite").parquet(log.base_path(upto))
+    log.save(reduced.select(*columns), log.base_path(upto))
     drop_folded(log, upto, old)
 
 
 def drop_folded(log: Log, upto: int, old_base: int | None) -> None:
     """Delete what a finished base has made superfluous."""
-    hadoop = log.spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(log.path).getFileSystem(log.spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(hadoop(log.path)):
+    files = log._files()
+    for status in files.listStatus(log._hadoop(log.path)):
         name = status.getPath().getName()
         if name.startswith("batch_id=") and -1 < int(name.split("=")[1]) <= upto:
             files.delete(status.getPath(), True)
     if old_base is not None and old_base != upto:
-        files.delete(hadoop(log.base_path(old_base)), True)
+        files.delete(log._hadoop(log.base_path(old_base)), True)
