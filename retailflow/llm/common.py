@@ -62,6 +62,18 @@ def worker_cache(name: str, make):
     return getattr(store, name)
 
 
+SMALL_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast if it is small enough.
+
+    Joins of all documents with a row per source or shard then move no document;
+    beyond ``SMALL_ROWS`` rows both sides are shuffled and skewed keys split at run time.
+    """
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def whole_groups(batches, key: str):
     """Arrow tables that hold whole runs of equal ``key``; rows arrive sorted by it."""
     import numpy as np
@@ -98,13 +110,3 @@ def meeting_blocks(rows: DataFrame, bucket: list[str], member: str, block: int)
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def words_of(text):
-    """Words of a text column as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
-
-
-def ascii_lower(text):
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

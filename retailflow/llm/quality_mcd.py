@@ -20,8 +20,9 @@ Defined results
 * a group with fewer than ``min_group`` fitted documents uses its language's
   estimate, then that of all documents; with none of them large enough nothing is
   rejected beyond the base rules;
-* extra columns of the input are ignored by ``quality_verdicts`` and kept, with
-  whatever names, by ``keep_good``.
+* an empty table gives an empty table; extra columns are ignored by
+  ``quality_verdicts`` and kept, with whatever names, by ``keep_good``, where rows
+  that share a ``doc_id`` stay if one of them is kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import WHITE, WORD_GAP, forget, staged
+from retailflow.llm.common import SMALL_ROWS, WHITE, WORD_GAP, forget, small_side, staged
 
 SCALE = 1024
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
@@ -43,7 +44,8 @@ P = len(FEATURES)
 #: turn any small difference into an outlier.
 SPREAD = (0.30, 0.06, 0.60, 0.10, 0.07)
 BINS_PER_OCTAVE = 16
-SYMBOLS = "#*$%&|<>"
+#: Everything but the symbols that are counted.
+NO_SYMBOLS = r"[^#*$%&|<>]+"
 
 
 def _chi_cdf(x: float, k: int) -> float:
@@ -158,7 +160,7 @@ def base_stats(docs: DataFrame) -> DataFrame:
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.char_length(F.regexp_replace(body, WORD_GAP, "")).cast("long"),
-            "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
+            "n_symbols": F.char_length(F.regexp_replace(body, NO_SYMBOLS, "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
             "n_repeat_words": F.col("_repeat").cast("long"),
@@ -278,7 +280,7 @@ def _clipped_start(members: DataFrame, medians: DataFrame) -> DataFrame:
         x = F.least(F.greatest(F.col(FEATURES[i]).cast("double"), F.col(f"m_{i}") - reach), F.col(f"m_{i}") + reach)
         return F.round(x).cast("long")
 
-    joined = _with_moments(members.join(medians, "grp"), [clip(i) for i in range(P)])
+    joined = _with_moments(members.join(small_side(medians), "grp"), [clip(i) for i in range(P)])
     sums = joined.groupBy("grp").agg(*_sums(MOMENTS))
     return _estimate(sums.withColumn("start", F.lit(1)), ["grp", "start"], 1.0)
 
@@ -286,7 +288,7 @@ def _clipped_start(members: DataFrame, medians: DataFrame) -> DataFrame:
 def _concentrate(members: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """One concentration step: refit on the ``share`` of each group nearest to the
     current estimate, whole distance bins at a time."""
-    bins = _distance(members.join(estimate, "grp")).withColumn(
+    bins = _distance(members.join(small_side(estimate), "grp")).withColumn(
         "bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS_PER_OCTAVE)
     )
     bins = _with_moments(bins, [F.col(f) for f in FEATURES]).groupBy("grp", "start", "bin").agg(*_sums(MOMENTS))
@@ -323,26 +325,29 @@ def quality_verdicts(
     good = stats.where(~F.col("base_failed"))
     sizes = good.select(F.explode("grps").alias("grp")).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     large = staged(spark, sizes.where(F.col("size") >= min_group).select("grp"), "quality-groups", folders)
-    members = good.select(F.explode("grps").alias("grp"), *FEATURES).join(large, "grp")
+    members = good.select(F.explode("grps").alias("grp"), *FEATURES).join(small_side(large), "grp")
     medians = staged(spark, _median_start(members), "quality-start", folders)
-    estimate = medians.unionByName(_clipped_start(members, medians))
+    clipped = _clipped_start(members, medians)
+    estimate = staged(spark, medians.unionByName(clipped), "quality-start", folders)
     for _ in range(steps):
         estimate = staged(spark, _concentrate(members, estimate, share), "quality-step", folders)
     # the start that ends with the smaller determinant
     best = estimate.groupBy("grp").agg(F.min_by(F.struct("start", *ESTIMATE), F.struct("logdet", "start")).alias("e"))
-    best = best.select("grp", "e.*")
+    best = staged(spark, best.select("grp", "e.*"), "quality-best", folders)
     # reweighting: refit on everything that is plausible under the raw estimate
-    inner = _distance(members.join(best, "grp")).where(F.col("d2") <= chi_quantile(0.975, P))
+    inner = _distance(members.join(small_side(best), "grp")).where(F.col("d2") <= chi_quantile(0.975, P))
     sums = _with_moments(inner, [F.col(f) for f in FEATURES]).groupBy("grp").agg(*_sums(MOMENTS))
     final = staged(spark, _estimate(sums, ["grp"], consistency(0.975)), "quality-final").drop("logdet")
     forget(spark, folders)
     # a document is judged by the narrowest of its groups that has an estimate
+    few = final.count() <= SMALL_ROWS
     have = final.select("grp", F.lit(True).alias("_has"))
     for level in range(3):
         flag = have.withColumnsRenamed({"grp": "_g", "_has": f"_has{level}"})
+        flag = F.broadcast(flag) if few else flag
         stats = stats.withColumn("_g", F.col("grps")[level]).join(flag, "_g", "left").drop("_g")
     judge = F.coalesce(*[F.when(F.col(f"_has{k}"), F.col("grps")[k]) for k in range(3)])
-    scored = _distance(stats.withColumn("grp", judge).join(final, "grp", "left"))
+    scored = _distance(stats.withColumn("grp", judge).join(F.broadcast(final) if few else final, "grp", "left"))
     outlier = F.coalesce(F.col("d2") > chi_quantile(cut, P), F.lit(False))
     return scored.select(
         "doc_id",
