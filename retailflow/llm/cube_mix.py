@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.functions.ranking import global_index
-from retailflow.llm.common import staged
+from retailflow.llm.common import small_side, staged
 
 #: Weights dealt to the sources in order, repeating (fixed by the contract).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, block: int = 2048, **options) -> DataFrame:
     sizes = docs.select("doc_id", "source", n_words.cast("long").alias("size"))
     sizes = staged(spark, sizes, "mix-sizes")
     targets = staged(spark, source_targets(sizes, **options), "mix-targets")
-    t = targets.withColumnRenamed("source", "_source")
+    t = small_side(targets).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sizes.join(t, sizes["source"].eqNullSafe(t["_source"]))

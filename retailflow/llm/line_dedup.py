@@ -27,10 +27,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailflow.llm.common import staged
+from retailflow.llm.common import small_side, staged
 
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -295,7 +295,7 @@ def dropped_keys(index: LineIndex, refs: DataFrame, block_rows: int = 500_000) -
     rows = refs.select("doc", "hi", "lo", _shard(index.shards))
     blocks = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
     blocks = staged(spark, blocks, "lines-blocks")
-    dealt = rows.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("blocks")
+    dealt = rows.join(small_side(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("blocks")
     copies = index.filters.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def probe(key, lines, filters):
