@@ -1,8 +1,7 @@
 """HTML main text by wrapper induction over the pages of a host.
 
-Each page becomes a small tree of its block elements, with runs of alike siblings folded
-into one node (a wrapper's repeated slot). The distinct pages of a host are aligned with
-the host's reference page by simple tree matching, and per reference node it is counted on
+Each page becomes a small tree of its block elements. The distinct pages of a host are
+aligned with the host's reference page by simple tree matching, equal texts preferred, and per reference node it is counted on
 how many pages it was found and on how many with the same text. Nodes found again with
 the same text are template; the others are varying slots. A page then aligns with its
 host's wrapper: template nodes go, and what fills the varying slots is content.
@@ -55,6 +54,7 @@ ROLE_WORDS = frozenset(
     "widget".split()
 )
 SLOT_TAGS = ("article", "main")
+CELLS = 4_000_000  # of an alignment table that is held whole
 DEEPEST = 60  # elements nested deeper are aligned as part of their ancestor
 
 
@@ -192,75 +192,103 @@ def outline(html: str) -> tuple[list, list[str], bool, int]:
     for k in range(1, n):
         if anchor[k] == k:
             nodes[parents[k]][3].append(nodes[k])
-    for k in range(n - 1, -1, -1):
-        nodes[k][3] = _folded(nodes[k][3])
     return nodes[0], texts, marked, digest(page.texts)
 
 
-def _folded(kids: list) -> list:
-    """Runs of alike siblings (two leaves, or three with kids) as one node."""
-    out: list = []
-    k = 0
-    while k < len(kids):
-        end = k + 1
-        while end < len(kids) and kids[end][0] == kids[k][0]:
-            end += 1
-        run = kids[k:end]
-        if len(run) > 2 or (len(run) == 2 and not run[0][3] and not run[1][3]):
-            total, free = 0, []
-            stack = list(reversed(run))
-            while stack:
-                node = stack.pop()
-                total = (total * 1_000_003 + node[1] + 1) % (1 << 62)
-                free.extend(node[2])
-                stack.extend(reversed(node[3]))
-            out.append([run[0][0] + "+", total, sorted(free), []])
-        else:
-            out.extend(run)
-        k = end
-    return out
+def matching(a: list, b: list) -> list[tuple[list, list]]:
+    """Node pairs of the largest order-preserving match (simple tree matching).
 
+    A pair with the same text counts twice. Tables of more than ``CELLS`` cells are not
+    held: the pairs are then found by halves, with the same total.
+    """
+    import numpy as np
 
-def matching(a: list, b: list) -> list[tuple[list, list]]:
-    """Node pairs of the largest order-preserving match (simple tree matching)."""
     sizes: dict = {}
 
     def size(x, y) -> int:
-        if x[0] != y[0]:
-            return 0
-        key = id(x), id(y)
-        if key not in sizes:
-            sizes[key] = 1 + table(x, y)[-1][-1]
-        return sizes[key]
-
-    def table(x, y):
-        rows = [[0] * (len(y[3]) + 1)]
-        for p in x[3]:
-            last, row = rows[-1], [0]
-            for j, q in enumerate(y[3]):
-                row.append(max(row[j], last[j + 1], last[j] + (size(p, q) if p[0] == q[0] else 0)))
-            rows.append(row)
-        return rows
-
-    pairs, work = [], [(a, b)]
-    if a[0] != b[0]:
-        return pairs
-    while work:
-        x, y = work.pop()
-        pairs.append((x, y))
+        own = 2 if x[1] and x[1] == y[1] else 1
         if not x[3] or not y[3]:
-            continue
-        rows = table(x, y)
-        i, j = len(x[3]), len(y[3])
+            return own
+        key = id(x), id(y)
+        found = sizes.get(key)
+        if found is None:
+            found = own + int(last_row(x[3], y[3])[-1])
+            if len(sizes) < CELLS // 4:
+                sizes[key] = found
+        return found
+
+    def rows_of(xs, ys):
+        """Rows of the alignment table of two lists, first to last."""
+        if len(xs) * len(ys) < 400:
+            last = [0] * (len(ys) + 1)
+            yield last
+            for p in xs:
+                row, best, sign, leaf, text = [0], 0, p[0], not p[3], p[1]
+                for j, q in enumerate(ys):
+                    if last[j + 1] > best:
+                        best = last[j + 1]
+                    if q[0] == sign:
+                        own = (2 if text and text == q[1] else 1) if leaf or not q[3] else size(p, q)
+                        if last[j] + own > best:
+                            best = last[j] + own
+                    row.append(best)
+                yield row
+                last = row
+            return
+        code: dict = {}
+        signs = np.array([code.setdefault(q[0], len(code)) for q in ys])
+        texts = np.array([q[1] for q in ys], np.int64)
+        inner = np.array([bool(q[3]) for q in ys])
+        last = np.zeros(len(ys) + 1, np.int32)
+        yield last
+        for p in xs:
+            alike = signs == code.get(p[0], -1)
+            own = alike.astype(np.int32)
+            if p[1]:
+                own += alike & (texts == p[1])
+            if p[3]:
+                for j in np.flatnonzero(alike & inner):
+                    own[j] = size(p, ys[j])
+            row = np.zeros_like(last)
+            np.maximum.accumulate(np.maximum(last[1:], np.where(alike, last[:-1] + own, 0)), out=row[1:])
+            yield row
+            last = row
+
+    def last_row(xs, ys):
+        for row in rows_of(xs, ys):
+            pass
+        return row
+
+    def align(xs, ys):
+        if len(xs) * len(ys) > CELLS and len(xs) > 1:
+            half = len(xs) // 2
+            ahead = np.asarray(last_row(xs[:half], ys))
+            # a subtree counts the same from both ends, so only the lists are turned round
+            behind = np.asarray(last_row(xs[half:][::-1], ys[::-1]))[::-1]
+            cut = int(np.argmax(ahead + behind))
+            return align(xs[:half], ys[:cut]) + align(xs[half:], ys[cut:])
+        rows = list(rows_of(xs, ys))
+        out = []
+        i, j = len(xs), len(ys)
         while i and j:
-            p, q = x[3][i - 1], y[3][j - 1]
+            p, q = xs[i - 1], ys[j - 1]
             if p[0] == q[0] and rows[i][j] == rows[i - 1][j - 1] + size(p, q):
-                work.append((p, q))
+                out.append((p, q))
                 i, j = i - 1, j - 1
             elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
+        return out
+
+    pairs, work = [], [(a, b)]
+    if a[0] != b[0]:
+        return pairs
+    while work:
+        x, y = work.pop()
+        pairs.append((x, y))
+        if x[3] and y[3]:
+            work.extend(align(x[3], y[3]))
     return pairs
 
 

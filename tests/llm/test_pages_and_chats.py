@@ -82,6 +82,42 @@ def test_tree_matching_aligns_in_order():
     assert sorted(x[0] for x, _ in html_wrapper.matching(a, b)) == ["p", "r", "x", "z"]
 
 
+def extracted(spark, htmls, **options):
+    rows = [(k, f"http://h.example/{k}", x) for k, x in enumerate(htmls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"].split("\n\n") for r in html_wrapper.extract(df, **options).collect()}
+
+
+def test_siblings_of_one_kind_are_told_apart(spark):
+    pages = [f"<body><div>menu</div><div>story {k}</div><div>footer</div></body>" for k in range(6)]
+    assert extracted(spark, pages) == {k: [f"story {k}"] for k in range(6)}
+    pages = [
+        "<body>" + "".join(f"<p>story {k} part {j}</p>" for j in range(1 + k % 4)) + "<p>all rights reserved</p></body>"
+        for k in range(12)
+    ]
+    assert extracted(spark, pages) == {k: [f"story {k} part {j}" for j in range(1 + k % 4)] for k in range(12)}
+
+
+def test_large_alignments_by_halves(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+
+    def tree(n):
+        kids = [[rng.choice("pq"), rng.randint(0, 6), [], [["x", 3, [], []]] * rng.randint(0, 1)] for _ in range(n)]
+        return ["r", 0, [], [[s, h, [], [list(c) for c in kids]] for s, h, _, kids in kids]]
+
+    def total(pairs):
+        return sum(2 if x[1] and x[1] == y[1] else 1 for x, y in pairs)
+
+    for n, m in ((12, 15), (40, 33), (60, 70)):
+        a, b = tree(n), tree(m)
+        whole = total(html_wrapper.matching(a, b))
+        monkeypatch.setattr(html_wrapper, "CELLS", 50)
+        assert total(html_wrapper.matching(a, b)) == whole
+        monkeypatch.undo()
+
+
 PAGES = [
     (1, "http://a/1", "same"),
     (2, "http://a/2", "same"),
