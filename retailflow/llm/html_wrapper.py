@@ -1,10 +1,15 @@
 """HTML main text by wrapper induction over the pages of a host.
 
 Each page becomes a small tree of its block elements. The distinct pages of a host are
-aligned with the host's reference page by simple tree matching, equal texts preferred, and per reference node it is counted on
-how many pages it was found and on how many with the same text. Nodes found again with
-the same text are template; the others are varying slots. A page then aligns with its
-host's wrapper: template nodes go, and what fills the varying slots is content.
+aligned with the host's reference page by simple tree matching, equal texts preferred.
+Every text-bearing element gets a place: the reference node it matched, or, where the
+reference lacks it, where it would be inserted there (matched parent, matched sibling
+before it, signature, ordinal), so what only other layouts of the host carry is counted
+too. Per place it is counted on how many pages each text stands. A text is frequent if it
+stands on ``min_pages`` pages and on a ``1 - share`` part of those that have the place; if
+frequent texts make up a ``share`` of the place's pages, it is template and holds one text
+per layout, otherwise a varying slot. Template texts go from every page, what fills the
+varying slots is content.
 
 Two things are known beforehand and not learned. Elements whose tag, ARIA role or class
 says menu, header, footer, sidebar, notice, advert, form, comment and the like are never
@@ -148,6 +153,12 @@ def _described(tag: str, attrs: list, role: bool) -> tuple[str, bool]:
     return sign, role
 
 
+def _digest(parts) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) >> 1
+
+
 def outline(html: str) -> tuple[list, list[str], bool, int]:
     """(tree, texts, marked, hash) of a page.
 
@@ -155,11 +166,6 @@ def outline(html: str) -> tuple[list, list[str], bool, int]:
     the page marks its article, inside it (``marked``). A tree node is [signature, hash of
     its own text, numbers of its texts, kids]; the hash is of all texts of the page.
     """
-    import xxhash
-
-    def digest(parts) -> int:
-        return xxhash.xxh64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) >> 1
-
     page = PageParser()
     page.feed(html)
     page.close()
@@ -188,11 +194,11 @@ def outline(html: str) -> tuple[list, list[str], bool, int]:
         if (slot[k] if marked else not gone[k]):
             free[anchor[k]].append(len(texts))
             texts.append(text)
-    nodes = [[page.signs[k], digest(own[k]) if own[k] else 0, free[k], []] for k in range(n)]
+    nodes = [[page.signs[k], _digest(own[k]) if own[k] else 0, free[k], []] for k in range(n)]
     for k in range(1, n):
         if anchor[k] == k:
             nodes[parents[k]][3].append(nodes[k])
-    return nodes[0], texts, marked, digest(page.texts)
+    return nodes[0], texts, marked, _digest(page.texts)
 
 
 def matching(a: list, b: list) -> list[tuple[list, list]]:
@@ -302,20 +308,37 @@ def _numbered(tree: list) -> dict:
     return out
 
 
-def evidence(reference: list, page: list) -> list[tuple[int, bool]]:
-    """(reference node, same text) for the matched nodes that hold text."""
+def places(reference: list, page: list) -> list[tuple[int, list]]:
+    """(place, node) for the nodes of a page that hold text.
+
+    The place is that of the matched reference node, or for nodes the reference lacks the
+    one between its nodes where they stand.
+    """
     number = _numbered(reference)
-    return [(number[id(x)], x[1] == y[1]) for x, y in matching(reference, page) if x[1]]
+    matched = {id(y): f"={number[id(x)]}" for x, y in matching(reference, page)}
+    out, work = [], [(page, matched.get(id(page), "#"))]
+    while work:
+        node, place = work.pop()
+        if node[1]:
+            out.append((_digest([place]), node))
+        before, nth = "", {}
+        for kid in node[3]:
+            own = matched.get(id(kid))
+            if own is None:
+                nth[kid[0]] = nth.get(kid[0], 0) + 1
+                own = f"+{_digest([place, before, kid[0], str(nth[kid[0]])])}"
+            else:
+                before, nth = own, {}
+            work.append((kid, own))
+    return out
 
 
-def content(page: list, texts: list[str], reference: list | None, template: set) -> str:
-    """Texts of a page without those of nodes aligned with template nodes."""
+def content(page: list, texts: list[str], reference: list, template: set) -> str:
+    """Texts of a page without the (place, text hash) pairs of the template."""
     gone: set = set()
-    if reference is not None and template:
-        number = _numbered(reference)
-        for x, y in matching(reference, page):
-            if number[id(x)] in template and x[1] == y[1]:
-                gone.update(y[2])
+    for place, node in places(reference, page):
+        if (place, node[1]) in template:
+            gone.update(node[2])
     return "\n\n".join(t for k, t in enumerate(texts) if k not in gone)
 
 
@@ -344,10 +367,10 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
     schema = f"{known}, host string, tree string, texts array<string>, marked boolean, hash long"
     parsed = staged(spark, rows.mapInArrow(read, schema), "pages-parsed")
 
-    # evidence: every distinct page of a host against the host's reference page
+    # evidence: places of all distinct pages of a host by the host's reference page
     distinct = staged(spark, parsed.groupBy("host", "hash").agg(F.min("tree").alias("tree")), "pages-distinct")
     references = distinct.groupBy("host").agg(F.min_by("tree", "hash").alias("reference"), F.count(F.lit(1)).alias("n"))
-    references = staged(spark, references.where(F.col("n") >= min_pages).drop("n"), "pages-references")
+    references = staged(spark, references.where(F.col("n") >= min_pages), "pages-references")
 
     def align(batches):
         import json
@@ -355,40 +378,52 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            hosts, nodes, same = [], [], []
+            hosts, at, texts = [], [], []
             last, reference = None, None
             for name, ref, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree"))):
                 if ref != last:
                     last, reference = ref, json.loads(ref)
-                for node, equal in evidence(reference, json.loads(tree)):
+                for place, node in places(reference, json.loads(tree)):
                     hosts.append(name)
-                    nodes.append(node)
-                    same.append(int(equal))
-            columns = [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(same, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "same"])
+                    at.append(place)
+                    texts.append(node[1])
+            columns = [pa.array(hosts, pa.string()), pa.array(at, pa.int64()), pa.array(texts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "place", "own"])
 
     seen = distinct.join(references, "host").select("host", "reference", "tree")
-    seen = seen.mapInArrow(align, "host string, node int, same int")
-    nodes = seen.groupBy("host", "node").agg(F.count(F.lit(1)).alias("found"), F.sum("same").alias("same"))
-    template = nodes.where((F.col("found") >= min_pages) & (F.col("same") >= share * F.col("found")))
-    template = template.groupBy("host").agg(F.collect_set("node").alias("template"))
-    wrappers = staged(spark, references.join(template, "host"), "pages-wrappers")
+    seen = seen.mapInArrow(align, "host string, place long, own long")
+    counts = seen.groupBy("host", "place", "own").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(spark, counts, "pages-places")
+    # at most 1 / (1 - share) texts of a place are frequent
+    found = counts.groupBy("host", "place").agg(F.sum("n").alias("found"), F.max("n").alias("most"))
+    found = found.where(F.col("most") >= min_pages).drop("most")
+    frequent = counts.where(F.col("n") >= min_pages).join(found, ["host", "place"])
+    frequent = frequent.where(F.col("n") >= (1 - share - 1e-9) * F.col("found"))
+    template = frequent.groupBy("host", "place", "found").agg(F.sum("n").alias("same"), F.collect_list("own").alias("owns"))
+    template = template.where(F.col("same") >= share * F.col("found")).select("host", "place", "found", F.explode("owns").alias("own"))
+    entry = F.array("place", "own")
+    template = template.groupBy("host").agg(F.to_json(F.collect_list(entry)).alias("template"))
+    wrappers = staged(spark, references.drop("n").join(template, "host", "left"), "pages-wrappers")
 
     def apply(batches):
         import json
 
         import pyarrow as pa
 
+        last, reference, template = (None, None), None, set()
         for batch in batches:
             out = []
             columns = [batch.column(c) for c in ("tree", "texts", "marked", "reference", "template")]
             for k in range(batch.num_rows):
-                tree, texts, marked, reference, template = (c[k].as_py() for c in columns)
+                tree, texts, marked, ref, known = (c[k].as_py() for c in columns)
+                if (ref, known) != last:
+                    last, reference = (ref, known), json.loads(ref) if ref else None
+                    template = {(p, o) for p, o in json.loads(known)} if known else set()
                 if marked or not template:
                     # the article slot is marked: all its texts are content
                     out.append("\n\n".join(texts))
                 else:
-                    out.append(content(json.loads(tree), texts, json.loads(reference), set(template)))
+                    out.append(content(json.loads(tree), texts, reference, template))
             sizes = pa.array([len(x) for x in out], pa.int64())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), sizes]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])

@@ -118,6 +118,19 @@ def test_large_alignments_by_halves(monkeypatch):
         monkeypatch.undo()
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    def page(k):
+        if k % 2:
+            return f"<body><section><p>Section menu</p></section><div class=b><p>tale {k}</p></div><table><tr><td>Imprint</table></body>"
+        notice = "<h3>We are moving</h3>" if k % 4 == 0 else ""
+        return f"<body><ul><li>Menu</ul>{notice}<div class=a><p>story {k}</p></div><div class=z><p>Printed by hand</p></div></body>"
+
+    assert extracted(spark, [page(k) for k in range(24)]) == {k: [f"tale {k}" if k % 2 else f"story {k}"] for k in range(24)}
+    # the same elements, with other texts in each layout
+    pages = [f"<body><div>menu {k % 2}</div><div>story {k}</div><div>footer {k % 2}</div></body>" for k in range(12)]
+    assert extracted(spark, pages) == {k: [f"story {k}"] for k in range(12)}
+
+
 PAGES = [
     (1, "http://a/1", "same"),
     (2, "http://a/2", "same"),
