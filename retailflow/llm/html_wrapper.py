@@ -11,11 +11,13 @@ frequent texts make up a ``share`` of the place's pages, it is template and hold
 per layout, otherwise a varying slot. Template texts go from every page, what fills the
 varying slots is content.
 
-Two things are known beforehand and not learned. Elements whose tag, ARIA role or class
-says menu, header, footer, sidebar, notice, advert, form, comment and the like are never
-content, also where their text varies from page to page. Where a page marks its article
-(``article``, ``main``), that element is the content slot, so an article's paragraph stays
-although other pages repeat it.
+Two things are known beforehand, as priors.
+* Roles. Texts in elements whose tag or ARIA role says navigation, header, footer and the
+  like are never content. A class, id or form says so too, unless its element holds most
+  of the page's (or the marked slot's) varying text: over half where the word is part of a
+  name or the element is a form, over nine tenths where it is the whole name. Names like
+  ``no-sidebar`` and ``post-header`` are no role, nor is a header inside an article.
+* The marked slot (``article``, ``main``). All its texts are content, no text outside it is.
 
 Everything but the final alignment is counted with map-side combining: a hot host is
 never gathered. A host's wrapper is one small row.
@@ -23,8 +25,8 @@ never gathered. A host's wrapper is one small row.
 Defined results
 * null or empty html: empty text; null url: the host ``''``; repeated rows are answered
   one by one and count once as evidence;
-* a host with fewer than ``min_pages`` distinct pages has no template: only the known
-  roles go; an empty table gives an empty table; extra columns are ignored.
+* a host with fewer than ``min_pages`` distinct pages has no template: only the priors
+  decide; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +60,13 @@ ROLE_WORDS = frozenset(
     "promo recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar "
     "widget".split()
 )
+#: First parts of a name that tell the state of a page, and words that make a header part of the article.
+STATES = frozenset("has have hide hides is no not show shows with without".split())
+STORY_WORDS = frozenset("article content entry post story".split())
 SLOT_TAGS = ("article", "main")
+#: Kinds of role; the first two only hold for elements up to this share of the varying text.
+PART, WHOLE, FIXED = 1, 2, 3
+SPARED_ABOVE = {PART: 0.5, WHOLE: 0.9}
 CELLS = 4_000_000  # of an alignment table that is held whole
 DEEPEST = 60  # elements nested deeper are aligned as part of their ancestor
 
@@ -68,7 +76,7 @@ class PageParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.signs, self.roles, self.parents = ["#"], ["#"], [False], [-1]
+        self.tags, self.signs, self.roles, self.parents = ["#"], ["#"], [0], [-1]
         self.stack = [0]
         self.texts: list[str] = []
         self.owners: list[int] = []  # element of each text
@@ -105,7 +113,7 @@ class PageParser(HTMLParser):
             return
         if tag in CLOSES_P:
             self._close_implied(tag)
-        sign, role = tag, tag in ROLE_TAGS
+        sign, role = tag, (PART if tag == "form" else FIXED) if tag in ROLE_TAGS else 0
         if attrs:
             sign, role = _described(tag, attrs, role)
         if role or tag in BLOCKS:
@@ -138,18 +146,33 @@ class PageParser(HTMLParser):
         self.buffer.append(data)
 
 
-def _described(tag: str, attrs: list, role: bool) -> tuple[str, bool]:
-    """Signature of an element, and whether tag, ARIA role, class or id give it a role."""
+def _described(tag: str, attrs: list, role: int) -> tuple[str, int]:
+    """Signature of an element, and the kind of role its tag, ARIA role, class or id give it.
+
+    Negative where header is the only role word: an article's header is none.
+    """
     import re
 
     found = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
     classes = found.get("class", "")
     sign = ".".join([tag, *sorted(classes.lower().split())])
-    if not role and found.get("role", "").strip().lower() in ARIA_ROLES:
-        role = True
+    aria = found.get("role", "").strip().lower()
+    if role < FIXED and aria in ARIA_ROLES:
+        role = max(role, PART if aria == "form" else FIXED)
     if not role and tag not in ("html", "body", *SLOT_TAGS):
-        names = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", f"{classes} {found.get('id', '')}")
-        role = any(w.lower() in ROLE_WORDS for w in names)
+        words = set()
+        for name in f"{classes} {found.get('id', '')}".split():
+            if name.lower() in ROLE_WORDS:
+                role = WHOLE
+                words.add(name.lower())
+                continue
+            parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+            if parts and parts[0] not in STATES:
+                own = ROLE_WORDS.intersection(parts)
+                words |= own - {"header"} if STORY_WORDS.intersection(parts) else own
+        role = role or (PART if words else 0)
+        if words == {"header"}:
+            role = -role
     return sign, role
 
 
@@ -159,12 +182,13 @@ def _digest(parts) -> int:
     return xxhash.xxh64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
-def outline(html: str) -> tuple[list, list[str], bool, int]:
-    """(tree, texts, marked, hash) of a page.
+def described(html: str) -> tuple[list, list[str], list[list[int]], int]:
+    """(tree, texts, about, hash) of a page.
 
-    ``texts`` are the blocks that may be content: outside parts with a known role and, if
-    the page marks its article, inside it (``marked``). A tree node is [signature, hash of
-    its own text, numbers of its texts, kids]; the hash is of all texts of the page.
+    ``texts`` are the blocks outside parts with a fixed role; ``about`` holds for each of
+    them whether it stands in a marked slot, and the elements around it that may have a
+    role, as 4 * element + kind. A tree node is [signature, hash of its own text, numbers
+    of its texts, kids]; the hash is of all texts of the page.
     """
     page = PageParser()
     page.feed(html)
@@ -176,29 +200,63 @@ def outline(html: str) -> tuple[list, list[str], bool, int]:
         if holds[k] or (tags[k] in SLOT_TAGS and not page.roles[k]):
             holds[parents[k]] = True
     gone, within, slot, depth, anchor = [False] * n, [False] * n, [False] * n, [0] * n, list(range(n))
+    around: list[list[int]] = [[]] * n
     for k in range(1, n):
         up = parents[k]
         within[k] = within[up] or tags[k] == "article"
-        own_role = page.roles[k] and not holds[k] and not (tags[k] == "header" and within[up])
-        gone[k] = gone[up] or own_role
+        role = 0 if holds[k] or (within[up] and (page.roles[k] < 0 or tags[k] == "header")) else abs(page.roles[k])
+        gone[k] = gone[up] or role == FIXED
+        around[k] = [*around[up], 4 * k + role] if 0 < role < FIXED else around[up]
         slot[k] = (slot[up] or tags[k] in SLOT_TAGS) and not gone[k]
         depth[k] = depth[up] + 1
         if depth[k] > DEEPEST:
             anchor[k] = anchor[up]
-    marked = any(slot[k] for k in page.owners)
     texts: list[str] = []
+    about: list[list[int]] = []
     free: list[list[int]] = [[] for _ in range(n)]
     own: list[list[str]] = [[] for _ in range(n)]
     for text, k in zip(page.texts, page.owners):
         own[anchor[k]].append(text)
-        if (slot[k] if marked else not gone[k]):
+        if not gone[k]:
             free[anchor[k]].append(len(texts))
             texts.append(text)
+            about.append([int(slot[k]), *around[k]])
     nodes = [[page.signs[k], _digest(own[k]) if own[k] else 0, free[k], []] for k in range(n)]
     for k in range(1, n):
         if anchor[k] == k:
             nodes[parents[k]][3].append(nodes[k])
-    return nodes[0], texts, marked, _digest(page.texts)
+    return nodes[0], texts, about, _digest(page.texts)
+
+
+def is_marked(about: list) -> bool:
+    """Some text stands in a marked slot, outside of parts that may have a role."""
+    return any(x[0] and len(x) == 1 for x in about)
+
+
+def chosen(texts: list[str], about: list, template: set) -> list[int]:
+    """Numbers of the texts that are content; ``template`` texts go, but not in a slot."""
+    marked = is_marked(about)
+    size = [len(t) for t in texts]
+    inside = [bool(marked and x[0]) for x in about]
+    left = [k for k in range(len(texts)) if inside[k] or k not in template]
+    # roles: small parts of what varies, on marked pages of what varies in the slot
+    counted = [k for k in left if inside[k] or not marked]
+    total = sum(size[k] for k in counted)
+    held: dict = {}
+    for k in counted:
+        for element in about[k][1:]:
+            held[element] = held.get(element, 0) + size[k]
+    spared = {e for e, n in held.items() if n > SPARED_ABOVE[e % 4] * total}
+    left = [k for k in left if spared.issuperset(about[k][1:])]
+    if not marked:
+        return left
+    return [k for k in left if inside[k]]
+
+
+def outline(html: str) -> tuple[list, list[str], bool, int]:
+    """(tree, texts, marked, hash) of a page on its own: the texts the priors leave."""
+    tree, texts, about, total = described(html)
+    return tree, [texts[k] for k in chosen(texts, about, set())], is_marked(about), total
 
 
 def matching(a: list, b: list) -> list[tuple[list, list]]:
@@ -333,13 +391,14 @@ def places(reference: list, page: list) -> list[tuple[int, list]]:
     return out
 
 
-def content(page: list, texts: list[str], reference: list, template: set) -> str:
-    """Texts of a page without the (place, text hash) pairs of the template."""
+def content(page: list, texts: list[str], about: list, reference: list | None, template: set) -> str:
+    """Content of a page: ``template`` has the (place, text hash) pairs that go."""
     gone: set = set()
-    for place, node in places(reference, page):
-        if (place, node[1]) in template:
-            gone.update(node[2])
-    return "\n\n".join(t for k, t in enumerate(texts) if k not in gone)
+    if reference is not None and template:
+        for place, node in places(reference, page):
+            if (place, node[1]) in template:
+                gone.update(node[2])
+    return "\n\n".join(texts[k] for k in chosen(texts, about, gone))
 
 
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFrame:
@@ -354,17 +413,17 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            found = [outline(x.as_py() or "") for x in batch.column("html")]
+            found = [described(x.as_py() or "") for x in batch.column("html")]
             columns = [batch.column(c) for c in ("page_id", "url", "host")]
             columns.append(pa.array([json.dumps(f[0], separators=(",", ":")) for f in found], pa.string()))
             columns.append(pa.array([f[1] for f in found], pa.list_(pa.string())))
-            columns.append(pa.array([f[2] for f in found], pa.bool_()))
+            columns.append(pa.array([json.dumps(f[2], separators=(",", ":")) for f in found], pa.string()))
             columns.append(pa.array([f[3] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "tree", "texts", "marked", "hash"])
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "tree", "texts", "about", "hash"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     known = f"page_id {kinds['page_id']}, url {kinds['url']}"
-    schema = f"{known}, host string, tree string, texts array<string>, marked boolean, hash long"
+    schema = f"{known}, host string, tree string, texts array<string>, about string, hash long"
     parsed = staged(spark, rows.mapInArrow(read, schema), "pages-parsed")
 
     # evidence: places of all distinct pages of a host by the host's reference page
@@ -413,17 +472,13 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
         last, reference, template = (None, None), None, set()
         for batch in batches:
             out = []
-            columns = [batch.column(c) for c in ("tree", "texts", "marked", "reference", "template")]
+            columns = [batch.column(c) for c in ("tree", "texts", "about", "reference", "template")]
             for k in range(batch.num_rows):
-                tree, texts, marked, ref, known = (c[k].as_py() for c in columns)
+                tree, texts, about, ref, known = (c[k].as_py() for c in columns)
                 if (ref, known) != last:
                     last, reference = (ref, known), json.loads(ref) if ref else None
                     template = {(p, o) for p, o in json.loads(known)} if known else set()
-                if marked or not template:
-                    # the article slot is marked: all its texts are content
-                    out.append("\n\n".join(texts))
-                else:
-                    out.append(content(json.loads(tree), texts, reference, template))
+                out.append(content(json.loads(tree), texts, json.loads(about), reference, template))
             sizes = pa.array([len(x) for x in out], pa.int64())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), sizes]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])

@@ -131,6 +131,24 @@ def test_every_layout_of_a_host_has_its_template(spark):
     assert extracted(spark, pages) == {k: [f"story {k}"] for k in range(12)}
 
 
+def test_role_words_do_not_empty_a_page(spark):
+    story = "<h1>Title</h1><p>A long enough story.</p><p>And its end.</p>"
+    want = ["Title", "A long enough story.", "And its end."]
+    for page in (
+        f"<body><div class='no-sidebar'>{story}</div>",
+        f"<body><div id='page' class='has-comments'>{story}</div>",
+        f"<body><div class='widget-page'>{story}<div class='comments'>me too</div></div>",
+        f"<body><form id='aspnetForm' action='/x'>{story}<form><input>join</form></form>",
+        f"<body><article><div class='post-header'><h1>Title</h1></div>{story.split('</h1>')[1]}</article>",
+        f"<body><div class='post-header'><h1>Title</h1></div>{story.split('</h1>')[1]}<div class='sidebar'>x</div>",
+    ):
+        assert [t for t in html_wrapper.outline(page)[1] if t != "join"] == want, page
+    # a short story in the form of a page that is mostly constant menu
+    menu = "<div>" + "menu and more menu " * 20 + "</div>"
+    pages = [f"<body>{menu}<form><p>story {k}</p></form><div class='site-search'>go</div></body>" for k in range(6)]
+    assert extracted(spark, pages) == {k: [f"story {k}"] for k in range(6)}
+
+
 PAGES = [
     (1, "http://a/1", "same"),
     (2, "http://a/2", "same"),
