@@ -17,7 +17,11 @@ Two things are known beforehand, as priors.
   of the page's (or the marked slot's) varying text: over half where the word is part of a
   name or the element is a form, over nine tenths where it is the whole name. Names like
   ``no-sidebar`` and ``post-header`` are no role, nor is a header inside an article.
-* The marked slot (``article``, ``main``). All its texts are content, no text outside it is.
+* The marked slot (``article``, ``main``). Text outside it is no content, unless on a host
+  with a wrapper the varying text outside outweighs that inside (teaser cards). Inside it a
+  template text goes only if its place is found on half of the host's pages, of which there
+  are ``slot_pages``, and only while at most half of the page's slot would go: a paragraph
+  that some articles share, and near copies of one article, stay.
 
 Everything but the final alignment is counted with map-side combining: a hot host is
 never gathered. A host's wrapper is one small row.
@@ -233,12 +237,17 @@ def is_marked(about: list) -> bool:
     return any(x[0] and len(x) == 1 for x in about)
 
 
-def chosen(texts: list[str], about: list, template: set) -> list[int]:
-    """Numbers of the texts that are content; ``template`` texts go, but not in a slot."""
+def chosen(texts: list[str], about: list, template: set, wide: set, known: bool) -> list[int]:
+    """Numbers of the texts that are content; ``template`` texts go, in a slot those that are ``wide``.
+
+    ``known``: the host has a wrapper, so that the text outside a slot is known to vary.
+    """
     marked = is_marked(about)
     size = [len(t) for t in texts]
     inside = [bool(marked and x[0]) for x in about]
-    left = [k for k in range(len(texts)) if inside[k] or k not in template]
+    lost = sum(size[k] for k in wide if inside[k])
+    copies = 2 * lost > sum(n for n, x in zip(size, inside) if x)
+    left = [k for k in range(len(texts)) if not ((k in wide and not copies) if inside[k] else k in template)]
     # roles: small parts of what varies, on marked pages of what varies in the slot
     counted = [k for k in left if inside[k] or not marked]
     total = sum(size[k] for k in counted)
@@ -250,13 +259,16 @@ def chosen(texts: list[str], about: list, template: set) -> list[int]:
     left = [k for k in left if spared.issuperset(about[k][1:])]
     if not marked:
         return left
-    return [k for k in left if inside[k]]
+    slot = [k for k in left if inside[k]]
+    if known and 2 * sum(size[k] for k in slot) < sum(size[k] for k in left):
+        return left
+    return slot
 
 
 def outline(html: str) -> tuple[list, list[str], bool, int]:
     """(tree, texts, marked, hash) of a page on its own: the texts the priors leave."""
     tree, texts, about, total = described(html)
-    return tree, [texts[k] for k in chosen(texts, about, set())], is_marked(about), total
+    return tree, [texts[k] for k in chosen(texts, about, set(), set(), False)], is_marked(about), total
 
 
 def matching(a: list, b: list) -> list[tuple[list, list]]:
@@ -391,17 +403,21 @@ def places(reference: list, page: list) -> list[tuple[int, list]]:
     return out
 
 
-def content(page: list, texts: list[str], about: list, reference: list | None, template: set) -> str:
-    """Content of a page: ``template`` has the (place, text hash) pairs that go."""
+def content(page: list, texts: list[str], about: list, reference: list | None, template: dict) -> str:
+    """Content of a page: ``template`` has the (place, text hash) pairs that go, and whether in a slot too."""
     gone: set = set()
+    wide: set = set()
     if reference is not None and template:
         for place, node in places(reference, page):
-            if (place, node[1]) in template:
+            found = template.get((place, node[1]))
+            if found is not None:
                 gone.update(node[2])
-    return "\n\n".join(texts[k] for k in chosen(texts, about, gone))
+                if found:
+                    wide.update(node[2])
+    return "\n\n".join(texts[k] for k in chosen(texts, about, gone, wide, reference is not None))
 
 
-def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8, slot_pages: int = 10) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
@@ -460,7 +476,9 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
     frequent = frequent.where(F.col("n") >= (1 - share - 1e-9) * F.col("found"))
     template = frequent.groupBy("host", "place", "found").agg(F.sum("n").alias("same"), F.collect_list("own").alias("owns"))
     template = template.where(F.col("same") >= share * F.col("found")).select("host", "place", "found", F.explode("owns").alias("own"))
-    entry = F.array("place", "own")
+    template = template.join(references.select("host", "n"), "host")
+    wide = (2 * F.col("found") >= F.col("n")) & (F.col("n") >= slot_pages)
+    entry = F.array("place", "own", wide.cast("long"))
     template = template.groupBy("host").agg(F.to_json(F.collect_list(entry)).alias("template"))
     wrappers = staged(spark, references.drop("n").join(template, "host", "left"), "pages-wrappers")
 
@@ -469,7 +487,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
 
         import pyarrow as pa
 
-        last, reference, template = (None, None), None, set()
+        last, reference, template = (None, None), None, {}
         for batch in batches:
             out = []
             columns = [batch.column(c) for c in ("tree", "texts", "about", "reference", "template")]
@@ -477,7 +495,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.8) -> DataFra
                 tree, texts, about, ref, known = (c[k].as_py() for c in columns)
                 if (ref, known) != last:
                     last, reference = (ref, known), json.loads(ref) if ref else None
-                    template = {(p, o) for p, o in json.loads(known)} if known else set()
+                    template = {(p, o): bool(w) for p, o, w in json.loads(known)} if known else {}
                 out.append(content(json.loads(tree), texts, json.loads(about), reference, template))
             sizes = pa.array([len(x) for x in out], pa.int64())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), sizes]

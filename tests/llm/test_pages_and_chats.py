@@ -98,24 +98,32 @@ def test_siblings_of_one_kind_are_told_apart(spark):
     assert extracted(spark, pages) == {k: [f"story {k} part {j}" for j in range(1 + k % 4)] for k in range(12)}
 
 
-def test_large_alignments_by_halves(monkeypatch):
-    import random
-
-    rng = random.Random(5)
+def test_template_inside_a_marked_article(spark):
+    def page(k, shared):
+        quote = "<p>A paragraph that three articles quote.</p>" if shared else ""
+        return (
+            f"<body><article><h1>Title {k}</h1><p>By our own staff</p><p>Story {k} is told here at some length.</p>{quote}"
+            f"<p>Its end {k}</p><div>Tell your friends</div></article></body>"
+        )
 
-    def tree(n):
-        kids = [[rng.choice("pq"), rng.randint(0, 6), [], [["x", 3, [], []]] * rng.randint(0, 1)] for _ in range(n)]
-        return ["r", 0, [], [[s, h, [], [list(c) for c in kids]] for s, h, _, kids in kids]]
+    got = extracted(spark, [page(k, k % 5 == 0) for k in range(15)])
+    for k in range(15):
+        quote = ["A paragraph that three articles quote."] if k % 5 == 0 else []
+        assert got[k] == [f"Title {k}", f"Story {k} is told here at some length.", *quote, f"Its end {k}"]
+    # near copies of one article keep it
+    copies = [f"<body><article><h1>Same title</h1><p>The same long story on every page.</p><p>{k}</p></article></body>" for k in range(12)]
+    assert extracted(spark, copies)[3] == ["Same title", "The same long story on every page.", "3"]
 
-    def total(pairs):
-        return sum(2 if x[1] and x[1] == y[1] else 1 for x, y in pairs)
 
-    for n, m in ((12, 15), (40, 33), (60, 70)):
-        a, b = tree(n), tree(m)
-        whole = total(html_wrapper.matching(a, b))
-        monkeypatch.setattr(html_wrapper, "CELLS", 50)
-        assert total(html_wrapper.matching(a, b)) == whole
-        monkeypatch.undo()
+def test_main_text_outside_teaser_cards(spark):
+    pages = [
+        f"<body><div>Our site</div><div><p>The long main story number {k}, which no element marks.</p></div>"
+        f"<article><p>More: {k}</p></article></body>"
+        for k in range(12)
+    ]
+    got = extracted(spark, pages)
+    assert got == {k: [f"The long main story number {k}, which no element marks.", f"More: {k}"] for k in range(12)}
+    assert extracted(spark, pages[:1]) == {0: ["More: 0"]}  # nothing known of the host: the marker decides
 
 
 def test_every_layout_of_a_host_has_its_template(spark):
@@ -149,6 +157,26 @@ def test_role_words_do_not_empty_a_page(spark):
     assert extracted(spark, pages) == {k: [f"story {k}"] for k in range(6)}
 
 
+def test_large_alignments_by_halves(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+
+    def tree(n):
+        kids = [[rng.choice("pq"), rng.randint(0, 6), [], [["x", 3, [], []]] * rng.randint(0, 1)] for _ in range(n)]
+        return ["r", 0, [], [[s, h, [], [list(c) for c in kids]] for s, h, _, kids in kids]]
+
+    def total(pairs):
+        return sum(2 if x[1] and x[1] == y[1] else 1 for x, y in pairs)
+
+    for n, m in ((12, 15), (40, 33), (60, 70)):
+        a, b = tree(n), tree(m)
+        whole = total(html_wrapper.matching(a, b))
+        monkeypatch.setattr(html_wrapper, "CELLS", 50)
+        assert total(html_wrapper.matching(a, b)) == whole
+        monkeypatch.undo()
+
+
 PAGES = [
     (1, "http://a/1", "same"),
     (2, "http://a/2", "same"),
