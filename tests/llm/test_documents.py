@@ -307,6 +307,51 @@ def test_language_of_unseen_words(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_uses_all_counts(spark, docs):
+    import math
+
+    letters = re.compile(r"[^\W\d_]+")
+    some = docs.where("doc_id % 5 = 0").select("doc_id", "text", "lang").limit(120)
+    rows = [tuple(r) for r in some.collect()] + [(10**9, "zzq qqqx 123", None), (10**9 + 1, "the the", None)]
+    counts = defaultdict(Counter)  # (size, entry) -> language -> n
+    for doc, text, lang in rows:
+        if lang is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            for word in letters.findall(text.lower()):
+                counts[0, word][lang] += 1
+                for size in range(1, 6):
+                    for gram in language_id._grams(word, size):
+                        counts[size, gram][lang] += 1
+    totals = defaultdict(Counter)
+    for (size, _), c in counts.items():
+        totals[size].update(c)
+    langs = sorted(totals[0])
+
+    def vector(size, entry):
+        return [math.log(counts[size, entry][x] + 0.5) - math.log(totals[size][x] + 1) for x in langs]
+
+    def of(word):
+        if (0, word) in counts:
+            return vector(0, word)
+        for size in range(5, 0, -1):
+            hits = [vector(size, g) for g in language_id._grams(word, size) if (size, g) in counts]
+            if hits:
+                return [sum(x) / len(hits) for x in zip(*hits)]
+        return [0.0] * len(langs)
+
+    want = {}
+    for doc, text, _ in rows:
+        words = letters.findall(text.lower())
+        total = [sum(x) for x in zip(*map(of, words))]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        weight = min(len(words), 10) / len(words)
+        want[doc] = langs[best], 1 / sum(math.exp((x - total[best]) * weight) for x in total)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for max_words in (100_000, 60):
+        for r in language_id.identify(df, max_words=max_words).collect():
+            assert r["lang_pred"] == want[r["doc_id"]][0]
+            assert abs(r["score"] - want[r["doc_id"]][1]) < 1e-9
+
+
 # -- mixing --------------------------------------------------------------------
 
 
