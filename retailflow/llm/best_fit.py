@@ -47,14 +47,15 @@ class _Chunks(dict):
         return ids
 
 
-def make_encoder(path: str):
+def make_encoder(path: str, added_tokens: bool = False):
     """text -> token ids (bytes of unsigned 32-bit) by the tokenizer file at ``path``.
 
     A byte-level BPE never merges across a space that starts a word, so a text is cut
     there and every chunk is looked up in a cache; chunks not met before are encoded
     over the vocabulary of the file, whose ids are its merge ranks. Texts with other
     white space around spaces go through the tokenizer whole. Ids are those of
-    ``Tokenizer.encode``; special tokens inside texts are ordinary text.
+    ``Tokenizer.encode``; with ``added_tokens`` at its default setting, where the string of an
+    added token is its one id (such texts go through it whole), else that is ordinary text.
     """
     import re
 
@@ -63,17 +64,19 @@ def make_encoder(path: str):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added_tokens
     # bytes that are not printable stand in the vocabulary as characters from 256 on
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     byte_of = {chr(b): b for b in shown}
     byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    added = whole.get_added_tokens_decoder().values()
+    special = {t.content for t in added}
     ranks = {bytes(byte_of[c] for c in s): i for s, i in whole.get_vocab().items() if s not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed for this vocabulary
     fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     chunks = _Chunks(fast.encode_ordinary)
-    odd = re.compile(r" (?:\s|$)|\x00")
+    strings = [re.escape(t.content) for t in added if t.content and added_tokens]
+    odd = re.compile("|".join([r" (?:\s|$)|\x00", *strings]))
 
     def encode(text: str) -> bytes:
         if odd.search(text):
@@ -91,7 +94,7 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n_ids, capacity)]
 
 
-def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents; ``with_ids`` adds the ids themselves (``ids`` binary)."""
 
     def run(batches):
@@ -101,7 +104,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: b
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = worker_cache("encoder:" + path, lambda: make_encoder(path))
+        encode = worker_cache(f"encoder:{added_tokens}:{path}", lambda: make_encoder(path, added_tokens))
         end = np.array([end_id], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
@@ -206,10 +209,10 @@ def _with_rank(pieces: DataFrame) -> DataFrame:
     return pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("_offset") + F.col("local_rank"))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    pieces = staged(spark, tokenize(docs, path, capacity, end_id, with_ids), "pack-pieces")
+    pieces = staged(spark, tokenize(docs, path, capacity, end_id, with_ids, added_tokens), "pack-pieces")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = best_fit_runs(counts, capacity)
     table: dict[int, list] = {}

@@ -38,7 +38,7 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2, added_tokens=True)
 
 
 def op5_warc(spark, sf_dir):

@@ -352,6 +352,19 @@ def test_language_uses_all_counts(spark, docs):
             assert abs(r["score"] - want[r["doc_id"]][1]) < 1e-9
 
 
+def test_added_tokens_inside_texts():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    encode = best_fit.make_encoder(queries.tokenizer_path(), added_tokens=True)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for token in added:
+        for text in (token, f"one {token} two", f"one{token}{token}two  three", f"{token} ", token[:-1], token.upper()):
+            ids = plain.encode(text, add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(ids)}I", encode(text))) == ids, text
+
+
 # -- mixing --------------------------------------------------------------------
 
 
