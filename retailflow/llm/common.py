@@ -30,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str, folders: list | None = None) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, name: str, folders: list | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` below the cluster's shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without recomputing
-    ``df``. ``folders`` collects the paths, for ``forget`` once nothing reads them.
+    ``df``. ``folders`` collects the paths, for ``forget`` once nothing reads them; ``by``
+    is a column to split the files by.
     """
     path = work_dir(tune(spark), name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if folders is not None:
         folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
