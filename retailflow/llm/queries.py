@@ -9,11 +9,14 @@ from retailflow.llm import (
     chat_format,
     cross_polytope,
     cube_mix,
+    fim_regex,
     html_wrapper,
     hyperminhash,
     language_id,
     line_dedup,
+    merkle,
     quality_mcd,
+    suffix_family,
     warc,
 )
 from retailflow.llm.common import table
@@ -73,6 +76,18 @@ def op10_hyperminhash(spark, sf_dir):
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_suffix_family(spark, sf_dir):
+    return suffix_family.removal_report(table(spark, sf_dir, "documents"), length=200, batches=4)
+
+
+def op12_fim_regex(spark, sf_dir):
+    return fim_regex.fim_report(table(spark, sf_dir, "documents"), percent=90, spm_percent=20)
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"), every=5)
+
+
 QUERIES = {
     "op1_html_wrapper": op1_html_wrapper,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_quality_rules": op9_quality_rules,
     "op10_hyperminhash": op10_hyperminhash,
+    "op11_suffix_family": op11_suffix_family,
+    "op12_fim_regex": op12_fim_regex,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LINES = """
@@ -137,9 +155,121 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes,
 FROM payloads
 """
 
+_LONG_STRINGS = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT r, unnest(range(0, length(h) // 2 - 199)) AS s, h FROM docs WHERE length(h) >= 400
+), windows AS (
+  SELECT r, s, md5(substr(h, (2 * s + 1)::BIGINT, 400)) AS w FROM starts
+), hits AS (
+  SELECT r, s, coalesce(s > 200 + lag(s) OVER (PARTITION BY r ORDER BY s), true) AS fresh
+  FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), islands AS (
+  SELECT r, s, sum(fresh::INT) OVER (PARTITION BY r ORDER BY s) AS island FROM hits
+), spans AS (
+  SELECT r, min(s) AS a, max(s) + 200 AS b FROM islands GROUP BY r, island
+), pieces AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT r, max(b), 2147483647 FROM spans GROUP BY r
+), kept AS (
+  SELECT p.r, string_agg(substr(d.h, (2 * p.a + 1)::BIGINT, (2 * (p.b - p.a))::BIGINT), '' ORDER BY p.a) AS h
+  FROM pieces p JOIN docs d USING (r) GROUP BY p.r
+), lost AS (
+  SELECT r, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN lost l USING (r) LEFT JOIN kept k USING (r)
+"""
+
+_MIDDLES = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, text, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS plain, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS spm FROM drawn
+), formed AS (
+  SELECT doc_id, text, n, least(c1, c2) AS lo, greatest(c1, c2) AS hi,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain >= 90 THEN 'plain'
+              WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), cut AS (
+  SELECT *, substr(text, 1, lo) AS prefix, substr(text, lo + 1, hi - lo) AS middle, substr(text, hi + 1) AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    value = lambda v: f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(value(v) for v in fields) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a short text of ASCII digits, bit by bit.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(d)), lambda i: ascii(substr(d, i + 1, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+_MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql(_LOWER)} AS lower, doc_id::VARCHAR AS d FROM documents
+), trees AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM rows)
+), leaves AS (
+  SELECT r.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         CASE WHEN xor({_CRC}, 4294967295) % 5 = 0 THEN lower ELSE leaf END AS seen
+  FROM rows r JOIN trees t ON r.source IS NOT DISTINCT FROM t.source
+), sub(tree, level, pos, digest) AS (
+  SELECT tree, 0, pos, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, max(pos) OVER (PARTITION BY tree) AS last FROM sub) WHERE last > 0 GROUP BY tree, level, pos // 16
+), subroots AS (
+  SELECT tree, level, digest FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY level DESC) AS k FROM sub) WHERE k = 1
+), top(level, pos, digest) AS (
+  SELECT 0, tree, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, max(pos) OVER () AS last FROM top) WHERE last > 0 GROUP BY level, pos // 16
+), crown AS (
+  SELECT level, digest FROM top ORDER BY level DESC LIMIT 1
+), nodes AS (
+  SELECT tree, level, pos, digest FROM sub UNION ALL SELECT -1, level, pos, digest FROM top
+), sides AS (
+  SELECT tree, level, pos,
+         coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WINDOW run AS (PARTITION BY tree, level, pos // 16 ORDER BY pos)
+), walk(doc_id, home, leaf, tree, level, pos, depth, proof, digest) AS (
+  SELECT doc_id, leaves.tree, leaf, leaves.tree, 0, leaves.pos, s.level, '', seen FROM leaves JOIN subroots s ON s.tree = leaves.tree
+  UNION ALL
+  SELECT w.doc_id, w.home, w.leaf,
+         CASE WHEN w.level = w.depth THEN -1 ELSE w.tree END,
+         CASE WHEN w.level = w.depth THEN 0 ELSE w.level + 1 END,
+         CASE WHEN w.level = w.depth THEN w.home ELSE w.pos // 16 END,
+         CASE WHEN w.level = w.depth THEN (SELECT level FROM crown) ELSE w.depth END,
+         CASE WHEN w.level = w.depth THEN w.proof ELSE w.proof || s.l || s.r END,
+         CASE WHEN w.level = w.depth THEN w.digest ELSE sha256(s.l || w.digest || s.r) END
+  FROM walk w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.pos = w.pos
+  WHERE w.tree >= 0 OR w.level < w.depth
+)
+SELECT w.doc_id, w.leaf, s.digest AS subroot, c.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root,
+       w.digest = c.digest AS verified
+FROM walk w JOIN subroots s ON s.tree = w.home CROSS JOIN crown c WHERE w.tree = -1 AND w.level = w.depth
+"""
+
 #: DuckDB SQL of the queries that SQL can express.
 STATEMENTS: dict[str, str] = {
     "op2_line_dedup": _LINES,
     "op5_warc": _WARC,
     "op7_chat_format": _CHAT,
+    "op11_suffix_family": _LONG_STRINGS,
+    "op12_fim_regex": _MIDDLES,
+    "op13_merkle_manifest": _MERKLE,
 }
