@@ -1,10 +1,11 @@
 """Versioned upsert streams kept as append-only parquet logs.
 
-A stream writes one folder per micro-batch (``<table>/batch_id=<n>``) and only
-ever reads folders of smaller ids, so a batch that is run again after a failure
-rewrites its own folder with the same content. Readers take the newest entry per
-key, or the sum of signed deltas. Nothing is dropped as late: an edited or
-voided fact arrives as a new version that retracts the old one.
+A stream writes one run per micro-batch and only ever reads batches of smaller ids, so a
+batch that is run again after a failure rewrites its own run with the same content.
+Readers take the newest entry per key, or the sum of signed deltas. Nothing is dropped as
+late: an edited or voided fact arrives as a new version that retracts the old one. Each
+batch ends by folding full levels of its logs (``log.Log``), so state stays in few runs
+however many batches there were.
 
 Each stream runs one query at a time and writes its batches in id order.
 """
@@ -16,97 +17,42 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import StructType
 
 from retailflow.functions import scalars as S
 from retailflow.operators import catalog, consign, inventory, sales
 from retailflow.session import cut_lineage
+from retailflow.streaming.log import Log
 
 SALE_MEASURES = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
 
-BUCKETS = 64
-
-
-def bucket_of(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-@dataclass
-class Log:
-    """Append-only table of one stream, partitioned by batch id and bucket of ``key``."""
-
-    spark: SparkSession
-    path: str
-    schema: StructType
-    key: str
-
-    def save(self, df: DataFrame, path: str) -> None:
-        dealt = df.withColumn("bucket", bucket_of(self.key))
-        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        self.save(df, f"{self.path}/batch_id={batch_id}")
-
-    def _load(self, path: str, *partitions: str) -> DataFrame:
-        schema = StructType(list(self.schema.fields))
-        for name in partitions:
-            schema = schema.add(name, LongType() if name == "batch_id" else IntegerType())
-        return self.spark.read.schema(schema).parquet(path)
-
-    def batch(self, batch_id: int) -> DataFrame:
-        return self._load(f"{self.path}/batch_id={batch_id}", "bucket").drop("bucket")
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """All entries, or those of batches with a smaller id, or of some buckets only.
-
-        A finished base stands for all batches up to its id.
-        """
-        df = self._load(self.path, "batch_id", "bucket")
-        base = self.base()
-        if base is not None:
-            folded = self._load(self.base_path(base), "bucket")
-            folded = folded.withColumn("batch_id", F.lit(base).cast("long"))
-            df = df.filter(F.col("batch_id") > base).unionByName(folded)
-        if before is not None:
-            df = df.filter(F.col("batch_id") < before)
-        if buckets is not None:
-            df = df.filter(F.col("bucket").isin(buckets))
-        return df.drop("bucket")
-
-    def base_path(self, upto: int) -> str:
-        return f"{self.path}_base/upto={upto}"
-
-    def base(self) -> int | None:
-        """Newest finished base: the one whose write left its success mark."""
-        found = self._files().globStatus(self._hadoop(f"{self.path}_base/upto=*/_SUCCESS"))
-        names = [f.getPath().getParent().getName() for f in found or []]
-        return max((int(n.split("=")[1]) for n in names), default=None)
-
-    def ensure(self) -> Log:
-        """Make the folder exist (an empty batch before the first)."""
-        files = self._files()
-        if not files.exists(self._hadoop(self.path)):
-            self.write(self.spark.createDataFrame([], self.schema), -1)
-        return self
-
-    def _hadoop(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _files(self):
-        return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-
 def latest(log_rows: DataFrame, key: str) -> DataFrame:
     """Rows of the newest batch that wrote each key (a key may have many rows)."""
     newest = log_rows.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
     return log_rows.join(newest, [key, "batch_id"], "left_semi")
 
 
+def newest_entries(key: str, *cursor: str) -> Callable[[DataFrame], DataFrame]:
+    """Fold rule of entries: the newest per key, and those the cursor (per ``cursor``) stands on."""
+
+    def reduce(rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy(key).agg(F.max("batch_id").alias("newest"))
+        top = rows.groupBy(*cursor).agg(F.max("version").alias("top"))
+        rows = rows.join(newest, key)
+        if cursor:
+            same = [rows[c].eqNullSafe(top[c]) for c in cursor]
+            rows = rows.join(top, same, "left").select(rows["*"], top["top"])
+        else:
+            rows = rows.withColumn("top", top.scalar())
+        return rows.filter("batch_id = newest OR version = top").drop("newest", "top")
+
+    return reduce
+
+
 def known_rows(log: Log, keys: DataFrame, before: int) -> DataFrame:
     """Earlier entries of ``keys``, read from the buckets that can hold them."""
-    buckets = [r[0] for r in keys.select(bucket_of(log.key)).distinct().collect()]  # at most BUCKETS
-    return log.read(before, buckets).join(keys, log.key, "left_semi")
+    return log.read(before, keys).join(keys, log.key, "left_semi")
 
 
 def run(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -153,8 +99,8 @@ class SalesLedger:
         def schema(ddl):
             return StructType.fromDDL(ddl)
 
-        self.entries = Log(self.spark, self.path + "/entries", schema(self.ENTRY), "sale_id").ensure()
-        self.deltas = Log(self.spark, self.path + "/deltas", schema(self.DELTA), "pid").ensure()
+        self.entries = Log(self.spark, self.path + "/entries", schema(self.ENTRY), "sale_id", newest_entries("sale_id"))
+        self.deltas = Log(self.spark, self.path + "/deltas", schema(self.DELTA), "pid", self._summed)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Retract what the batch's sales contributed before, add the new.
@@ -174,7 +120,8 @@ class SalesLedger:
         newest = versions.groupBy("sale_id").agg(F.max("version").alias("version"))
         columns = [f.name for f in self.entries.schema]
         current = versions.join(newest, ["sale_id", "version"], "left_semi")
-        self.entries.write(current.select(*columns), batch_id)
+        rows = versions.count()
+        self.entries.write(current.select(*columns), batch_id, rows)
 
         new = self.entries.batch(batch_id)
         touched = new.select("sale_id").distinct()
@@ -198,6 +145,16 @@ class SalesLedger:
                 F.max("sale_date").alias("last_sold"),
             ),
             batch_id,
+            rows,
+        )
+        self.entries.fold(batch_id)
+        self.deltas.fold(batch_id)
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("pid").agg(
+            *[F.sum(m).cast(self.deltas.schema[m].dataType).alias(m) for m in SALE_MEASURES],
+            F.max("last_sold").alias("last_sold"),
+            F.max("batch_id").alias("batch_id"),
         )
 
     def _all_versions(self, lines: DataFrame, known: DataFrame, seen: DataFrame) -> DataFrame:
@@ -260,13 +217,13 @@ class ConsignmentLedger:
     )
 
     def __post_init__(self):
-        schema = StructType.fromDDL(self.ENTRY)
-        self.log = Log(self.spark, self.path + "/entries", schema, "consignment_id").ensure()
-        self.dates = Log(self.spark, self.path + "/dates", StructType.fromDDL("date date"), "date").ensure()
+        schema, key = StructType.fromDDL(self.ENTRY), "consignment_id"
+        self.log = Log(self.spark, self.path + "/entries", schema, key, newest_entries(key, "type"))
+        self.dates = Log(self.spark, self.path + "/dates", StructType.fromDDL("date date"), "date", self._earliest)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         # the earliest date ever seen stays, also when its version is replaced later
-        self.dates.write(consign.live_headers(batch).agg(F.min("date").alias("date")), batch_id)
+        self.dates.write(consign.live_headers(batch).agg(F.min("date").alias("date")), batch_id, 1)
         keys = batch.select("consignment_id").distinct()
         known = latest(known_rows(self.log, keys, batch_id), "consignment_id")
         seen = known.select("consignment_id", "version").distinct()
@@ -280,7 +237,12 @@ class ConsignmentLedger:
             .join(built.select("consignment_id").distinct(), "consignment_id", "left_anti")
         )
         columns = [f.name for f in self.log.schema]
-        self.log.write(built.unionByName(gone, allowMissingColumns=True).select(*columns), batch_id)
+        self.log.write(built.unionByName(gone, allowMissingColumns=True).select(*columns), batch_id, batch.count())
+        self.log.fold(batch_id)
+        self.dates.fold(batch_id)
+
+    def _earliest(self, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.min("date").alias("date"), F.max("batch_id").alias("batch_id"))
 
     def entries(self) -> DataFrame:
         return latest(self.log.read(), "consignment_id").filter("pid IS NOT NULL").drop("batch_id")
@@ -306,10 +268,15 @@ class InventoryLedger:
 
     def __post_init__(self):
         schema = StructType.fromDDL("pid bigint, outlet string, amount decimal(20,4), version bigint")
-        self.log = Log(self.spark, self.path + "/stock", schema, "pid").ensure()
+        self.log = Log(self.spark, self.path + "/stock", schema, "pid", self._newest)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        self.log.write(inventory.latest(inventory.normalize(batch)), batch_id)
+        self.log.write(inventory.latest(inventory.normalize(batch)), batch_id, batch.count())
+        self.log.fold(batch_id)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        last = rows.agg(F.max("batch_id")).scalar()
+        return inventory.latest(rows.select("pid", "outlet", "amount", "version")).withColumn("batch_id", last)
 
     def on_hand(self) -> DataFrame:
         return inventory.on_hand(self.log.read())
@@ -324,43 +291,37 @@ class CatalogLedger:
     schema: StructType
 
     def __post_init__(self):
-        self.log = Log(self.spark, self.path + "/products", self.schema, "pid").ensure()
+        self.log = Log(self.spark, self.path + "/products", self.schema, "pid", self._newest)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         columns = [f.name for f in self.schema]
-        self.log.write(self._newest(batch).select(*columns), batch_id)
+        self.log.write(self._newest(batch).select(*columns), batch_id, batch.count())
+        self.log.fold(batch_id)
 
     def _newest(self, rows: DataFrame) -> DataFrame:
-        whole = F.struct(*[F.col(f.name) for f in self.schema])
+        whole = F.struct(*[F.col(c) for c in rows.columns])
         return rows.groupBy("pid").agg(F.max_by(whole, F.col("version")).alias("p")).select("p.*")
 
     def products(self) -> DataFrame:
-        return self._newest(self.log.read())
+        return self._newest(self.log.read()).drop("batch_id")
 
     def buckets(self, codes: DataFrame) -> DataFrame:
         return catalog.season_catalog(self.products(), codes)
 
 
 def compact(log: Log, reduced: DataFrame, upto: int) -> None:
-    """Fold the batches up to ``upto`` into a base.
+    """Fold all batches up to ``upto`` into one run, besides the levels.
 
-    ``reduced`` must be a function of the entries of those batches. The base counts from
-    the moment its success mark is there, which is the last thing its write does; until
-    then readers see the batches, afterwards the base. The folded batches are emptied
+    ``reduced`` must be a function of the entries of those batches. The run counts from
+    the moment its success mark is there; until then readers see the batches. These go
     only later, so stopping anywhere leaves every read unchanged.
     """
-    old = log.base()
     columns = [f.name for f in log.schema]
-    log.save(reduced.select(*columns), log.base_path(upto))
-    drop_folded(log, upto, old)
+    rows = reduced.select(*columns).withColumn("batch_id", F.lit(upto).cast("long"))
+    log.save(rows, 0, upto, rows.count())
+    drop_folded(log, upto, None)
 
 
 def drop_folded(log: Log, upto: int, old_base: int | None) -> None:
-    """Delete what a finished base has made superfluous."""
-    files = log._files()
-    for status in files.listStatus(log._hadoop(log.path)):
-        name = status.getPath().getName()
-        if name.startswith("batch_id=") and -1 < int(name.split("=")[1]) <= upto:
-            files.delete(status.getPath(), True)
-    if old_base is not None and old_base != upto:
-        files.delete(log._hadoop(log.base_path(old_base)), True)
+    """Delete what a finished fold has made superfluous."""
+    log.drop_replaced()

@@ -312,16 +312,3 @@ def test_last_write_of_a_key_wins(spark):
     old = spark.createDataFrame([("k", 1, 0)], "key string, v bigint, place bigint")
     new = spark.createDataFrame([("k", 2, 1), ("k", 3, 2), ("n", 4, 3)], "key string, v bigint, place bigint")
     assert sorted(map(tuple, sinks.latest_wins(old, new, ["key"], "place").collect())) == [("k", 3, 2), ("n", 4, 3)]
-
-
-def test_batch_reads_only_its_buckets(spark, tmp_path):
-    state = sale_state(spark, tmp_path)
-    lines = [line(k, k, 1, 1, 100) for k in range(1, 200)]
-    state.process(spark.createDataFrame(lines, LINE), 0)
-    keys = spark.createDataFrame([(5,)], "sale_id bigint")
-    rows = ledger.known_rows(state.entries, keys, 1)
-    files = {p.split("bucket=")[1].split("/")[0] for p in rows.inputFiles() if "bucket=" in p}
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
-    assert [r["sale_id"] for r in rows.collect()] == [5]
-    assert len(files) > 1  # the log has many buckets; the filter above prunes them
