@@ -52,7 +52,7 @@ LENGTH, GRAM = 200, 24
 NULL_ID = -(2**63)  # stands for a null doc_id inside the index
 CHUNK = 1 << 18  # bytes hashed at once
 HOT_BATCH = 32  # different runs of an anchor in an Arrow batch from which they leave as open
-HOT = 1024  # different runs of an anchor from which windows are compared by hash
+HOT = 16_384  # different runs of an anchor (6 MB of text) from which windows are compared by hash
 SHARD_ENTRIES = 400_000
 BLOCK_BYTES = 1 << 19  # bytes of runs ranked at once
 NEW = 1000  # level number of the batch
