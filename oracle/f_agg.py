@@ -469,3 +469,55 @@ SELECT s.season, s.pid, s.qty_ordered, s.ret_qty, coalesce(t.sold, 0) AS sold,
   coalesce(h.on_hand, s.live_on_hand) AS live_on_hand
 FROM t_stats s LEFT JOIN t_sales t ON t.pid = s.pid LEFT JOIN t_on_hand h ON h.pid = s.pid""",
 )
+final(
+    "r10_reroll_rows",
+    "SELECT r.* FROM t_rows_delta r JOIN t_delta_pids USING (season, pid)",
+)
+final("r10_reroll_vendors", "SELECT * FROM t_vendor_totals_delta")
+final("r10_reroll_departments", "SELECT * FROM t_dept_totals_delta")
+final(
+    "r10_reroll_seasons",
+    f"SELECT season, {', '.join(f'sum({m}) AS {m}' for m in MEASURES)} "
+    "FROM t_dept_totals_delta GROUP BY ROLLUP (season)",
+)
+_CLOSED = "('spring25', 'fall25', 'spring26', 'fall26')"
+fragment(
+    "t_planned",
+    """
+SELECT p.*, o.vendor_key IS NULL AS residual,
+  coalesce(o.vendor_key, 'ord__' || dept_name || '__' || supplier_name) AS vendor_key
+FROM t_placed p LEFT JOIN t_first_owner o ON o.season = p.season AND o.sku = p.sku""",
+)
+fragment(
+    "t_applied",
+    f"""
+SELECT v.season, v.vendor_key, source, v_ordinal AS place,
+  CASE WHEN source IS NULL AND v.season IN {_CLOSED} THEN round(coalesce(after, 0), 2) ELSE ordered END AS ordered,
+  CASE WHEN source IS NULL AND v.season IN {_CLOSED} THEN coalesce(ordered_scraped, ordered) ELSE ordered_scraped END
+    AS ordered_scraped
+FROM t_vendors v LEFT JOIN (
+  SELECT season, vendor_key, sum(placed_retail) AS after FROM t_planned WHERE NOT residual GROUP BY ALL) p
+  ON p.season = v.season AND p.vendor_key = v.vendor_key
+UNION ALL
+SELECT season, vendor_key, 'ordered-backfill',
+  (SELECT max(v_ordinal) FROM t_vendors v WHERE v.season = r.season)
+    + row_number() OVER (PARTITION BY season ORDER BY vendor_key), round(after, 2), NULL
+FROM (SELECT season, vendor_key, sum(placed_retail) AS after FROM t_planned WHERE residual GROUP BY ALL) r""",
+)
+final(
+    "a16_ordered_apply",
+    """
+SELECT 'applied' AS state, * FROM t_applied
+UNION ALL SELECT 'again', * FROM t_applied
+UNION ALL SELECT 'reverted', season, vendor_key, source, v_ordinal, ordered, ordered_scraped FROM t_vendors""",
+)
+final(
+    "a16_product_refresh",
+    f"""
+SELECT p.season, p.vendor_key, p.sku, p.qty_placed AS qty_ordered, coalesce(l.qty_ordered, 0) AS qty_scraped,
+  round(p.placed_retail, 2) AS ordered_retail, coalesce(l.ordered_retail, 0) AS retail_scraped, p.price
+FROM t_planned p JOIN t_legacy l ON l.season = p.season AND l.vendor_key = p.vendor_key AND {sku_of("l.style")} = p.sku
+WHERE NOT p.residual
+UNION ALL
+SELECT season, vendor_key, sku, qty_placed, NULL, round(placed_retail, 2), NULL, price FROM t_planned WHERE residual""",
+)

@@ -69,17 +69,26 @@ SELECT season, row_key, NULL AS field, CASE WHEN pid IS NULL THEN 'legacy-only'
 UNION ALL
 SELECT season, row_key, field, skip FROM t_checked WHERE skip IS NOT NULL""",
 )
+fragment(
+    "t_vendors_damaged",
+    "SELECT * REPLACE (CASE WHEN ord % 40 = 0 THEN received - 5 ELSE received END AS received) FROM t_vendor_totals",
+)
+fragment(
+    "t_depts_damaged",
+    "SELECT * REPLACE (sold + CASE WHEN n_vendors % 6 = 3 THEN 1.5 ELSE 0 END AS sold) FROM t_dept_totals",
+)
 _BOTTOM = ["received", "cost", "returned", "returned_cost", "sold"]
 _INV = "\nUNION ALL\n".join(
     [
         f"""SELECT v.season, 'vendor' AS scope, v.dept_id || '/' || v.vendor_key AS key, '{f}' AS field,
-  coalesce(b.{f}, 0) AS expected, v.{f} AS actual FROM t_vendor_totals_scan v
+  coalesce(b.{f}, 0) AS expected, v.{f} AS actual FROM t_vendors_damaged v
 LEFT JOIN t_bottom b USING (season, dept_id, vendor_key)"""
         for f in _BOTTOM
     ]
     + [
-        f"""SELECT d.season, 'dept', d.dept_id, '{f}', coalesce(b.{f}, 0), d.{f} FROM t_dept_totals d
-LEFT JOIN t_dept_sums_scan b USING (season, dept_id)"""
+        f"""SELECT d.season, 'dept', d.dept_id, '{f}', coalesce(b.{f}, 0), d.{f} FROM t_depts_damaged d
+LEFT JOIN (SELECT season, dept_id, {", ".join(f"sum({x}) AS {x}" for x in MEASURES)}
+  FROM t_vendors_damaged GROUP BY ALL) b USING (season, dept_id)"""
         for f in MEASURES
     ]
 )
@@ -425,6 +434,62 @@ fragment(
 SELECT season, {sku_of("sku")} AS sku, sum(ret_qty) AS u FROM t_rows_scan WHERE ret_qty > 0
 GROUP BY ALL HAVING count(*) > 1""",
 )
+fragment(
+    "t_season_accuracy",
+    f"""
+SELECT season, sum(ret_qty) AS returned_units,
+  (SELECT coalesce(sum(ret_qty), 0) FROM t_stats x JOIN t_sku_to_pid USING (season, pid) WHERE x.season = r.season)
+  + (SELECT coalesce(sum(u), 0) FROM (SELECT season, sku_key, max(qty_returned) AS u FROM t_legacy_in
+      WHERE source = 'returns-backfill' AND qty_returned > 0 GROUP BY ALL) b
+    WHERE b.season = r.season AND NOT EXISTS (SELECT 1 FROM t_stats x JOIN t_sku_to_pid k USING (season, pid)
+      WHERE x.season = b.season AND k.sku_key = b.sku_key AND x.ret_qty > 0)) AS expected_returned,
+  (SELECT sum(ordered) FROM t_vendor_totals_scan v WHERE v.season = r.season) AS ordered,
+  coalesce((SELECT sum(pos_ordered) FROM t_pos_ordered v WHERE v.season = r.season), 0)
+    + coalesce((SELECT sum(placed_retail) FROM t_placed_activity v WHERE v.season = r.season AND NOT overlap), 0) AS target,
+  (SELECT count(*) FROM t_placed_activity p WHERE p.season = r.season AND p.sku NOT IN
+    (SELECT {sku_of("sku")} FROM t_rows_scan z WHERE z.season = p.season)) AS missed_skus,
+  (SELECT count(*) FROM t_dup d WHERE d.season = r.season) AS collisions
+FROM t_rows_scan r WHERE season IN {SEASONS4} GROUP BY season""",
+)
+fragment(
+    "t_trace",
+    f"""
+SELECT v.season, v.dept_id, v.vendor_key, v.rule, v.pos_ordered AS pos, v.ordered - v.pos_ordered AS added, v.ordered,
+  b.own_retail AS own, b.all_retail - b.own_retail AS shared, b.vendor_level, b.overlap,
+  CASE v.rule WHEN 'pos_only' THEN 0 WHEN 'overlap_product' THEN b.own_retail WHEN 'product_sum' THEN b.all_retail
+    ELSE CASE WHEN b.overlap THEN greatest(0, b.vendor_level - v.pos_ordered) ELSE b.vendor_level END END AS allowed
+FROM t_vendor_totals_scan v LEFT JOIN t_legacy_buckets_scan b USING (season, dept_id, vendor_key)
+WHERE v.season IN {SEASONS4}""",
+)
+final("l05_combine_trace", "SELECT * FROM t_trace")
+_GATES = [
+    ("returned", "returned_units", "expected_returned", "2", "true"),
+    ("returned-exact", "returned_units", "old_units", "0", "pos_returns = 0"),
+    ("combine", "ordered", "combined", "1", "true"),
+    ("no-double-count", "twice", "0", "1", "true"),
+    ("crossover", "ordered", "target", "1", "true"),
+    ("missed-orders", "missed_skus", "0", "0", "true"),
+    ("collisions", "collisions", "0", "0", "true"),
+]
+fragment(
+    "t_gate_inputs",
+    """
+SELECT * FROM t_season_accuracy
+LEFT JOIN (SELECT season, sum(pos + allowed) AS combined,
+  sum(CASE WHEN rule = 'overlap_product' THEN greatest(0, added - own) ELSE 0 END) AS twice
+  FROM t_trace GROUP BY season) USING (season)
+LEFT JOIN (SELECT season, sum(ret_qty) AS pos_returns FROM t_stats GROUP BY season) USING (season)
+LEFT JOIN (SELECT season, sum(units) AS old_units FROM t_pos_returns WHERE season IS NOT NULL GROUP BY season) USING (season)""",
+)
+final(
+    "l05_gates",
+    "\nUNION ALL\n".join(
+        f"SELECT season, '{g}' AS gate, coalesce({v}, 0) AS value, coalesce({w}, 0) AS target, "
+        f"coalesce({v}, 0) - coalesce({w}, 0) AS delta, "
+        f"NOT ({when}) OR abs(coalesce({v}, 0) - coalesce({w}, 0)) <= {slack} AS passed FROM t_gate_inputs"
+        for g, v, w, slack, when in _GATES
+    ),
+)
 final(
     "l06_cost_gap_summary",
     """

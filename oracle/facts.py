@@ -504,3 +504,17 @@ WHERE NOT EXISTS (SELECT 1 FROM t_dept_sums{suffix} x
 
 vendor_fragments("", True)
 vendor_fragments("_scan", False)
+_DELTA = ["sold", "on_sale", "returned", "sale_amt", "sold_amt", "live_on_hand"]
+fragment(
+    "t_stats_delta",
+    f"SELECT s.* REPLACE ({', '.join(f'f.{c} AS {c}' for c in _DELTA)}) "
+    "FROM t_stats s JOIN t_fresh f ON f.season = s.season AND f.pid = s.pid",
+)
+fragment(
+    "t_delta_pids",
+    "SELECT s.season, s.pid FROM t_stats s JOIN t_fresh f ON f.season = s.season AND f.pid = s.pid WHERE "
+    + " OR ".join(f"s.{c} IS DISTINCT FROM f.{c}" for c in _DELTA),
+)
+fragment("t_pos_rows_delta", pos_rows(False).replace("FROM t_stats ", "FROM t_stats_delta "))
+fragment("t_rows_delta", derived("t_pos_rows_delta"))
+vendor_fragments("_delta", False)

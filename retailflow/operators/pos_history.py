@@ -113,7 +113,7 @@ def placed_by_sku(entries: DataFrame) -> DataFrame:
     return sums.withColumns(
         {
             "season": closed_season("sku"),
-            "placed_retail": S.money(F.col("qty_placed") * F.col("price")),
+            "placed_retail": S.total(F.col("qty_placed") * F.col("price")),
         }
     ).filter(F.col("season").isNotNull())
 
@@ -177,9 +177,9 @@ def ordered_plan(entries: DataFrame, legacy: DataFrame, vendors: DataFrame) -> D
         "vendor_key",
         F.coalesce("residual", F.lit(False)).alias("residual"),
         S.zero("n_skus").alias("n_skus"),
-        S.money(S.zero("before")).alias("before"),
-        S.money(S.zero("after")).alias("after"),
-        S.money(S.zero("after") - S.zero("before")).alias("delta"),
+        S.total(S.zero("before")).alias("before"),
+        S.total(S.zero("after")).alias("after"),
+        S.total(S.zero("after") - S.zero("before")).alias("delta"),
     )
 
 

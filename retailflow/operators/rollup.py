@@ -200,6 +200,39 @@ def combine(base: DataFrame, buckets: DataFrame) -> DataFrame:
     )
 
 
+def trace(vendors: DataFrame, buckets: DataFrame) -> DataFrame:
+    """How each bucket's ordered dollars came about.
+
+    pos, what the rule took from the import (``added``), and what it may take: ``own`` are
+    products the POS has no order for, ``shared`` those it has.
+    """
+    keys = ["season", "dept_id", "vendor_key"]
+    legacy = buckets.select(
+        "season",
+        F.col("row_dept_id").alias("dept_id"),
+        F.col("rec_key").alias("vendor_key"),
+        "overlap",
+        S.total("own_retail").alias("own"),
+        S.total(F.col("all_retail") - F.col("own_retail")).alias("shared"),
+        S.total("vendor_level").alias("vendor_level"),
+    )
+    return vendors.select(
+        *keys, "rule", S.total("pos_ordered").alias("pos"), S.total("ordered").alias("ordered"),
+        S.total(F.col("ordered") - F.col("pos_ordered")).alias("added"),
+    ).join(legacy, keys, "left")
+
+
+def expected_added() -> F.Column:
+    """What each rule may add, from the trace's inputs alone."""
+    more = F.when(F.col("overlap"), S.floor0(F.col("vendor_level") - F.col("pos"))).otherwise(F.col("vendor_level"))
+    return S.total(
+        F.when(F.col("rule") == "pos_only", F.lit(0))
+        .when(F.col("rule") == "overlap_product", F.col("own"))
+        .when(F.col("rule") == "product_sum", F.col("own") + F.col("shared"))
+        .otherwise(more)
+    )
+
+
 def vendor_totals(inp: R.Inputs, rows: DataFrame) -> DataFrame:
     return combine(bottom_up(rows), legacy_buckets(inp, rows))
 

@@ -28,9 +28,11 @@ def classify(
     open_pids: DataFrame,
     guarded: DataFrame,
     as_of,
-    consignment_only: bool = False,
 ) -> DataFrame:
-    """First guard that applies to each product, else 'candidate'."""
+    """First guard that applies to each product, else 'candidate'.
+
+    ``consignment_only_reason`` is the same in a run that leaves other products alone.
+    """
     joined = (
         require_columns(products)
         .join(on_hand, "pid", "left")
@@ -41,10 +43,8 @@ def classify(
     consigned = S.is_consignment_sku("sku")
     days = F.when(consigned, CONSIGNMENT_DAYS).otherwise(REGULAR_DAYS)
     recent = F.coalesce(F.col("last_sold") >= F.date_sub(as_of, days), F.lit(False))
-    skip = ~consigned if consignment_only else F.lit(False)
     reason = (
-        F.when(skip, "nonConsignment")
-        .when(~F.col("active"), "inactive")
+        F.when(~F.col("active"), "inactive")
         .when(F.col("is_deleted"), "deleted")
         .when(~F.col("has_inventory"), "nonInventory")
         .when(S.zero("on_hand") > 0, "inStock")
@@ -53,7 +53,10 @@ def classify(
         .when(F.coalesce("is_guarded", F.lit(False)), "activeSeasonGuard")
         .otherwise("candidate")
     )
-    return joined.withColumns({"reason": reason, "is_consignment": consigned})
+    only = F.when(~consigned, "nonConsignment").otherwise(reason)
+    return joined.withColumns(
+        {"reason": reason, "consignment_only_reason": only, "is_consignment": consigned}
+    )
 
 
 def reason_tally(classified: DataFrame) -> DataFrame:

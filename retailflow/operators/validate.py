@@ -14,7 +14,7 @@ HARD_QTY = ["qtyOrdered", "qtyReceived", "retQty"]
 
 
 def _check(field, expected, actual, source, money, equal):
-    e, a = S.money(expected), S.money(actual)
+    e, a = S.total(expected), S.total(actual)
     return F.struct(
         F.lit(field).alias("field"),
         e.alias("expected"),
@@ -144,7 +144,7 @@ def counts(rows: DataFrame, checked: DataFrame, rollup_bad: DataFrame) -> DataFr
     ]
     out = out.withColumns(
         {c: S.zero(c) for c in ints}
-        | {c: S.money(S.zero(c)) for c in ("stock_drift", "retail_drift")}
+        | {c: S.total(S.zero(c)) for c in ("stock_drift", "retail_drift")}
     )
 
     def ratio(part, whole):
@@ -186,12 +186,30 @@ def drift_reasons(counted: DataFrame, thresholds=S.THRESHOLDS) -> DataFrame:
 
 
 def _tall(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(n).alias("field"), S.money(n).alias("value")) for n in names])
+    items = F.array(*[F.struct(F.lit(n).alias("field"), S.total(n).alias("value")) for n in names])
     return df.select(*keys, F.explode(items).alias("x")).select(*keys, "x.*")
 
 
+class SnapshotMismatch(ValueError):
+    """The tables of a check are of different snapshots."""
+
+
+def same_snapshot(*tables: DataFrame) -> None:
+    """Refuse to compare tables that carry different snapshot ids."""
+    ids = set()
+    for df in tables:
+        if "snapshot" in df.columns:
+            ids |= {r[0] for r in df.select("snapshot").distinct().limit(2).collect()}
+    if len(ids) > 1:
+        raise SnapshotMismatch(f"compared tables are of snapshots {sorted(map(str, ids))}")
+
+
 def rollup_invariants(rows: DataFrame, vendors: DataFrame, depts: DataFrame) -> DataFrame:
-    """Vendor totals against row sums, department totals against vendor sums."""
+    """Vendor totals against row sums, department totals against vendor sums.
+
+    The tables must be of one snapshot, if they carry ids.
+    """
+    same_snapshot(rows, vendors, depts)
     vkeys = ["season", "dept_id", "vendor_key"]
     bottom = ["received", "cost", "returned", "returned_cost", "sold"]
     row_sums = rollup.row_values(rows).groupBy(*vkeys).agg(*rollup.sums(names=tuple(bottom)))
@@ -249,7 +267,7 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], numeric: list[str], text
         item("presence", ~present, null_d, null_d, in_a.cast("string"), in_b.cast("string"))
     ]
     for c in numeric:
-        gap = F.abs(S.money(S.zero(f"a_{c}")) - S.money(S.zero(f"b_{c}")))
+        gap = F.abs(S.total(S.zero(f"a_{c}")) - S.total(S.zero(f"b_{c}")))
         items.append(
             item(c, present & (gap > eps), S.dbl(S.zero(f"a_{c}")), S.dbl(S.zero(f"b_{c}")), null_s, null_s)
         )

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
 from retailflow.functions.ranking import group_rank, top_k
-from retailflow.operators import catalog, consign, display, health, pos_history, rollup, sales
+from retailflow.operators import catalog, consign, display, health, ordered_apply, pos_history, rollup, sales
 from retailflow.operators import legacy as L
 from retailflow.operators import rows as R
 from retailflow.operators import series, stale
-from retailflow.plans.q_core import MEASURES, ROW, TOTALS, fields
+from retailflow.operators.versioned import VersionedTable
+from retailflow.plans.q_core import MEASURES, ROW, TOTALS, VENDOR, fields
 from retailflow.plans.q_join import bucket
 from retailflow.plans.registry import query
+from retailflow.session import work_dir
 
 SALE_SUMS = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
@@ -125,6 +129,45 @@ def a16(t):
     return pos_history.ordered_plan(t.pos_entries, t.legacy, t.vendors_of_record)
 
 
+def ordered_tables(t):
+    """Records and products, versioned: imported, applied, applied again; and the versions."""
+    headers = VersionedTable(t.spark, work_dir(t.spark, "ordered_records"), "season")
+    lines = VersionedTable(t.spark, work_dir(t.spark, "ordered_products"), "season")
+    imported = headers.overwrite(ordered_apply.records(t.vendors_of_record), "imported")
+    lines.overwrite(ordered_apply.products(t.legacy), "imported")
+    placed = t.staged("placed", lambda: pos_history.placed_by_sku(t.pos_entries))
+    states = {"imported": imported}
+    for note in ("applied", "again"):
+        planned = ordered_apply.plan(placed, lines.read())
+        closed = pos_history.CLOSED_SEASONS
+        states[note] = headers.overwrite(ordered_apply.apply_to_records(headers.read(), planned, closed), note)
+        lines.overwrite(ordered_apply.apply_to_products(lines.read(), planned), note)
+    return headers, lines, states
+
+
+@query("a16_ordered_apply", "state:s season:s vendor_key:s source:s place:i ordered:d ordered_scraped:d")
+def a16_apply(t):
+    """Records after the plan, after the same plan again, and reverted."""
+    headers, _, states = ordered_tables(t)
+    headers.revert(states["imported"])
+    kept = {"applied": headers.read(states["applied"]), "again": headers.read(states["again"]), "reverted": headers.read()}
+    tagged = [df.withColumn("state", F.lit(state)) for state, df in kept.items()]
+    return reduce(DataFrame.unionByName, tagged).withColumnRenamed("v_ordinal", "place")
+
+
+@query(
+    "a16_product_refresh",
+    "season:s vendor_key:s sku:s qty_ordered:i qty_scraped:i ordered_retail:d retail_scraped:d price:d",
+)
+def a16_products(t):
+    """Products the plan changed or added, with what they were imported with."""
+    _, lines, _ = ordered_tables(t)
+    changed = F.col("qty_ordered_scraped").isNotNull() | F.coalesce(F.col("source") == ordered_apply.ORDERED_SOURCE, F.lit(False))
+    return lines.read().filter(changed).withColumn("sku", S.sku_of("style")).withColumnsRenamed(
+        {"qty_ordered_scraped": "qty_scraped", "ordered_retail_scraped": "retail_scraped"}
+    )
+
+
 @query("a17_returns_by_source", "season:s source:s units:i dedup_units:i")
 def a17(t):
     rows = t.legacy.filter("qty_returned > 0").withColumn("sku", S.sku_of("style"))
@@ -226,21 +269,21 @@ def a28(t):
     return health.data_gaps(t.report_rows())
 
 
-def classified(t, consignment_only=False):
+def classified(t):
     """Stale check 300 days after the newest sale; coming seasons guard their pids."""
     lines = t.raw_sale_lines
     as_of = lines.agg(F.date_add(F.max("sale_date"), 300)).scalar()
     last = sales.live_lines(lines).groupBy("pid").agg(F.max("sale_date").alias("last_sold"))
     blocked = consign.open_pids(t.entries())
     return stale.classify(
-        t.catalog, t.stock, last, blocked, active_guard(t), as_of, consignment_only
+        t.catalog, t.stock, last, blocked, active_guard(t), as_of
     )
 
 
 def active_guard(t):
     """Union of pids known to the table of any season of the calendar."""
     return (
-        bucket(t).select("season", "pid")
+        t.listed.select("season", "pid")
         .unionByName(t.season_consign().select("season", "pid"))
         .join(t.seasons.select("season"), "season", "left_semi")
         .select("pid")
@@ -573,3 +616,25 @@ def r10(t):
             F.coalesce("on_hand", "old").alias("live_on_hand"),
         )
     )
+
+
+@query("r10_reroll_rows", "season:s row_key:s sold:i on_sale:i on_hand:i sale_amt:d")
+def r10_rows(t):
+    """Rows the sales delta changed, derived again."""
+    return t.rerolled().rows
+
+
+@query("r10_reroll_vendors", VENDOR + " rule:s")
+def r10_vendors(t):
+    """Vendor totals after the delta: touched buckets combined again, the others as stored."""
+    return t.rerolled().vendors
+
+
+@query("r10_reroll_departments", "season:s dept_id:s dept_name:s n_vendors:i " + MEASURES)
+def r10_departments(t):
+    return t.rerolled().departments
+
+
+@query("r10_reroll_seasons", "season:s " + MEASURES)
+def r10_seasons(t):
+    return t.rerolled().seasons

@@ -8,6 +8,7 @@ from retailflow.functions import scalars as S
 from retailflow.functions.ranking import group_rank, top_k
 from retailflow.operators import calendar, catalog, consign, inventory, sinks
 from retailflow.operators.pos_history import closed_season, drop_reason
+from retailflow.operators.versioned import VersionedTable
 from retailflow.plans.registry import query
 from retailflow.session import work_dir
 from retailflow.sources import adapter, files, html
@@ -219,10 +220,10 @@ def stored_rows(t, overlay):
 @query("k01_replace_season_rows", STORED)
 def k01(t):
     """Store the scan's rows, then replace one season with fresh ones."""
-    path = work_dir(t.spark, "product_season")
-    sinks.replace_partitions(stored_rows(t, False), path, "season")
-    sinks.replace_partitions(stored_rows(t, True).filter("season = 'spring26'"), path, "season", ["spring26"])
-    return t.spark.read.parquet(path)
+    table = VersionedTable(t.spark, work_dir(t.spark, "product_season"), "season")
+    table.publish(stored_rows(t, False))
+    table.publish(stored_rows(t, True).filter("season = 'spring26'"), ["spring26"])
+    return table.read()
 
 
 @query("k02_upsert_summary", "season:s ordered:d received:d sold:d n_departments:i")
@@ -233,10 +234,10 @@ def k02(t):
             F.count(F.lit(1)).alias("n_departments"),
         )
 
-    path = work_dir(t.spark, "report_summary")
-    sinks.replace_partitions(summary(False), path, "season")
-    sinks.replace_partitions(summary(True).filter("season = 'fall26'"), path, "season", ["fall26"])
-    return t.spark.read.parquet(path)
+    table = VersionedTable(t.spark, work_dir(t.spark, "report_summary"), "season")
+    table.publish(summary(False))
+    table.publish(summary(True).filter("season = 'fall26'"), ["fall26"])
+    return table.read()
 
 
 @query("k03_upsert_legacy_vendors", "season:s vendor_key:s vendor_name:s ordered:d")
@@ -314,14 +315,13 @@ def k08(t):
 
 @query("k09_backup_and_revert", "season:s vendor_key:s ordered:d state:s")
 def k09(t):
-    path, backup = work_dir(t.spark, "vendors"), work_dir(t.spark, "vendors_backup")
-    t.legacy_vendors.select("season", "vendor_key", "ordered").write.parquet(path)
-    changed = t.vendor_updates.select("season", "vendor_key", "ordered")
-    sinks.backup_and_overwrite(t.spark, path, backup, changed)
-    after = t.staged_copy(t.spark.read.parquet(path))
-    sinks.revert(t.spark, path, backup)
-    return after.withColumn("state", F.lit("changed")).unionByName(
-        t.spark.read.parquet(path).withColumn("state", F.lit("reverted"))
+    """Every version is a backup of the one before; reverting moves the manifest only."""
+    table = VersionedTable(t.spark, work_dir(t.spark, "vendors"), "season")
+    first = table.overwrite(t.legacy_vendors.select("season", "vendor_key", "ordered"))
+    changed = table.overwrite(t.vendor_updates.select("season", "vendor_key", "ordered"))
+    table.revert(first)
+    return table.read(changed).withColumn("state", F.lit("changed")).unionByName(
+        table.read().withColumn("state", F.lit("reverted"))
     )
 
 

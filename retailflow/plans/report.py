@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
-from retailflow.operators import calendar, catalog, consign, inventory, rollup, rows, sales, stats
+from retailflow.operators import calendar, catalog, consign, inventory, reroll, rollup, rows, sales, stats
 from retailflow.session import work_dir
 from retailflow.sources import adapter
 
@@ -42,6 +43,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: int = calendar.DEFAULT_AS_OF):
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
+        self._inputs = self.snapshot
 
     def __getattr__(self, name: str) -> DataFrame:
         source = getattr(adapter, name, None)
@@ -63,18 +65,37 @@ class Tables:
     def consign_version_layers(self) -> list[DataFrame]:
         return adapter.consign_version_layers(self.raw_consign_lines)
 
-    def staged(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.as_of, name)
+    def staged(self, name: str, build, by: tuple[str, ...] = ()) -> DataFrame:
+        """``by`` names the columns that split the files into folders."""
+        key = (self.spark.sparkContext.applicationId, self._inputs, self.as_of, name)
         with _GUARD:
             lock = _LOCKS.setdefault(key, Lock())
         with lock:
             path = _STAGED.get(key)
             if path is None:
                 path = work_dir(self.spark, name)
-                build().write.parquet(path)
+                build().write.partitionBy(*by).parquet(path)
                 _STAGED[key] = path
         return self.spark.read.parquet(path)
 
+    @property
+    def snapshot(self) -> str:
+        """Id of the inputs: a hash of their files' paths, lengths and times.
+
+        Staged tables are kept per id, so changed input files mean new stages.
+        """
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.sf_dir)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        digest = hashlib.sha256()
+        files = []
+        while found.hasNext():
+            f = found.next()
+            files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        for line in sorted(files):
+            digest.update(line.encode("utf-8"))
+        return digest.hexdigest()[:16]
+
     def together(self, *tables) -> list[DataFrame]:
         """Resolve independent tables at once, so their jobs share the cluster."""
         bound = inheritable_thread_target(self.spark)
@@ -208,6 +229,30 @@ class Tables:
             self.vendor_totals(overlay), calendar.season_ids(self.as_of), self.departments
         )
 
+    def stored_report(self) -> reroll.Stored:
+        """The stored scan's report, its rows in a folder for each season and department."""
+        split = self.staged(
+            "rows_scan_split",
+            # a task a folder: few files, each large enough to be worth a folder
+            lambda: self.report_rows(False).repartition("season", "dept_id"),
+            ("season", "dept_id"),
+        )
+        buckets = self.staged(
+            "legacy_buckets_scan", lambda: rollup.legacy_buckets(self.inputs(False), self.report_rows(False))
+        )
+        return reroll.Stored(
+            split.select(self.report_rows(False).columns), self.vendor_totals(False), buckets, self.dept_totals(False)
+        )
+
+    @property
+    def delta_stats(self) -> DataFrame:
+        """Stored statistics with the sales and stock known now."""
+        return self.staged("delta_stats", lambda: reroll.with_delta(self.scan_stats, self.fresh_stats))
+
+    def rerolled(self) -> reroll.Patched:
+        pids = self.staged("delta_pids", lambda: reroll.changed(self.scan_stats, self.delta_stats))
+        return reroll.reroll(self.inputs(False), self.stored_report(), self.delta_stats, pids)
+
     @property
     def stats(self) -> DataFrame:
         """Statistics of the last stored scan.
