@@ -48,10 +48,9 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
     "h6 hgroup html li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-ROLE_TAGS = frozenset(
-    "aside button canvas dialog footer form head header iframe input math menu nav noscript object script search select "
-    "style svg template textarea title video audio".split()
-)
+ROLE_TAGS = frozenset("aside dialog footer form head header menu nav search title".split())
+#: Elements that vanish from the line they stand in and end no block.
+UNSEEN = frozenset("audio button canvas iframe noscript object script select style svg template textarea video".split())
 SPACED = frozenset("br td th hr img wbr".split())
 CLOSES_P = BLOCKS | frozenset("aside footer form header hr menu nav".split())
 ARIA_ROLES = frozenset(
@@ -85,6 +84,7 @@ class PageParser(HTMLParser):
         self.texts: list[str] = []
         self.owners: list[int] = []  # element of each text
         self.buffer: list[str] = []
+        self.unseen: list[str] = []  # an element that vanishes and what is open inside it
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -108,6 +108,10 @@ class PageParser(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if tag in UNSEEN or self.unseen:
+            if tag not in VOID:
+                self.unseen.append(tag)
+            return
         if tag in VOID:
             if tag in SPACED:
                 self.buffer.append(" ")
@@ -135,19 +139,27 @@ class PageParser(HTMLParser):
             self.buffer.append(" ")
 
     def handle_endtag(self, tag):
+        if tag in self.unseen:
+            while self.unseen.pop() != tag:
+                pass
+            return
+        if tag in UNSEEN:
+            return
         if tag in SPACED:
             self.buffer.append(" ")
         inline = tag not in BLOCKS and tag not in ROLE_TAGS
         for depth in range(len(self.stack) - 1, 0, -1):
             open_tag = self.tags[self.stack[depth]]
             if open_tag == tag:
+                self.unseen.clear()  # one that was never closed ends with its block
                 self._close(depth)
                 return
             if inline and open_tag in BLOCKS:
                 return  # the end of an inline element closes no block
 
     def handle_data(self, data):
-        self.buffer.append(data)
+        if not self.unseen:
+            self.buffer.append(data)
 
 
 def _described(tag: str, attrs: list, role: int) -> tuple[str, int]:
