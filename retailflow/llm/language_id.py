@@ -32,14 +32,20 @@ LONGEST = 5
 EVIDENCE = 10  # words
 
 
-def _grams(word: str, n: int) -> list[str]:
+#: A letter, in training (JVM) and prediction alike; words are runs of them.
+LETTER = r"\p{L}"
+
+
+def _grams(word: str, n: int, most: int = 10_000):
+    """Lists of at most ``most`` n-grams of a word with marked ends."""
     marked = f"^{word}$"
-    return [marked[k : k + n] for k in range(len(marked) - n + 1)]
+    for low in range(0, len(marked) - n + 1, most):
+        yield [marked[k : k + n] for k in range(low, min(low + most, len(marked) - n + 1))]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """lang, entry, n: how often each lower-case word occurs in each language."""
-    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    words = F.explode(F.split(F.lower("text"), f"[^{LETTER}]+"))
     return docs.select("lang", words.alias("entry")).where("entry <> ''").groupBy("lang", "entry").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -63,12 +69,12 @@ def count_grams(words: DataFrame) -> DataFrame:
         total: dict = defaultdict(int)
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "entry", "n"))):
-                # no word is that long in a language; such strings still count as words
-                for size in range(1, LONGEST + 1) if len(word) <= 100 else ():
-                    for gram in _grams(word, size):
-                        total[lang, size, gram] += n
-            if len(total) > 500_000:
-                yield out()
+                for size in range(1, LONGEST + 1):
+                    for grams in _grams(word, size):
+                        for gram in grams:
+                            total[lang, size, gram] += n
+                        if len(total) > 500_000:
+                            yield out()
         if total:
             yield out()
 
@@ -150,11 +156,10 @@ def back_off(words: DataFrame, model: Model) -> DataFrame:
             grams: list = []
             for batch in batches:
                 for word in batch.column(0):
-                    found = _grams(word.as_py(), size)
                     # a very long word is not repeated with each of its n-grams at once
-                    for k in range(0, len(found), 1000):
-                        grams.extend(found[k : k + 1000])
-                        names.extend([word.as_py()] * len(found[k : k + 1000]))
+                    for found in _grams(word.as_py(), size, 1000):
+                        grams.extend(found)
+                        names.extend([word.as_py()] * len(found))
                         if len(names) > 50_000 or len(names) * len(word.as_py()) > 16_000_000:
                             yield out()
             yield out()
@@ -192,20 +197,20 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     shared = spark.sparkContext.broadcast(model.broadcast())
 
     def run(batches):
-        import re
         from collections import Counter
 
         import numpy as np
         import pyarrow as pa
+        import regex
         from pyspark import TaskContext
 
-        letters = re.compile(r"[^\W\d_]+")
+        letters = regex.compile(f"{LETTER}+")
         index, table = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, sizes, sums, others = [], [], [], []
             for text in batch.column(2):
-                words = letters.findall((text.as_py() or "").lower()) if n_langs else []
+                words = letters.findall(text.as_py() or "") if n_langs else []
                 at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
                 sums.append(table[at[at >= 0]].sum(axis=0).tolist())
                 others.append(list(Counter(words[k] for k in np.flatnonzero(at < 0)).items()))
@@ -217,7 +222,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
             columns.append(pa.array(others, pa.map_(pa.string(), pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "row", "n_words", "total", "others"])
 
-    rows = docs.select("doc_id", fold.alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", fold.alias("held_out"), F.lower(F.col("text").cast("string")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, row long, n_words long, total array<double>, others map<string,long>"
     scored = staged(spark, rows.mapInArrow(run, schema), "language-scored")
