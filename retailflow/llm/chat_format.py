@@ -123,8 +123,12 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """
     content, attached = visit(F.col("parts"))
     role = F.coalesce(F.col("role"), F.lit(""))
-    rows = messages.select("conv_id", "turn", role.alias("role"), content.alias("content"), attached.alias("attached"))
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "content")
+    raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    rows = messages.select(
+        "conv_id", "turn", role.alias("role"), raw.alias("raw"), content.alias("content"), attached.alias("attached")
+    )
+    # equal turns go by the texts themselves, not by what escaping makes of them
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "raw", "content")
     rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("head", _escape_role(F.col("role")))
     span = F.struct(
         F.col("place").alias("turn"),
