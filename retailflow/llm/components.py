@@ -44,3 +44,35 @@ def components(links: DataFrame) -> DataFrame:
             break
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def shared_ids(rows: DataFrame, content) -> DataFrame:
+    """Stand-ins for ids that stand for several contents: (id, content, node), written.
+
+    ``rows`` has ``id``; ``content`` is a hash of what the id stands for. Nodes are numbers
+    below all ids.
+    """
+    seen = rows.select("id", content.alias("content")).where("id is not null")
+    many = seen.groupBy("id").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
+    least = min(0, seen.agg(F.min("id")).first()[0])
+    nodes = seen.join(many.select("id"), "id", "left_semi").distinct()
+    nodes = nodes.withColumn("node", F.lit(least - 1) - F.monotonically_increasing_id())
+    return staged(rows.sparkSession, nodes, "shared-ids")
+
+
+def over_ids(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Components over ids from those of nodes: rows of one id are one.
+
+    ``found`` has node and component (both nodes, or ids that needed none). Returns node,
+    id and component: the smallest id reachable.
+    """
+    found = found.select("node", "component").distinct()
+    # what shares an id hangs together
+    first = nodes.groupBy("id").agg(F.min("node").alias("b"))
+    shared = nodes.join(first, "id").select(F.col("node").alias("a"), "b")
+    labels = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shared))
+    named = found.join(labels.select(F.col("id").alias("node"), F.col("component").alias("joined")), "node", "left")
+    named = named.join(nodes.select("node", "id"), "node", "left")
+    named = named.select("node", F.coalesce("id", "node").alias("id"), F.coalesce("joined", "component").alias("label"))
+    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    return named.join(least, "label").select("node", "id", "component")

@@ -19,7 +19,7 @@ registers (six standard errors of slack), then the full sets decide.
 Defined results
 * fewer words than a shingle: the whole sequence is the only one; no words or null text:
   an empty set, linked with nothing; repeated rows are copies of each other when they
-  have distinct ids, one document when they share one;
+  have distinct ids, one document when they share one, with the links of all its texts;
 * null ``doc_id``: its own component, returned with null ``component_id``;
 * an empty table gives an empty table; extra columns are ignored by ``near_duplicates``
   and kept by ``keep_representatives``.
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retailflow.llm.common import meeting_blocks, shuffle_parts, staged, whole_groups
-from retailflow.llm.components import components
+from retailflow.llm.components import components, over_ids, shared_ids
 
 BUCKETS, LOG_BUCKETS = 256, 8
 BAND = 6
@@ -394,6 +394,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketch = staged(spark, sketches(docs), "minhash-sketches")
     # one document for each distinct set stands for its copies
     sets = sketch.where("id is not null and digest is not null")
+    same = sets.groupBy("id").agg((F.min("digest") == F.max("digest")).alias("one"))
+    if not same.where("not one").isEmpty():
+        return _sharing_ids(docs, percent)
     copies = staged(spark, sets.groupBy("digest").agg(F.min("id").alias("first")), "minhash-copies")
     member = sets.select("id", "digest").join(copies, "digest").select("id", "first").distinct()
     member = staged(spark, member, "minhash-members")
@@ -413,6 +416,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
+def _sharing_ids(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` where one id has different texts: each text is a node of its own."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    content = F.xxhash64("text")
+    nodes = shared_ids(rows, content)
+    known = nodes.withColumnRenamed("id", "_id")
+    own = (rows["id"] == known["_id"]) & (content == known["content"])
+    apart = rows.join(known, own, "left").select(F.coalesce("node", "id").alias("doc_id"), "text")
+    found = staged(docs.sparkSession, near_duplicates(apart, percent), "minhash-apart")
+    named = over_ids(found.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")), nodes)
+    result = found.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("node"), "left")
+    return result.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
+    )
+
+
 def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group: the one with the smallest id; all columns stay."""
     lost = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_lost_id")).distinct()
