@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.llm.common import meeting_blocks, shuffle_parts, staged, whole_groups
-from retailflow.llm.components import components
+from retailflow.llm.components import components, over_ids, shared_ids
 
 ROUNDS = 3  # sign flips and transforms of a rotation
 RUNNERS_UP = 4  # axes considered for probing, per hash
@@ -274,6 +274,9 @@ def near_duplicates(
     light = staged(spark, keyed.select("id", "label", "h1", "h2"), "vectors-keys")
     # equal vectors: the smallest id stands for all of them
     same = ["label", "h1", "h2"]
+    alike = light.groupBy("id").agg((F.min(F.struct(*same)) == F.max(F.struct(*same))).alias("one"))
+    if not alike.where("not one and id is not null").isEmpty():
+        return _sharing_ids(vectors, threshold, tables, axes, probes, block)
     groups = staged(spark, light.groupBy(*same).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult")), "vectors-groups")
     g = groups.withColumnsRenamed({c: f"_{c}" for c in same})
     match = [keyed["id"] == g["node"]] + [keyed[c] == g[f"_{c}"] for c in same]
@@ -294,3 +297,29 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def _sharing_ids(vectors: DataFrame, *options) -> DataFrame:
+    """``near_duplicates`` where one id has different vectors: each is a node of its own.
+
+    An id's links are those of all its vectors together.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").alias("embedding"))
+    content = F.xxhash64("label", "embedding")
+    nodes = shared_ids(rows, content)
+    known = nodes.withColumnRenamed("id", "_id")
+    own = (rows["id"] == known["_id"]) & (content == known["content"])
+    apart = rows.join(known, own, "left").select(F.coalesce("node", "id").alias("vec_id"), "label", "embedding")
+    found = staged(vectors.sparkSession, near_duplicates(apart, *options), "vectors-apart")
+    each = found.where("vec_id is not null").select(F.col("vec_id").alias("node"), F.col("component_id").alias("component"), "n_links")
+    named = staged(vectors.sparkSession, over_ids(each, nodes), "vectors-named")
+    links = each.select("node", "n_links").distinct().join(named, "node").groupBy("id").agg(
+        F.sum("n_links").alias("n_links"), F.min("component").alias("component")
+    )
+    result = rows.select(F.col("id").alias("vec_id")).join(links, F.col("vec_id") == F.col("id"), "left")
+    return result.select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"),
+    )
