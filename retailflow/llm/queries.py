@@ -45,7 +45,7 @@ def op4_best_fit_packing(spark, sf_dir):
 
 
 def op5_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages"), min_revisit=0)
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_revisit=0, segment_bytes=16 << 10, chunk_bytes=4 << 10)
 
 
 def op6_mix_sources(spark, sf_dir):

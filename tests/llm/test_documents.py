@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 from retailflow.llm import best_fit, cube_mix, hyperminhash, language_id, line_dedup, quality_mcd, queries
 
@@ -307,10 +308,47 @@ def test_language_of_unseen_words(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def grams_of(word, n):
+    marked = f"^{word}$"
+    return [marked[k : k + n] for k in range(len(marked) - n + 1)]
+
+
+def test_language_of_text_without_letters(spark):
+    rows = [(k, "some plain words", "en") for k in range(8)] + [(100, "½ ² ①", None), (101, "Ⅷ ⅷ 42 _ -", None), (102, "ª", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    # numbers that look like letters are none, an ordinal indicator is one
+    assert got[100] == ("und", 0.0) and got[101] == ("und", 0.0) and got[102][0] == "en"
+
+
+def test_language_learns_from_text_without_spaces(spark):
+    one, two = "天地玄黄宇宙洪荒" * 40, "いろはにほへとちりぬるを" * 40
+    rows = [(k, one if k % 2 else two, "zh" if k % 2 else "ja") for k in range(40)]
+    rows += [(1000, "宇宙洪荒" + "天地", None), (1001, "ちりぬるを" + "いろは", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[1000], got[1001]) == ("zh", "ja")
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    def text(seed, *changes):
+        words = [f"w{seed}x{k}" for k in range(60)]
+        for k in changes:
+            words[k] = "changed"
+        return " ".join(words)
+
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 59)), (3, text("b", 59)), (4, text("c")), (1, text("a"))]
+    rows += [(9, text("d")), (9, text("e")), (7, text("d", 59)), (8, text("e", 59)), (None, text("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(df, 80).collect()]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 7: 7, 8: 7, 9: 7}
+    assert sorted(got, key=str) == sorted(((i, want.get(i), i is None or want[i] == i) for i, _ in rows), key=str)
+    kept = {r["doc_id"] for r in hyperminhash.keep_representatives(df, 80).collect()}
+    assert kept == {1, 4, 7, None}
+
+
 def test_language_uses_all_counts(spark, docs):
     import math
 
-    letters = re.compile(r"[^\W\d_]+")
+    letters = regex.compile(r"\p{L}+")
     some = docs.where("doc_id % 5 = 0").select("doc_id", "text", "lang").limit(120)
     rows = [tuple(r) for r in some.collect()] + [(10**9, "zzq qqqx 123", None), (10**9 + 1, "the the", None)]
     counts = defaultdict(Counter)  # (size, entry) -> language -> n
@@ -319,7 +357,7 @@ def test_language_uses_all_counts(spark, docs):
             for word in letters.findall(text.lower()):
                 counts[0, word][lang] += 1
                 for size in range(1, 6):
-                    for gram in language_id._grams(word, size):
+                    for gram in grams_of(word, size):
                         counts[size, gram][lang] += 1
     totals = defaultdict(Counter)
     for (size, _), c in counts.items():
@@ -333,7 +371,7 @@ def test_language_uses_all_counts(spark, docs):
         if (0, word) in counts:
             return vector(0, word)
         for size in range(5, 0, -1):
-            hits = [vector(size, g) for g in language_id._grams(word, size) if (size, g) in counts]
+            hits = [vector(size, g) for g in grams_of(word, size) if (size, g) in counts]
             if hits:
                 return [sum(x) / len(hits) for x in zip(*hits)]
         return [0.0] * len(langs)

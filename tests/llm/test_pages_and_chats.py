@@ -373,3 +373,74 @@ def test_odd_vectors(spark):
     rows2 = again.collect()
     assert len(rows2) == 16 and {(r["n_links"], r["kept"]) for r in rows2 if r["vec_id"] is None} == {(0, True)}
     assert cross_polytope.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_ids_with_several_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b, c = rng.normal(size=(3, 16))
+    near = lambda v: (v + 0.01 * rng.normal(size=16)).tolist()
+    rows = [(1, 0, a.tolist()), (1, 0, b.tolist()), (2, 0, near(a)), (3, 0, near(b)), (4, 0, c.tolist())]
+    rows += [(8, 0, (-a).tolist()), (8, 0, (-b).tolist()), (6, 0, near(-a)), (7, 0, near(-b)), (5, 1, a.tolist()), (None, 0, a.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cross_polytope.near_duplicates(df).collect()}
+    assert got[2][1] == got[3][1] == got[1][1] == 1 and got[6][1] == got[7][1] == got[8][1] == 6
+    assert got[4] == (0, 4) and got[5] == (0, 5)
+    # links of all an id's vectors add up
+    assert got[1][0] >= 2 and got[8][0] == 2 and got[7][0] == 1
+
+
+def test_equal_turns_go_by_their_texts(spark):
+    rows = [(1, 0, "user", "<|"), (1, 0, "user", "<}"), (1, 0, "user", "<{")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df = df.withColumn("parts", chat_format.text_parts(F.col("text")))
+    turns = chat_format.read_back(chat_format.format_conversations(df)).first()["turns"]
+    assert [t["text"] for t in turns] == ["<{", "<|", "<}"]
+
+
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("<p>Let <math><mi>x</mi></math> be real.</p>", "Let x be real."),
+        ("<p>Text <svg><title>t</title><path d='M0'/></svg> more words</p>", "Text more words"),
+        ("<p>abc<script>var p = '<p>';</script>def</p>", "abcdef"),
+        ("<p>Click <button><div>he<b>re</b></div></button> now</p>", "Click now"),
+        ("<p>One <select><option>a<option>b</select>two<p>three", "One two\n\nthree"),
+        ("<div><p>cut <object>off</p><p>next</p></div>", "cut\n\nnext"),
+        ("<p>a<noscript><img src=x></noscript>b <textarea>c</textarea>d</p>", "ab d"),
+    ],
+)
+def test_inline_elements_end_no_block(markup, text):
+    assert "\n\n".join(html_wrapper.described(f"<html><body>{markup}</body></html>")[1]) == text
+
+
+def test_induction_alone(spark):
+    """Hosts where nothing is named: two layouts share a menu and a closing line."""
+    import random
+
+    rnd = random.Random(3)
+    rows, story, frame = [], {}, {}
+    for k in range(60):
+        lines = [f"Paragraph {k} {j} {rnd.random()}" for j in range(rnd.randint(1, 4))]
+        menu = [f"Topic {j}" for j in range(5)]
+        top = "".join(f"<div>{m}</div>" for m in menu)
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        closing = "Printed on recycled paper"
+        extra = ["Written by the staff"] if k % 2 else []
+        if k % 2:
+            page = f"<div>{top}</div><section><h2>Title {k}</h2>{body}<p>{extra[0]}</p></section><div>{closing}</div>"
+        else:
+            page = f"<table><tr><td>{top}</td></tr></table><div><h2>Title {k}</h2>{body}</div><div>{closing}</div>"
+        story[k], frame[k] = [f"Title {k}", *lines], [*menu, closing, *extra]
+        rows.append((k, f"http://h{k % 3}.example/{k}", f"<html><body>{page}</body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hit = wrong = missed = 0
+    for r in html_wrapper.extract(df).collect():
+        kept = r["text"].split("\n\n")
+        gone = Counter(story[r["page_id"]] + frame[r["page_id"]]) - Counter(kept)
+        hit += sum((gone & Counter(frame[r["page_id"]])).values())
+        wrong += sum((gone & Counter(story[r["page_id"]])).values())
+        missed += sum((Counter(kept) & Counter(frame[r["page_id"]])).values())
+    print("induction: precision", hit / (hit + wrong), "recall", hit / (hit + missed))
+    assert hit / (hit + wrong) == 1.0 and hit / (hit + missed) >= 0.95
