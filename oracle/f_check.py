@@ -71,11 +71,11 @@ SELECT season, row_key, field, skip FROM t_checked WHERE skip IS NOT NULL""",
 )
 fragment(
     "t_vendors_damaged",
-    "SELECT * REPLACE (CASE WHEN ord % 40 = 0 THEN received - 5 ELSE received END AS received) FROM t_vendor_totals",
+    "SELECT * REPLACE (CASE WHEN ord % 40 = 0 THEN received - 5000000 ELSE received END AS received) FROM t_vendor_totals",
 )
 fragment(
     "t_depts_damaged",
-    "SELECT * REPLACE (sold + CASE WHEN n_vendors % 6 = 3 THEN 1.5 ELSE 0 END AS sold) FROM t_dept_totals",
+    "SELECT * REPLACE (sold + CASE WHEN n_vendors % 6 = 3 THEN 5000000 ELSE 0 END AS sold) FROM t_dept_totals",
 )
 _BOTTOM = ["received", "cost", "returned", "returned_cost", "sold"]
 _INV = "\nUNION ALL\n".join(

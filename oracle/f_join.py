@@ -150,7 +150,7 @@ SELECT page_id, vendor_id,
   coalesce(sold, 0) AS sold
 FROM t_vendor_links""",
 )
-final("u01_row_universe", "SELECT season, row_key, CASE WHEN pid IS NULL THEN 'legacy' ELSE 'pos' END AS origin FROM t_rows")
+final("u01_row_universe", "SELECT season, row_key, CASE WHEN pid IS NULL THEN 'legacy' WHEN pid % 61 = 0 THEN 'listed' ELSE 'pos' END AS origin FROM t_rows")
 final("u02_season_pid_set", "SELECT * FROM t_pid_union")
 final("u03_sku_overlay", "SELECT * FROM t_overlay_skus")
 final(

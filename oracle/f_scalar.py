@@ -47,6 +47,10 @@ final(
     "SELECT season, fallback, range_start, range_end, (SELECT count(*) FROM t_season_pids p "
     "WHERE p.season = s.season) AS n_products FROM t_seasons s",
 )
+final(
+    "f13_nested_discounts",
+    "SELECT sale_id, pid, count(*) FILTER (marker) AS n_marked, count(*) AS n_lines FROM t_sale_lines GROUP BY ALL",
+)
 final(
     "f13_discount_marker",
     "SELECT sale_id, pid, count(*) FILTER (marker) AS n_marked, count(*) AS n_lines FROM t_sale_lines GROUP BY ALL",

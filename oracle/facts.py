@@ -257,6 +257,14 @@ FROM t_depts GROUP BY 1""",
 )
 
 
+fragment(
+    "t_row_bucket",
+    """
+SELECT * FROM t_bucket b WHERE pid % 61 <> 0 OR EXISTS (
+  SELECT 1 FROM t_legacy_in l JOIN t_sku_to_pid s USING (season, sku_key) WHERE s.season = b.season AND s.pid = b.pid)""",
+)
+
+
 def pos_rows(overlay):
     o = overlay
     ordered = "coalesce(o.qty_ordered, 0)" if o else "coalesce(s.qty_ordered, 0)"
@@ -289,7 +297,7 @@ SELECT b.season, b.pid, sku, name, variant, type_id AS dept_id,
 FROM (
   SELECT b.*, CAST({positive("price", "legacy_price")} AS DECIMAL(10,2)) AS price2,
     CAST({positive("cost", "legacy_cost")} AS DECIMAL(12,3)) AS cost2
-  FROM t_bucket b LEFT JOIN t_legacy_price USING (season, pid)) b
+  FROM t_row_bucket b LEFT JOIN t_legacy_price USING (season, pid)) b
 LEFT JOIN (
   SELECT s.*, legacy_sold, legacy_on_sale, legacy_sale_amt, legacy_sold IS NOT NULL AND
     coalesce(legacy_sold, 0) + coalesce(legacy_on_sale, 0) >= s.sold + s.on_sale AS use_sale

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
-from retailflow.sources.adapter import SOLD_SOURCE
+
+# Fixed value: provenance tag of records that carry sales of the old POS.
+SOLD_SOURCE = "sold-backfill"
 
 
 def in_season(products: DataFrame, codes: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def reroll(inp: R.Inputs, stored: Stored, updated: DataFrame, pids: DataFrame) -
     A product keeps its department and vendor (they come from the catalog), so its old and
     new bucket are the same.
     """
-    part = of_products(inp, updated, pids)
+    part = of_products(R.with_listed_pids(inp), updated, pids)
     fresh = R.derive(R.pos_rows(part))
     touched = fresh.select(*BUCKET).distinct()
     rest = in_folders(stored.rows, touched).join(touched, BUCKET, "left_semi")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
+from retailflow.operators import catalog
 from retailflow.operators import legacy as L
 
 LEGACY_ORD = 1_000_000_000_000_000_000
@@ -25,6 +26,7 @@ class Inputs:
     departments: DataFrame
     codes: DataFrame
     overlay: DataFrame | None = None  # season, pid, qty_ordered, qty_received, qty_returned
+    store: DataFrame | None = None  # pid and the product columns of ``bucket``, of the whole store
 
 
 def pos_rows(inp: Inputs) -> DataFrame:
@@ -191,10 +193,11 @@ def derive(rows: DataFrame) -> DataFrame:
     ).drop("sup_id", "sup_name")
 
 
-def with_listed_pids(inp: Inputs, known: DataFrame) -> Inputs:
+def with_listed_pids(inp: Inputs, known: DataFrame | None = None) -> Inputs:
     """Add legacy-listed products outside the season list that have statistics.
 
-    ``known`` describes such products (same columns as ``bucket``).
+    ``known`` describes such products (same columns as ``bucket``); without it they are
+    looked up in the store's catalog, which comes second to the season list.
     """
     listed = (
         L.with_pid(L.in_season(inp.legacy, inp.codes), inp.sku_pid)
@@ -204,11 +207,17 @@ def with_listed_pids(inp: Inputs, known: DataFrame) -> Inputs:
         .join(inp.stats, ["season", "pid"], "left_semi")
         .join(inp.bucket, ["season", "pid"], "left_anti")
     )
-    extra = known.join(listed, ["season", "pid"], "left_semi")
-    return Inputs(**{**inp.__dict__, "bucket": inp.bucket.unionByName(extra)})
+    if known is not None:
+        extra = known.join(listed, ["season", "pid"], "left_semi")
+    elif inp.store is not None:
+        extra = catalog.with_legacy_vendor(listed.join(inp.store, "pid"), inp.legacy).select(inp.bucket.columns)
+    else:
+        return inp
+    return replace(inp, bucket=inp.bucket.unionByName(extra), store=None)
 
 
 def product_rows(inp: Inputs) -> DataFrame:
+    inp = with_listed_pids(inp)
     return derive(pos_rows(inp).unionByName(legacy_rows(inp)))
 
 

@@ -240,8 +240,49 @@ def rollup_invariants(rows: DataFrame, vendors: DataFrame, depts: DataFrame) ->
 EPSILON = "0.01"
 
 
+#: Buckets of keys whose digests are compared first; bounds what is broadcast.
+PARITY_BUCKETS = 4096
+
+
+def _bucketed(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Adds the bucket of the key and a hash of everything that parity compares."""
+    values = [S.zero(S.total(n)) for n in names[0]] + [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names[1]]
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return df.withColumns(
+        {"_bucket": F.pmod(F.xxhash64(*parts), F.lit(PARITY_BUCKETS)).cast("int"), "_row": F.xxhash64(*parts, *values)}
+    )
+
+
+def digests(df: DataFrame) -> DataFrame:
+    """One row a bucket: how many rows, and two order-free sums of their hashes.
+
+    Combined in the map tasks, so a store sends at most a few thousand numbers a task.
+    """
+    wide = F.col("_row").cast("decimal(38,0)")
+    return df.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(wide).alias("s"), F.bit_xor("_row").alias("x"))
+
+
+def in_differing_buckets(a: DataFrame, b: DataFrame, keys: list[str], numeric: list[str], text: list[str]):
+    """The rows of both stores in buckets whose digests differ.
+
+    The list of such buckets has at most ``PARITY_BUCKETS`` rows and goes to the rows, so
+    rows of equal buckets are read but never shuffled.
+    """
+    sides = [_bucketed(df, keys, (numeric, text)) for df in (a, b)]
+    left, right = (digests(s) for s in sides)
+    same = [F.coalesce(left[c] == right[c], F.lit(False)) for c in ("n", "s", "x")]
+    both = left.join(right, left["_bucket"] == right["_bucket"], "full_outer").filter(~(same[0] & same[1] & same[2]))
+    differing = F.broadcast(both.select(F.coalesce(left["_bucket"], right["_bucket"]).alias("_bucket")))
+    return [s.join(differing, "_bucket", "left_semi").drop("_bucket", "_row") for s in sides]
+
+
 def parity(a: DataFrame, b: DataFrame, keys: list[str], numeric: list[str], text: list[str]) -> DataFrame:
-    """Differences of two stores by key: presence, numbers beyond 0.01, text."""
+    """Differences of two stores by key: presence, numbers beyond 0.01, text.
+
+    Digests by bucket of the key come first; only buckets that differ are compared row by
+    row.
+    """
+    a, b = in_differing_buckets(a, b, keys, numeric, text)
 
     def side(df, tag):
         cols = [F.col(c).alias(f"{tag}_{c}") for c in numeric + text]

@@ -48,14 +48,13 @@ LOST_UNITS = 40
 def stored_totals(t):
     """The report's totals as a store returned them: some were damaged on the way.
 
-    Every vendor whose place ``LOST_UNITS`` divides lost five dollars of what it received,
-    and what a department sold is a dollar and a half too high if its vendors number an odd
-    multiple of three.
+    Every vendor whose place ``LOST_UNITS`` divides lost five million dollars of what it
+    received, more than any tolerance, and what a department sold is as much too high if its vendors number an odd multiple of three.
     """
     vendors = t.vendor_totals()
     hit = F.col("ord") % LOST_UNITS == 0
-    vendors = vendors.withColumn("received", F.when(hit, S.total(F.col("received") - 5)).otherwise(F.col("received")))
-    more = F.when(F.col("n_vendors") % 6 == 3, F.lit("1.5").cast("decimal(2,1)")).otherwise(F.lit(0))
+    vendors = vendors.withColumn("received", F.when(hit, S.total(F.col("received") - 5_000_000)).otherwise(F.col("received")))
+    more = F.when(F.col("n_vendors") % 6 == 3, F.lit(5_000_000)).otherwise(F.lit(0))
     return vendors, t.dept_totals().withColumn("sold", S.total(F.col("sold") + more))
 
 

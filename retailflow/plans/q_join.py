@@ -201,10 +201,12 @@ def j18(t):
 @query("u01_row_universe", "season:s row_key:s origin:s")
 def u01(t):
     """POS rows, then listed legacy pids, then legacy-only SKUs, one per key."""
-    inp = R.with_listed_pids(t.inputs(), t.listed)
-    pos = inp.bucket.select(
+    own = t.inputs()
+    inp = R.with_listed_pids(own)
+    listed = own.bucket.select("season", "pid", F.lit("pos").alias("origin"))
+    pos = inp.bucket.select("season", "pid").join(listed, ["season", "pid"], "left").select(
         "season", F.concat(F.lit("pid:"), F.col("pid").cast("string")).alias("row_key"),
-        F.lit("pos").alias("origin"),
+        F.coalesce("origin", F.lit("listed")).alias("origin"),
     )
     alone = (
         L.with_pid(L.in_season(inp.legacy, inp.codes), inp.sku_pid)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from retailflow.functions import scalars as S
 from retailflow.operators import display, sales
 from retailflow.plans.registry import query
-from retailflow.sources import files
+from retailflow.session import work_dir
+from retailflow.sources import feeds, files
 
 STOCK = ("live_on_hand", "received_qty", "sold", "on_sale", "ret_qty")
 PO_STOCK = STOCK[1:]
@@ -133,6 +135,36 @@ def f13(t):
     return lines.groupBy("sale_id", "pid").agg(marked, F.count(F.lit(1)).alias("n_lines"))
 
 
+def with_discount_structs(schema: StructType) -> StructType:
+    item = ArrayType(StructType().add("amount", "string").add("value", "string"))
+    return StructType([StructField(f.name, item) if f.name == "discounts" else f for f in schema])
+
+
+@query("f13_nested_discounts", "sale_id:i pid:i n_marked:i n_lines:i")
+def f13_nested(t):
+    """The same marker on lines whose discounts are lists of structs, as the feed sends them.
+
+    Amounts come as texts; every second list gives its number as ``value``, with a zero
+    or missing ``amount``.
+    """
+    lines = t.raw_sale_lines
+    number = lambda d: d.cast("string")
+    other = F.col("sale_id") % 2 == 0
+    items = F.transform(
+        "discounts",
+        lambda d: F.struct(
+            F.when(other, F.when(F.col("sale_id") % 4 == 0, "0")).otherwise(number(d)).alias("amount"),
+            F.when(other, number(d)).alias("value"),
+        ),
+    )
+    path = work_dir(t.spark, "sale_line_feed")
+    lines.withColumn("discounts", items).write.json(path)
+    read = t.spark.read.schema(with_discount_structs(lines.schema)).json(path)
+    read = read.withColumn("discounts", feeds.discount_amounts(read))
+    marked = F.count_if(S.discount_marker(read.columns)).alias("n_marked")
+    return read.groupBy("sale_id", "pid").agg(marked, F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("f14_line_amount", "sale_id:i pid:i amount:d")
 def f14(t):
     return classified(t).groupBy("sale_id", "pid").agg(F.sum("amount").alias("amount"))

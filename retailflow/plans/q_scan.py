@@ -11,7 +11,7 @@ from retailflow.operators.pos_history import closed_season, drop_reason
 from retailflow.operators.versioned import VersionedTable
 from retailflow.plans.registry import query
 from retailflow.session import work_dir
-from retailflow.sources import adapter, files, html
+from retailflow.sources import adapter, feeds, files, html
 
 # --- S: scans ---------------------------------------------------------------
 
@@ -68,10 +68,13 @@ def s04(t):
 
 @query("s05_consignment_scan", "consignment_id:i type:s version:i n_items:i units:i")
 def s05(t):
-    """Headers by type with their line items."""
-    lines = t.raw_consign_lines
-    wanted = lines.filter(F.col("type").isin("SUPPLIER", "RETURN", "SUPPLIER_RETURN"))
-    return wanted.groupBy("consignment_id", "type", "version").agg(
+    """Headers by type with their nested items, read from JSON lines."""
+    path = work_dir(t.spark, "consignment_feed")
+    feeds.nested_consignments(t.raw_consign_lines).write.json(path)
+    lines = feeds.consignment_lines(
+        feeds.read_consignments(t.spark, path), ["SUPPLIER", "RETURN", "SUPPLIER_RETURN"]
+    )
+    return lines.groupBy("consignment_id", "type", "version").agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("count").alias("units")
     )
 

@@ -21,6 +21,8 @@ from retailflow.sources import adapter
 # scan ("baked") lacks them; every fresh table covers all facts.
 UNSEEN_SALE = 997
 UNSEEN_CONSIGNMENT = 499
+# Products that left the season lists since the scan: they are in the store's catalog only.
+DELISTED = 61
 
 
 _STAGED: dict[tuple, str] = {}
@@ -138,6 +140,11 @@ class Tables:
         listed = catalog.season_catalog(merged, self.codes)
         return catalog.with_legacy_vendor(listed, self.legacy_products)
 
+    @property
+    def store(self) -> DataFrame:
+        """All products of the catalog with what they take over from their parents."""
+        return catalog.with_parent_fallback(self.catalog).withColumn("sku_key", S.sku_of("sku"))
+
     @property
     def sku_pid(self) -> DataFrame:
         return catalog.sku_to_pid(catalog.season_catalog(self.catalog, self.codes))
@@ -300,7 +307,8 @@ class Tables:
             lambda: self.season_consign() if overlay else None,
         )
         return rows.Inputs(
-            bucket=bucket,
+            bucket=bucket.filter(F.col("pid") % DELISTED != 0),
+            store=self.store,
             stats=stored,
             sku_pid=sku_pid,
             legacy=legacy,

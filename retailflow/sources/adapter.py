@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
+from retailflow.operators.legacy import SOLD_SOURCE
 from retailflow.session import tune
 
 # SKU season code and import season by last digit of the pid.
@@ -314,7 +315,6 @@ def _legacy_base(spark, sf_dir):
 
 # Provenance tags of legacy vendor records.
 RETURNS_SOURCE = "returns-backfill"
-SOLD_SOURCE = "sold-backfill"
 
 
 def legacy_products(spark: SparkSession, sf_dir: str) -> DataFrame:
