@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from retailflow.llm.common import meeting_blocks, shuffle_parts, staged, whole_groups
 from retailflow.llm.components import components, over_ids, shared_ids
@@ -79,6 +80,15 @@ def probe_codes(vectors, tables: int, axes: int, probes: int, seed: int = 20):
     return out
 
 
+def narrow(codes):
+    """Codes as 32-bit numbers; where they are larger, by hash (merged buckets compare more pairs, no fewer)."""
+    import numpy as np
+
+    if codes.size and codes.max() >= 1 << 31:
+        codes = (codes * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> 33 & 0x7FFFFFFF
+    return codes.astype(np.int32)
+
+
 def _valid(rows: DataFrame) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("v", lambda x: x != 0)
@@ -185,6 +195,9 @@ def linked_counts(
     """node, other, n: partial link counts and group edges of the vectors of ``reps``
     (node, label, mult, v)."""
     spark = reps.sparkSession
+    # vectors travel in the type they came in; they are compared in double
+    single = isinstance(reps.schema["v"].dataType.elementType, FloatType)
+    precision = "float32" if single else "float64"
 
     def codes_of(batches):
         import numpy as np
@@ -205,21 +218,23 @@ def linked_counts(
                         label.take(pick),
                         mult.take(pick),
                         pa.array(np.full(len(rows), d, np.int32)),
-                        pa.array([x.tobytes() for x in v], pa.binary()),
-                        pa.array(codes.reshape(len(rows), -1).tolist(), pa.list_(pa.int64())),
+                        pa.array([x.tobytes() for x in v.astype(precision)], pa.binary()),
+                        pa.array(narrow(codes).reshape(len(rows), -1).tolist(), pa.list_(pa.int32())),
                     ],
                     names=["node", "label", "mult", "dim", "v", "codes"],
                 )
 
     label_type = reps.schema["label"].dataType.simpleString()
-    schema = f"node long, label {label_type}, mult long, dim int, v binary, codes array<long>"
+    schema = f"node long, label {label_type}, mult long, dim int, v binary, codes array<int>"
     coded = staged(spark, reps.select("label", "node", "mult", "v").mapInArrow(codes_of, schema), "vectors-coded")
     bucket = ["label", "dim", "tab", "code"]
-    each = coded.select("*", F.posexplode("codes").alias("_place", "code"))
-    per_table = F.size("codes") / tables
-    each = each.withColumn("tab", F.floor(F.col("_place") / per_table).cast("int")).drop("_place")
+    own = ["node", "label", "dim"]
+    each = coded.select(*own, (F.size("codes") / tables).alias("_per"), F.posexplode("codes").alias("_place", "code"))
+    each = each.withColumn("tab", F.floor(F.col("_place") / F.col("_per")).cast("int")).drop("_place", "_per")
+    # sizes and meetings are found on narrow rows; vectors only go where they meet another
     sizes = each.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = meeting_blocks(each.join(sizes, bucket), bucket, "node", block)
+    rows = rows.join(coded, own)
     rows = rows.select("group", "dim", "tab", "code", "low", "high", "side", "node", "mult", "v", "codes", F.xxhash64("label").alias("label"))
     dealt = rows.repartition(shuffle_parts(spark), "group").sortWithinPartitions("dim", "group", "label", "tab", "code", "low", "high")
 
@@ -233,8 +248,8 @@ def linked_counts(
             vs, codes = part.column("v").combine_chunks(), part.column("codes").combine_chunks()
             return {
                 "key": key,
-                "v": np.frombuffer(b"".join(vs.to_pylist()), np.float64).reshape(-1, d),
-                "codes": np.asarray(codes.flatten()).reshape(len(key), tables, -1),
+                "v": np.frombuffer(b"".join(vs.to_pylist()), precision).astype(np.float64).reshape(-1, d),
+                "codes": np.asarray(codes.flatten()).astype(np.int64).reshape(len(key), tables, -1),
                 "table": get("tab"),
                 "code": get("code"),
                 "side": get("side"),
