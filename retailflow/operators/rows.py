@@ -31,7 +31,6 @@ class Inputs:
 
 def pos_rows(inp: Inputs) -> DataFrame:
     """Rows of products the POS knows, with legacy values where they win."""
-    gated = L.in_season(inp.legacy, inp.codes)
     on = ["season", "pid"]
     base = inp.bucket.join(inp.stats, on, "left")
     if inp.overlay is not None:
@@ -42,11 +41,8 @@ def pos_rows(inp: Inputs) -> DataFrame:
             F.col("qty_returned").alias("o_returned"),
         )
         base = base.join(fresh, on, "left")
-    sold = L.sold_by(L.with_pid(gated, inp.sku_pid), "pid")
     base = (
-        base.join(L.prices_by_pid(inp.legacy, inp.sku_pid), on, "left")
-        .join(L.returns_by_pid(gated, inp.sku_pid), on, "left")
-        .join(sold, on, "left")
+        base.join(L.facts_by_pid(inp.legacy, inp.codes, inp.sku_pid), on, "left")
         .join(
             inp.departments.select(
                 F.col("dept_id").alias("type_id"), F.col("dept_name").alias("known_dept")

@@ -167,3 +167,18 @@ def test_nested_items_and_discounts(spark, tmp_path):
     df = df.withColumn("discounts", feeds.discount_amounts(df))
     marked = {r["k"]: r["m"] for r in df.select("k", S.discount_marker(df.columns).alias("m")).collect()}
     assert marked == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_legacy_facts_in_one_pass(spark, t):
+    from retailflow.operators import legacy as L
+
+    inp = t.inputs()
+    gated = L.in_season(inp.legacy, inp.codes)
+    on = ["season", "pid"]
+    apart = (
+        L.prices_by_pid(inp.legacy, inp.sku_pid)
+        .join(L.returns_by_pid(gated, inp.sku_pid), on, "left")
+        .join(L.sold_by(L.with_pid(gated, inp.sku_pid), "pid"), on, "left")
+    )
+    whole = L.facts_by_pid(inp.legacy, inp.codes, inp.sku_pid)
+    assert as_set(whole.select(apart.columns)) == as_set(apart) and whole.count() > 0
