@@ -147,7 +147,7 @@ SELECT page_id, vendor_id,
   coalesce(nullif(CASE WHEN page_id % 3 <> 0 THEN page_id % 9 + 1 END * 1000 + 250.5, 0), ordered, 0)
     AS ordered,
   coalesce(nullif(CASE WHEN page_id % 3 <> 0 THEN page_id END, 0), received, 0) AS received,
-  coalesce(sold, 0) AS sold
+  coalesce(CASE WHEN page_id % 3 <> 0 THEN 1 END, sold, 0) AS sold
 FROM t_vendor_links""",
 )
 final("u01_row_universe", "SELECT season, row_key, CASE WHEN pid IS NULL THEN 'legacy' WHEN pid % 61 = 0 THEN 'listed' ELSE 'pos' END AS origin FROM t_rows")

@@ -62,11 +62,17 @@ fragment(
 SELECT page_id, html
  || '<TABLE><tr class="row" id="a"><td><a href="/store/' || {N} % 40 || '"> Store ' || {N} % 40
  || ' </a></td>' || {_cells(f"({N} % 9 + 1) || ',250.50 '", f"'$' || {N}", "''")}
- || '</tr><tr class="row"><td>no link</td></tr></TABLE>'
+ || '</tr><tr class="row"><td>no link</td></tr>'
+ || '<tr class="row" id="b"><td><a href="/store/' || ({N} % 7 + 500) || '">Second ' || {N} % 7 || '</a></td>'
+ || {_cells(f"{N} % 4", f"'$' || {N} % 11", "'1'")} || '</tr></TABLE>'
  || '<a href="/vendor/' || ({N} % 50 + 100) || '/department/1">Loose &amp; Co</a>'
  || '<table><tr class="row"><td><a href="/vendor/' || {N} % 50 || '/department/' || {N} % 6
  || '" class="v"> Brand ' || {N} % 50 || '</a></td>'
- || {_cells(f"{N} % 70", f"'$' || {N} % 5", "'n/a'")} || '</tr></table>'
+ || {_cells(f"{N} % 70", f"'$' || {N} % 5", "'n/a'")}
+ || '</tr><tr class="row"><td><a href="/vendor/' || ({N} % 50 + 200) || '/department/2">Second</a></td>'
+ || {_cells(f"{N} % 13", "'$3'", f"{N} % 2")}
+ || '</tr><tr class="row"><td><a href="/vendor/' || {N} % 50 || '/department/' || {N} % 6 || '">Again</a></td>'
+ || {_cells(f"{N} % 17", "'$4'", "'5'")} || '</tr></table>'
  || '<table class="items"><tr><th>Status</th><th>Description</th><th><b>Style</b></th>'
  || '<th>Color</th><th>Fabric</th><th>Size</th><th>Cost</th><th>Price</th></tr><tr><td>'
  || repeat('<i class="mark ordered"></i>', {N} % 4) || repeat('<i class="received mark"></i>', {N} % 3)
@@ -74,7 +80,10 @@ SELECT page_id, html
  || repeat('<i class="sold"></i><i class="sale"></i>', {N} % 2)
  || '</td><td>Item ' || {N} || '</td><td> <b>s' || {N} || '/s2601</b></td><td>red</td><td></td>'
  || '<td>M</td><td>$1,0' || {N} % 10 || '0.25</td><td>$' || {N} % 3
- || '</td></tr><tr><td></td><td></td><td>x</td></tr><tr><td>short</td></tr></table>' AS html
+ || '</td></tr><tr><td></td><td></td><td>x</td></tr><tr><td>short</td></tr>'
+ || '<tr><th>Status</th><th>Description</th></tr><tr><td><i class="sold"></i><i class="returned"></i></td><td>Other '
+ || {N} || '</td><td>x' || {N} || '/f26</td><td>blue</td><td>wool</td><td>L</td><td>$2.5</td><td>$9</td></tr></table>'
+ || '<table><tr><th>Style</th><th>Description</th></tr><tr><td>no</td><td>no</td><td>no</td></tr></table>' AS html
 FROM pages""",
 )
 

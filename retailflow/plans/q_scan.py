@@ -108,13 +108,22 @@ def legacy_pages(t):
         F.lit('<TABLE><tr class="row" id="a"><td><a href="/store/'), s(n % 40), F.lit('"> Store '),
         s(n % 40), F.lit(" </a></td>"),
         *cells(F.concat(s(n % 9 + 1), F.lit(",250.50 ")), F.concat(F.lit("$"), s(n)), F.lit("")),
-        F.lit('</tr><tr class="row"><td>no link</td></tr></TABLE>'),
+        F.lit('</tr><tr class="row"><td>no link</td></tr>'),
+        F.lit('<tr class="row" id="b"><td><a href="/store/'), s(n % 7 + 500), F.lit('">Second '), s(n % 7), F.lit("</a></td>"),
+        *cells(s(n % 4), F.concat(F.lit("$"), s(n % 11)), F.lit("1")),
+        F.lit("</tr></TABLE>"),
     )
     vendor = F.concat(
         F.lit('<a href="/vendor/'), s(n % 50 + 100), F.lit('/department/1">Loose &amp; Co</a>'),
         F.lit('<table><tr class="row"><td><a href="/vendor/'), s(n % 50), F.lit("/department/"),
         s(n % 6), F.lit('" class="v"> Brand '), s(n % 50), F.lit("</a></td>"),
-        *cells(s(n % 70), F.concat(F.lit("$"), s(n % 5)), F.lit("n/a")), F.lit("</tr></table>"),
+        *cells(s(n % 70), F.concat(F.lit("$"), s(n % 5)), F.lit("n/a")),
+        # a second vendor, and the first named again: its last row counts
+        F.lit('</tr><tr class="row"><td><a href="/vendor/'), s(n % 50 + 200), F.lit('/department/2">Second</a></td>'),
+        *cells(s(n % 13), F.lit("$3"), s(n % 2)),
+        F.lit('</tr><tr class="row"><td><a href="/vendor/'), s(n % 50), F.lit("/department/"), s(n % 6),
+        F.lit('">Again</a></td>'),
+        *cells(s(n % 17), F.lit("$4"), F.lit("5")), F.lit("</tr></table>"),
     )
     detail = F.concat(
         F.lit(
@@ -128,7 +137,11 @@ def legacy_pages(t):
         F.lit("</td><td>Item "), s(n), F.lit("</td><td> <b>s"), s(n),
         F.lit("/s2601</b></td><td>red</td><td></td><td>M</td><td>$1,0"), s(n % 10),
         F.lit("0.25</td><td>$"), s(n % 3),
-        F.lit("</td></tr><tr><td></td><td></td><td>x</td></tr><tr><td>short</td></tr></table>"),
+        F.lit("</td></tr><tr><td></td><td></td><td>x</td></tr><tr><td>short</td></tr>"),
+        # the header again, a second product, and a second table with other columns
+        F.lit('<tr><th>Status</th><th>Description</th></tr><tr><td><i class="sold"></i><i class="returned"></i></td><td>Other '),
+        s(n), F.lit("</td><td>x"), s(n), F.lit("/f26</td><td>blue</td><td>wool</td><td>L</td><td>$2.5</td><td>$9</td></tr></table>"),
+        F.lit("<table><tr><th>Style</th><th>Description</th></tr><tr><td>no</td><td>no</td><td>no</td></tr></table>"),
     )
     return t.raw("pages").select("page_id", F.concat("html", summary, vendor, detail).alias("html"))
 
