@@ -170,5 +170,7 @@ def sample_stage(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).where(F.col("taken") > 0)
     times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     times = times.withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mixed_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    # the document's own columns travel in a struct, whatever their names
+    rows = docs.select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    joined = rows.join(times, rows["doc_id"].eqNullSafe(times["_mixed_id"]))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
