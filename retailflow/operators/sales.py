@@ -44,6 +44,9 @@ def classify(lines: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+_KEYS = ["sale_id", "version", "return_for", "sale_date", "pid"]
+
+
 def _partials(classified: DataFrame, counts=None) -> DataFrame:
     """Per (sale, version, pid) sums, returns kept apart by discount flag.
 
@@ -56,7 +59,7 @@ def _partials(classified: DataFrame, counts=None) -> DataFrame:
     def total(cond, value):
         return S.zero(F.sum(F.when(ok & cond, value)))
 
-    return classified.groupBy("sale_id", "version", "return_for", "sale_date", "pid").agg(
+    return classified.groupBy(*_KEYS).agg(
         total(~back & ~disc, qty).alias("fwd_full"),
         total(~back & disc, qty).alias("fwd_disc"),
         total(~back & disc, amt).alias("fwd_disc_amt"),
@@ -88,9 +91,6 @@ def _measures(bucket) -> list:
     ]
 
 
-_KEYS = ["sale_id", "version", "return_for", "sale_date", "pid"]
-
-
 def _with_originals(partials: DataFrame, originals: DataFrame) -> DataFrame:
     """Left join each return to its earlier original on (sale, pid).
 
@@ -131,6 +131,15 @@ def _originals_of(lines: DataFrame, back: DataFrame, prices: DataFrame, counts=N
     )
 
 
+def _return_contributions(live: DataFrame, prices: DataFrame) -> DataFrame:
+    """Contributions of the returns among ``live``, booked where their original sold from."""
+    back = live.filter(F.col("return_for").isNotNull())
+    joined = _with_originals(
+        _partials(classify(back, prices)), _originals_of(live, back, prices)
+    )
+    return joined.select(*_KEYS, *_measures(S.return_bucket("o_sold", "o_on_sale")))
+
+
 def contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Five measures per (sale, pid); one version per sale expected.
 
@@ -139,15 +148,31 @@ def contributions(lines: DataFrame, prices: DataFrame) -> DataFrame:
     Ordinary sales, the bulk of the lines, take no part in that join.
     """
     live = live_lines(lines)
-    is_return = F.col("return_for").isNotNull()
-    back = live.filter(is_return)
-    plain = _partials(classify(live.filter(~is_return), prices))
-    joined = _with_originals(
-        _partials(classify(back, prices)), _originals_of(live, back, prices)
-    )
-    return plain.select(*_KEYS, *_plain_measures()).unionByName(
-        joined.select(*_KEYS, *_measures(S.return_bucket("o_sold", "o_on_sale")))
+    plain = _partials(classify(live.filter(F.col("return_for").isNull()), prices))
+    return plain.select(*_KEYS, *_plain_measures()).unionByName(_return_contributions(live, prices))
+
+
+def line_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    """``totals(contributions(lines, prices))`` without the sums per sale in between.
+
+    The measures of an ordinary sale are sums over its lines, so these go straight to
+    their product; only returns are summed per sale first.
+    """
+    live = live_lines(lines)
+    plain = classify(live.filter(F.col("return_for").isNull()), prices)
+    qty, amt, disc = F.col("quantity"), F.col("amount"), F.col("discounted")
+    none = F.lit(0).cast("bigint")
+    measured = plain.select(
+        "pid",
+        F.when(~disc, qty).alias("sold"),
+        F.when(disc, qty).alias("on_sale"),
+        F.when(qty < 0, -qty).otherwise(none).alias("returned"),
+        F.when(disc & qty.isNotNull(), amt).alias("sale_amt"),
+        amt.alias("sold_amt"),
+        "sale_date",
     )
+    back = _return_contributions(live, prices).select(measured.columns)
+    return totals(measured.unionByName(back))
 
 
 def version_partials(lines: DataFrame, prices: DataFrame) -> DataFrame:
@@ -202,8 +227,8 @@ def current_contributions(partials: DataFrame, current: DataFrame) -> DataFrame:
 
 def totals(contribs: DataFrame) -> DataFrame:
     return contribs.groupBy("pid").agg(
-        *[F.sum(m).alias(m) for m in ("sold", "on_sale", "returned")],
-        *[S.total(F.sum(m)).alias(m) for m in ("sale_amt", "sold_amt")],
+        *[S.zero(F.sum(m)).alias(m) for m in ("sold", "on_sale", "returned")],
+        *[S.total(S.zero(F.sum(m))).alias(m) for m in ("sale_amt", "sold_amt")],
         F.max("sale_date").alias("last_sold"),
     )
 

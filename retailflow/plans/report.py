@@ -149,11 +149,12 @@ class Tables:
     def sku_pid(self) -> DataFrame:
         return catalog.sku_to_pid(catalog.season_catalog(self.catalog, self.codes))
 
-    def sales(self, baked: bool = False) -> DataFrame:
+    def sale_lines(self, baked: bool = False) -> DataFrame:
         lines = self.raw_sale_lines
-        if baked:
-            lines = lines.filter(F.col("sale_id") % UNSEEN_SALE != 0)
-        return sales.contributions(lines, self.prices)
+        return lines.filter(F.col("sale_id") % UNSEEN_SALE != 0) if baked else lines
+
+    def sales(self, baked: bool = False) -> DataFrame:
+        return sales.contributions(self.sale_lines(baked), self.prices)
 
     @property
     def all_sale_versions(self) -> DataFrame:
@@ -173,14 +174,25 @@ class Tables:
             lines = lines.filter(F.col("consignment_id") % UNSEEN_CONSIGNMENT != 0)
         return consign.entries(lines)
 
-    def consign(self, baked: bool = False) -> DataFrame:
-        return consign.season_totals(self.entries(baked), self.owners, self.seasons)
+    @property
+    def consign_scans(self) -> DataFrame:
+        """Season totals of all lines and of the stored scan's, from one pass over the lines."""
+
+        def build():
+            seen = F.col("consignment_id") % UNSEEN_CONSIGNMENT != 0
+            lines = consign.quantities(self.raw_consign_lines).withColumn("seen", seen)
+            return consign.season_totals_twice(lines, self.owners, self.seasons, "seen")
+
+        return self.staged("consign_scans", build)
+
+    def consign(self) -> DataFrame:
+        return consign.season_totals(consign.quantities(self.raw_consign_lines), self.owners, self.seasons)
 
     def ordered_cents(self) -> DataFrame:
         """Ordered retail per (season, pid) of the stored scan, in cents."""
         lines = self.raw_consign_lines.filter(F.col("consignment_id") % UNSEEN_CONSIGNMENT != 0)
         cents = (F.col("count") * S.zero("unit_retail") * 100).cast("bigint")
-        totals = consign.season_totals(consign.entries(lines.withColumn("count", cents)), self.owners, self.seasons)
+        totals = consign.season_totals(consign.quantities(lines.withColumn("count", cents)), self.owners, self.seasons)
         return totals.select("season", "pid", F.col("qty_ordered").alias("cents"))
 
     @property
@@ -191,11 +203,10 @@ class Tables:
 
     def sales_totals(self, baked: bool = False) -> DataFrame:
         name = "sales_scan" if baked else "sales"
-        return self.staged(name, lambda: sales.totals(self.sales(baked)))
+        return self.staged(name, lambda: sales.line_totals(self.sale_lines(baked), self.prices))
 
     def season_consign(self, baked: bool = False) -> DataFrame:
-        name = "consign_scan" if baked else "consign"
-        return self.staged(name, lambda: self.consign(baked))
+        return consign.seen_of(self.consign_scans) if baked else consign.all_of(self.consign_scans)
 
     @property
     def stock(self) -> DataFrame:
@@ -225,10 +236,17 @@ class Tables:
         name = "rows" if overlay else "rows_scan"
         return self.staged(name, lambda: rows.product_rows(self.inputs(overlay)))
 
+    def legacy_buckets(self, overlay: bool = True) -> DataFrame:
+        name = "legacy_buckets" if overlay else "legacy_buckets_scan"
+        return self.staged(
+            name, lambda: rollup.legacy_buckets(self.inputs(overlay), self.report_rows(overlay))
+        )
+
     def vendor_totals(self, overlay: bool = True) -> DataFrame:
         name = "vendor_totals" if overlay else "vendor_totals_scan"
         return self.staged(
-            name, lambda: rollup.vendor_totals(self.inputs(overlay), self.report_rows(overlay))
+            name,
+            lambda: rollup.combine(rollup.bottom_up(self.report_rows(overlay)), self.legacy_buckets(overlay)),
         )
 
     def dept_totals(self, overlay: bool = True) -> DataFrame:
@@ -244,11 +262,11 @@ class Tables:
             lambda: self.report_rows(False).repartition("season", "dept_id"),
             ("season", "dept_id"),
         )
-        buckets = self.staged(
-            "legacy_buckets_scan", lambda: rollup.legacy_buckets(self.inputs(False), self.report_rows(False))
-        )
         return reroll.Stored(
-            split.select(self.report_rows(False).columns), self.vendor_totals(False), buckets, self.dept_totals(False)
+            split.select(self.report_rows(False).columns),
+            self.vendor_totals(False),
+            self.legacy_buckets(False),
+            self.dept_totals(False),
         )
 
     @property
