@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # written tables take several times their files' bytes in memory; without this, sides far
+    # above the broadcast threshold pass its size check and are collected by the driver
+    "spark.sql.sources.fileCompressionFactor": "8.0",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from retailflow.operators import calendar, consign, sales
-from retailflow.plans import q_agg
+from retailflow.plans import q_agg, q_check
 
 
 def test_candidates_are_capped_as_the_statement_says(spark, monkeypatch):
@@ -99,3 +99,21 @@ def test_product_totals_need_no_sums_per_sale(spark):
     # ordinary sales: one shuffle, by product
     ordinary = lines.filter("return_for IS NULL")
     assert shuffles(sales.line_totals(ordinary, prices)) < shuffles(sales.totals(sales.contributions(ordinary, prices)))
+
+
+def test_written_tables_are_broadcast_by_their_size_in_memory(spark, tmp_path):
+    path = str(tmp_path / "t")
+    # a few MB of files, over 10 MB of rows
+    spark.range(800_000).select(F.col("id").alias("pid"), F.lit("spring26").alias("season")).coalesce(1).write.parquet(path)
+    a, b = spark.read.parquet(path), spark.read.parquet(path)
+    plan = a.join(b.withColumnRenamed("season", "other"), "pid")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_trace_of_the_combine_reads_no_rows(spark, monkeypatch):
+    found = spark.createDataFrame([("spring25", "D"), ("spring27", "D")], "season string, dept_id string")
+    monkeypatch.setattr(q_check.rollup, "trace", lambda vendors, buckets: vendors.join(buckets, ["season", "dept_id"]))
+    # neither rows nor their split by folder are there
+    t = SimpleNamespace(vendor_totals=lambda overlay: found, legacy_buckets=lambda overlay: found)
+    seasons = {r["season"] for r in q_check.combine_trace(t).collect()}
+    assert seasons == {"spring25", "spring27"} & set(q_check.pos_history.CLOSED_SEASONS)
