@@ -505,7 +505,7 @@ def l05_trace(t):
 
 
 def combine_trace(t):
-    traced = rollup.trace(t.vendor_totals(False), t.stored_report().legacy_buckets)
+    traced = rollup.trace(t.vendor_totals(False), t.legacy_buckets(False))
     return traced.filter(F.col("season").isin(pos_history.CLOSED_SEASONS))
 
 
