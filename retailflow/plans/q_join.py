@@ -201,7 +201,7 @@ def j18(t):
 @query("u01_row_universe", "season:s row_key:s origin:s")
 def u01(t):
     """POS rows, then listed legacy pids, then legacy-only SKUs, one per key."""
-    own = t.inputs()
+    own = t.key_inputs()
     inp = R.with_listed_pids(own)
     listed = own.bucket.select("season", "pid", F.lit("pos").alias("origin"))
     pos = inp.bucket.select("season", "pid").join(listed, ["season", "pid"], "left").select(

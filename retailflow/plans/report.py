@@ -336,6 +336,23 @@ class Tables:
             overlay=fresh,
         )
 
+    def key_inputs(self) -> rows.Inputs:
+        """Inputs without facts, for what asks only which products there are.
+
+        Statistics have a row for every listed product, so its keys stand for them.
+        """
+        listed, sku_pid, legacy = self.together(lambda: self.listed, lambda: self.sku_map, lambda: self.legacy)
+        return rows.Inputs(
+            bucket=listed.filter(F.col("pid") % DELISTED != 0),
+            store=self.store,
+            stats=listed.select("season", "pid"),
+            sku_pid=sku_pid,
+            legacy=legacy,
+            vendors=self.legacy_vendors,
+            departments=self.departments,
+            codes=self.codes,
+        )
+
 
 @dataclass
 class Report:

@@ -5,10 +5,15 @@ import random
 from decimal import Decimal
 from types import SimpleNamespace
 
+import pytest
+from oracle_check import compare, duck
 from pyspark.sql import functions as F
 
+from oracle.catalogue import STATEMENTS
 from retailflow.operators import calendar, consign, sales
-from retailflow.plans import q_agg, q_check
+from retailflow.plans import q_agg, q_check, report
+from retailflow.plans.catalogue import QUERIES
+from retailflow.sources import adapter
 
 
 def test_candidates_are_capped_as_the_statement_says(spark, monkeypatch):
@@ -117,3 +122,23 @@ def test_the_trace_of_the_combine_reads_no_rows(spark, monkeypatch):
     t = SimpleNamespace(vendor_totals=lambda overlay: found, legacy_buckets=lambda overlay: found)
     seasons = {r["season"] for r in q_check.combine_trace(t).collect()}
     assert seasons == {"spring25", "spring27"} & set(q_check.pos_history.CLOSED_SEASONS)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def without(monkeypatch, *names):
+    """A new set of written tables, and readers of facts that fail."""
+
+    def unread(name):
+        return lambda *_: pytest.fail(f"{name} was read")
+
+    monkeypatch.setattr(report, "_STAGED", {})
+    for name in names:
+        monkeypatch.setattr(adapter, name, unread(name))
+
+
+def test_the_row_universe_reads_no_facts(spark, monkeypatch):
+    without(monkeypatch, "order_lines", "raw_inventory")
+    problem, n = compare(QUERIES["u01_row_universe"](spark, SF), duck(SF), STATEMENTS["u01_row_universe"])
+    assert n and problem is None, problem
