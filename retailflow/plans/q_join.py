@@ -244,9 +244,10 @@ def u04(t):
 @query("u05_returns_union", "season:s sku:s pos_units:i import_units:i units:i")
 def u05(t):
     """POS returns plus those only the import has; the POS wins."""
-    pos = t.scan_stats.filter("ret_qty > 0").join(
+    # the stored scan's returns are those of its purchase-order totals; sales and stock play no part
+    pos = t.season_consign(True).filter("qty_returned > 0").join(
         bucket(t).select("season", "pid", "sku_key"), ["season", "pid"]
-    ).groupBy("season", F.col("sku_key").alias("sku")).agg(F.sum("ret_qty").alias("pos_units"))
+    ).groupBy("season", F.col("sku_key").alias("sku")).agg(F.sum("qty_returned").alias("pos_units"))
     old = L.in_season(t.legacy, t.codes).filter("qty_returned > 0").groupBy(
         "season", F.col("sku_key").alias("sku")
     ).agg(F.max("qty_returned").alias("import_units"))

@@ -142,3 +142,9 @@ def test_the_row_universe_reads_no_facts(spark, monkeypatch):
     without(monkeypatch, "order_lines", "raw_inventory")
     problem, n = compare(QUERIES["u01_row_universe"](spark, SF), duck(SF), STATEMENTS["u01_row_universe"])
     assert n and problem is None, problem
+
+
+def test_the_union_of_returns_reads_no_sales_and_no_stock(spark, monkeypatch):
+    without(monkeypatch, "raw_sale_lines", "raw_inventory")
+    problem, n = compare(QUERIES["u05_returns_union"](spark, SF), duck(SF), STATEMENTS["u05_returns_union"])
+    assert n and problem is None, problem
