@@ -25,12 +25,17 @@ def valid_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def classify(lines: DataFrame, prices: DataFrame) -> DataFrame:
-    """Add ``amount``, ``retail`` and ``discounted`` to every line."""
+def classify(lines: DataFrame, prices: DataFrame | None) -> DataFrame:
+    """Add ``amount``, ``retail`` and ``discounted`` to every line.
+
+    Without ``prices`` every line must name its full price.
+    """
     columns = lines.columns
     own = [c for c in S.FULL_PRICE_FIELDS if c in columns]
-    lookup = prices.select("pid", F.col("price").alias("catalog_price"))
-    joined = lines.join(lookup, "pid", "left")
+    if prices is None:
+        joined = lines.withColumn("catalog_price", F.lit(None).cast("decimal(10,2)"))
+    else:
+        joined = lines.join(prices.select("pid", F.col("price").alias("catalog_price")), "pid", "left")
     amount = S.line_amount(
         "total_price",
         "price_total" if "price_total" in columns else F.lit(None).cast("decimal(18,4)"),
@@ -44,6 +49,16 @@ def classify(lines: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def _classified_apart(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    """``classify``, with only the lines that name no full price meeting the catalog."""
+    own = [c for c in S.FULL_PRICE_FIELDS if c in lines.columns]
+    if not own:
+        return classify(lines, prices)
+    named = S.first_nonzero(*own).isNotNull()
+    alone = classify(lines.filter(named), None)
+    return alone.unionByName(classify(lines.filter(~named), prices))
+
+
 _KEYS = ["sale_id", "version", "return_for", "sale_date", "pid"]
 
 
@@ -159,7 +174,7 @@ def line_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
     their product; only returns are summed per sale first.
     """
     live = live_lines(lines)
-    plain = classify(live.filter(F.col("return_for").isNull()), prices)
+    plain = _classified_apart(live.filter(F.col("return_for").isNull()), prices)
     qty, amt, disc = F.col("quantity"), F.col("amount"), F.col("discounted")
     none = F.lit(0).cast("bigint")
     measured = plain.select(

@@ -29,10 +29,11 @@ _STAGED: dict[tuple, str] = {}
 _LOCKS: dict[tuple, Lock] = {}
 _GUARD = Lock()
 
-# Shapes of the joined order lines. Those that look up products are written once; a
-# plain projection of the joined lines is not. A deployment has them as tables.
-LINE_SHAPES = {"raw_sale_lines", "raw_consign_lines", "pos_entries", "pos_transactions"}
-FACT_TABLES = {"order_lines"} | LINE_SHAPES - {"raw_consign_lines"}
+# Shapes of the joined order lines. Those that look up more of a product are written once;
+# a plain projection of the joined lines is not. A deployment has them as tables.
+PROJECTED = {"raw_sale_lines", "raw_consign_lines"}
+LINE_SHAPES = PROJECTED | {"pos_entries", "pos_transactions"}
+FACT_TABLES = {"order_lines"} | LINE_SHAPES - PROJECTED
 
 
 class Tables:

@@ -148,3 +148,25 @@ def test_the_union_of_returns_reads_no_sales_and_no_stock(spark, monkeypatch):
     without(monkeypatch, "raw_sale_lines", "raw_inventory")
     problem, n = compare(QUERIES["u05_returns_union"](spark, SF), duck(SF), STATEMENTS["u05_returns_union"])
     assert n and problem is None, problem
+
+
+def test_sale_lines_are_not_written_and_meet_the_catalog_without_own_price_only(spark, monkeypatch):
+    monkeypatch.setattr(report, "_STAGED", {})
+    t = report.Tables(spark, SF)
+    lines, prices = t.sale_lines(), t.prices
+    want = sales.totals(sales.contributions(lines, prices))
+    assert sorted(map(tuple, t.sales_totals().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert not any("raw_sale_lines" in key for key in report._STAGED)
+    # lines that name their price do not meet the catalog: its rows twice change nothing
+    named = lines.filter("return_for IS NULL AND full_price > 0")
+    assert sales._classified_apart(named, prices.unionByName(prices)).count() == named.count() > 0
+
+
+def test_lines_of_unknown_products_stay_purchase_order_lines(spark, tmp_path):
+    for name in ("lineitem", "orders", "part"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df.filter("p_partkey % 2 = 0") if name == "part" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = adapter.order_lines(spark, str(tmp_path))
+    n, known = lines.count(), lines.filter("l_partkey % 2 = 0").count()
+    assert adapter.raw_consign_lines(spark, str(tmp_path), lines).count() == n > known
+    assert adapter.raw_sale_lines(spark, str(tmp_path), lines).filter("return_for IS NULL").count() == known
