@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailflow.functions import scalars as S
@@ -10,19 +10,27 @@ from retailflow.functions import scalars as S
 MEASURES = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
 
 
+def is_valid() -> Column:
+    """Whether a line names a product and is neither voided nor empty."""
+    return (
+        F.col("pid").isNotNull()
+        & (F.coalesce("line_status", F.lit("")) != "VOIDED")
+        & (F.coalesce("quantity", F.lit(1)) != 0)
+    )
+
+
+def is_live() -> Column:
+    """Whether a line is valid and its sale counts."""
+    return is_valid() & S.sale_counts("status") & ~S.sale_is_void("status", "deleted_at")
+
+
 def live_lines(lines: DataFrame) -> DataFrame:
     """Lines of sales that count, without voided or empty lines."""
-    return valid_lines(lines).filter(
-        S.sale_counts("status") & ~S.sale_is_void("status", "deleted_at")
-    )
+    return lines.filter(is_live())
 
 
 def valid_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(
-        F.col("pid").isNotNull()
-        & (F.coalesce("line_status", F.lit("")) != "VOIDED")
-        & (F.coalesce("quantity", F.lit(1)) != 0)
-    )
+    return lines.filter(is_valid())
 
 
 def classify(lines: DataFrame, prices: DataFrame | None) -> DataFrame:
@@ -50,11 +58,11 @@ def classify(lines: DataFrame, prices: DataFrame | None) -> DataFrame:
 
 
 def _classified_apart(lines: DataFrame, prices: DataFrame) -> DataFrame:
-    """``classify``, with only the lines that name no full price meeting the catalog."""
+    """``classify``, with only the lines that name a product but no full price meeting the catalog."""
     own = [c for c in S.FULL_PRICE_FIELDS if c in lines.columns]
     if not own:
         return classify(lines, prices)
-    named = S.first_nonzero(*own).isNotNull()
+    named = S.first_nonzero(*own).isNotNull() | F.col("pid").isNull()
     alone = classify(lines.filter(named), None)
     return alone.unionByName(classify(lines.filter(~named), prices))
 

@@ -21,7 +21,6 @@ from pyspark.sql.types import StructType
 
 from retailflow.functions import scalars as S
 from retailflow.operators import catalog, consign, inventory, sales
-from retailflow.session import cut_lineage
 from retailflow.streaming.log import Log
 
 SALE_MEASURES = ["sold", "on_sale", "sale_amt", "sold_amt", "returned"]
@@ -78,8 +77,8 @@ def newest_in_batch(batch: DataFrame, key: str) -> DataFrame:
 class SalesLedger:
     """Entries per (sale, pid) and signed deltas per pid.
 
-    Entry rows carry the sale's version; a voided or empty sale leaves a single
-    row without pid, so a later batch knows the version was seen.
+    Entry rows carry the sale's version; lines that do not count (all of a voided or
+    empty sale) leave a single row without pid, so a later batch knows the version was seen.
     """
 
     spark: SparkSession
@@ -108,40 +107,36 @@ class SalesLedger:
         Every version in the batch is followed, so the result is that of one batch
         for each version: a return takes the version of its original that came before
         it, and dates of versions already replaced still count as sold.
+
+        The lines are summed once and met again as written sums. Sets that are small
+        as a rule are written too: their size is known then, and the sums stay in place.
         """
-        # only the batch's sales and the originals of its returns are looked up
-        keys = batch.select(F.explode(F.array("sale_id", "return_for")).alias("sale_id"))
-        keys = keys.filter("sale_id IS NOT NULL").distinct()
-        known = latest(known_rows(self.entries, keys, batch_id), "sale_id")
-        seen = known.select("sale_id", "version").distinct()
+        sums = self._kept(self._sums(batch), "sums")
+        known = self._known(sums, batch_id)
         # the same version again is no change
-        lines = batch.join(seen, ["sale_id", "version"], "left_anti")
-        versions = cut_lineage(self.spark, self._all_versions(lines, known, seen))
-        newest = versions.groupBy("sale_id").agg(F.max("version").alias("version"))
-        columns = [f.name for f in self.entries.schema]
-        current = versions.join(newest, ["sale_id", "version"], "left_semi")
-        rows = versions.count()
-        self.entries.write(current.select(*columns), batch_id, rows)
+        again = known.select("sale_id", "version").distinct().join(sums, ["sale_id", "version"], "left_semi")
+        again = self._kept(again, "again")
+        fresh = sums.join(again, ["sale_id", "version"], "left_anti")
+        spread = fresh.groupBy("sale_id").agg(F.min("version").alias("low"), F.max("version").alias("top"))
+        several = self._kept(spread.filter("low < top").select("sale_id", "top"), "several")
+        rows = sums.count()
+        entries = self._current(self._entries(fresh, known), several).filter("current")
+        self.entries.write(entries.select(*[f.name for f in self.entries.schema]), batch_id, rows)
 
         new = self.entries.batch(batch_id)
-        touched = new.select("sale_id").distinct()
-        old = known.join(touched, "sale_id", "left_semi")
-        passed = versions.filter("pid IS NOT NULL").select("pid", "sale_date")
-        none = {m: F.lit(0) for m in SALE_MEASURES}
+        old = known.join(new.select("sale_id"), "sale_id", "left_semi")
+        passed = self._current(fresh.filter("pid IS NOT NULL"), several).filter("NOT current")
+        nothing = [F.lit(0).cast(self.entries.schema[m].dataType).alias(m) for m in SALE_MEASURES]
+        no_date = F.lit(None).cast("date").alias("sale_date")
         signed = (
-            old.withColumns({"sign": F.lit(-1), "sale_date": F.lit(None).cast("date")})
-            .drop("batch_id")
-            .unionByName(new.withColumn("sign", F.lit(1)))
-            .filter("pid IS NOT NULL")
-            .select("pid", "sale_date", "sign", *SALE_MEASURES)
-            .unionByName(passed.withColumns({"sign": F.lit(0)} | none))
+            new.filter("pid IS NOT NULL")
+            .select("pid", "sale_date", *SALE_MEASURES)
+            .unionByName(old.filter("pid IS NOT NULL").select("pid", no_date, *[(-F.col(m)).alias(m) for m in SALE_MEASURES]))
+            .unionByName(passed.select("pid", "sale_date", *nothing))
         )
         self.deltas.write(
             signed.groupBy("pid").agg(
-                *[
-                    F.sum(F.col("sign") * F.col(m)).cast(self.deltas.schema[m].dataType).alias(m)
-                    for m in SALE_MEASURES
-                ],
+                *[F.sum(m).cast(self.deltas.schema[m].dataType).alias(m) for m in SALE_MEASURES],
                 F.max("sale_date").alias("last_sold"),
             ),
             batch_id,
@@ -157,26 +152,62 @@ class SalesLedger:
             F.max("batch_id").alias("batch_id"),
         )
 
-    def _all_versions(self, lines: DataFrame, known: DataFrame, seen: DataFrame) -> DataFrame:
-        """Entries of every version in the batch; voided ones as a row without pid."""
-        # used three times below, so it is computed once
-        partials = cut_lineage(
-            self.spark, sales._partials(sales.classify(sales.live_lines(lines), self.prices))
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written beside the logs, in place of the previous batch's."""
+        path = f"{self.path}/passing/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _sums(self, batch: DataFrame) -> DataFrame:
+        """Measures per (sale, version, pid), of returns also the sums that a bucket decides on.
+
+        A version's lines that do not count become one row without pid. A sale has few lines of
+        one product, so narrow lines are shuffled and summed after that only.
+        """
+        live = F.coalesce(sales.is_live(), F.lit(False))
+        lines = batch.withColumn("pid", F.when(live, F.col("pid")))
+        classified = sales._classified_apart(lines, self.prices)
+        narrow = classified.select(*sales._KEYS, "quantity", "amount", "discounted")
+        partials = sales._partials(narrow.repartition(*sales._KEYS))
+        parts = [c for c in partials.columns if c not in (*sales._KEYS, "sold_amt", "counts")]
+        is_return = F.col("return_for").isNotNull()
+        return partials.select(
+            *sales._KEYS, *sales._plain_measures(), *[F.when(is_return, F.col(c)).alias(c) for c in parts]
         )
-        own = partials.select(*sales._KEYS, *sales._measures(F.lit(None).cast("string")))
+
+    def _known(self, sums: DataFrame, batch_id: int) -> DataFrame:
+        """Stored entries of the batch's sales and of the originals of its returns."""
+        if not self.entries.runs_before(batch_id):
+            return self.entries.read(batch_id)
+        keys = sums.select(F.explode(F.array("sale_id", "return_for")).alias("sale_id")).filter("sale_id IS NOT NULL")
+        found = self._kept(known_rows(self.entries, keys, batch_id), "found")
+        return self._kept(latest(found, "sale_id"), "known")
+
+    def _current(self, rows: DataFrame, several: DataFrame) -> DataFrame:
+        """Rows with a mark on those of the newest version their sale has in the batch."""
+        newest = F.col("top").isNull() | (F.col("version") == F.col("top"))
+        named = F.col("sale_id").isNotNull() & F.col("version").isNotNull()
+        return rows.join(several, "sale_id", "left").withColumn("current", named & newest).drop("top")
+
+    def _entries(self, fresh: DataFrame, known: DataFrame) -> DataFrame:
+        """Entries of every version in the batch; lines that do not count as a row without pid."""
+        counted = fresh.filter("pid IS NOT NULL")
+        plain = counted.filter("return_for IS NULL").select(*sales._KEYS, *SALE_MEASURES)
+        back = counted.filter("return_for IS NOT NULL")
+        wanted = self._kept(back.select(F.col("return_for").alias("sale_id")).distinct(), "wanted")
+        own = fresh.select(*sales._KEYS, *SALE_MEASURES)
+        named = own.unionByName(known.select(own.columns)).join(wanted, "sale_id", "left_semi")
+        originals = self._kept(sales._as_originals(named), "originals")
         # the version of each original that came last before the return, batch or ledger
-        arrived = lines.select("sale_id", "version").unionByName(seen).distinct()
-        arrived = arrived.withColumnsRenamed({"sale_id": "return_for", "version": "o_version"})
-        back = partials.filter("return_for IS NOT NULL")
-        returns = back.select("sale_id", "version", "return_for").distinct()
+        arrived = originals.select(F.col("o_sale_id").alias("return_for"), "o_version").distinct()
         before = (
-            returns.join(arrived, "return_for")
+            back.select("sale_id", "version", "return_for")
+            .distinct()
+            .join(arrived, "return_for")
             .filter("o_version < version")
             .groupBy("sale_id", "version")
             .agg(F.max("o_version").alias("last_version"))
         )
-        stored = known.filter("pid IS NOT NULL").select(*sales._KEYS, *SALE_MEASURES)
-        originals = sales._as_originals(own.unionByName(stored))
         chosen = back.join(before, ["sale_id", "version"], "left")
         cond = (
             (chosen["return_for"] == originals["o_sale_id"])
@@ -186,12 +217,7 @@ class SalesLedger:
         decided = chosen.join(originals, cond, "left").select(
             *sales._KEYS, *sales._measures(S.return_bucket("o_sold", "o_on_sale"))
         )
-        plain = own.filter("return_for IS NULL")
-        gone = (
-            lines.select("sale_id", "version", "return_for", "sale_date")
-            .distinct()
-            .join(partials.select("sale_id", "version").distinct(), ["sale_id", "version"], "left_anti")
-        )
+        gone = fresh.filter("pid IS NULL").select(*sales._KEYS)
         return plain.unionByName(decided).unionByName(gone, allowMissingColumns=True)
 
     def totals(self) -> DataFrame:

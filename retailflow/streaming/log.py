@@ -101,6 +101,9 @@ class Log:
         done = [r for r, finished in self._found().items() if finished]
         return sorted((r for r in done if not any(r.within(o) for o in done)), key=lambda r: r.first)
 
+    def runs_before(self, batch_id: int) -> list[Run]:
+        return [r for r in self.runs() if r.first < batch_id]
+
     def _drop(self, runs) -> None:
         files = self._files()
         for run in runs:
@@ -153,7 +156,9 @@ class Log:
 
     def _load(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], self.stored)
+            # known to be empty when planned, so joins with it vanish
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.stored]
+            return self.spark.range(0).limit(0).select(*nothing)
         reader = self.spark.read.schema(self.stored).option("basePath", self.path)
         return reader.parquet(*paths).select(*self.columns)
 
@@ -166,7 +171,7 @@ class Log:
 
         Rows of the buckets of ``keys`` are returned: a superset of the keys' own.
         """
-        runs = [r for r in self.runs() if before is None or r.first < before]
+        runs = self.runs() if before is None else self.runs_before(before)
         if keys is None:
             df = self._load([self.folder(r) for r in runs])
         else:
@@ -175,7 +180,9 @@ class Log:
 
     def _touched(self, runs: list[Run], keys: DataFrame) -> list[str]:
         """Folders of whole runs, or of single buckets, that may hold the keys."""
-        deepest = max((r.depth for r in runs), default=0)
+        if not runs:
+            return []
+        deepest = max(r.depth for r in runs)
         # at most one number a key, and 2 ** MAX_DEPTH altogether
         deep = [r[0] for r in keys.select(bucket(self.key, deepest)).distinct().collect()]
         touched = []

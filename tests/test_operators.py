@@ -259,6 +259,31 @@ def test_sales_ledger_ignores_how_the_feed_is_cut(spark, tmp_path):
     assert {r[0]: r[-1] for r in results[0]} == {1: DAY, 2: dt.date(2025, 9, 9)}
 
 
+def test_sales_ledger_reads_a_batch_twice_at_most(spark, tmp_path):
+    state, read = sale_state(spark, tmp_path), spark.sparkContext.accumulator(0)
+
+    def batch(*lines):
+        def counted(row):
+            read.add(1)
+            return row
+
+        return spark.createDataFrame(spark.sparkContext.parallelize(list(lines), 1).map(counted), LINE)
+
+    # sales 1 to 8 of two pieces, a line that asks the catalog, a voided line beside a live one, a return
+    first = [line(k, k, 1 + k % 2, 2, 200) for k in range(1, 9)]
+    first += [line(9, 9, 2, 1, 50, full=0), line(8, 8, 1, 5, 500, voided="VOIDED"), line(20, 21, 1, -1, -100, back=2)]
+    state.process(batch(*first), 0)
+    assert totals_of(state) == {1: (7, 0, 1), 2: (9, 0, 0)}
+    # once for lines that name their full price, once for those that ask the catalog
+    assert read.value <= 2 * len(first)
+    read.value = 0
+    # an edit, a return of a sale of an earlier batch, a version that was seen before
+    second = [line(2, 30, 1, 3, 300), line(21, 31, 1, -1, -100, back=4), *[r for r in first if r[0] == 8]]
+    state.process(batch(*second), 1)
+    assert totals_of(state) == {1: (7, 0, 2), 2: (9, 0, 0)}
+    assert read.value <= 2 * len(second)
+
+
 def test_compaction_may_stop_anywhere(spark, tmp_path, monkeypatch):
     state = sale_state(spark, tmp_path)
     for k in range(3):
