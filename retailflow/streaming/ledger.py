@@ -119,9 +119,8 @@ class SalesLedger:
         fresh = sums.join(again, ["sale_id", "version"], "left_anti")
         spread = fresh.groupBy("sale_id").agg(F.min("version").alias("low"), F.max("version").alias("top"))
         several = self._kept(spread.filter("low < top").select("sale_id", "top"), "several")
-        rows = sums.count()
         entries = self._current(self._entries(fresh, known), several).filter("current")
-        self.entries.write(entries.select(*[f.name for f in self.entries.schema]), batch_id, rows)
+        self.entries.write(entries.select(*[f.name for f in self.entries.schema]), batch_id, sums.count())
 
         new = self.entries.batch(batch_id)
         old = known.join(new.select("sale_id"), "sale_id", "left_semi")
@@ -134,14 +133,12 @@ class SalesLedger:
             .unionByName(old.filter("pid IS NOT NULL").select("pid", no_date, *[(-F.col(m)).alias(m) for m in SALE_MEASURES]))
             .unionByName(passed.select("pid", "sale_date", *nothing))
         )
-        self.deltas.write(
-            signed.groupBy("pid").agg(
-                *[F.sum(m).cast(self.deltas.schema[m].dataType).alias(m) for m in SALE_MEASURES],
-                F.max("sale_date").alias("last_sold"),
-            ),
-            batch_id,
-            rows,
+        changes = signed.groupBy("pid").agg(
+            *[F.sum(m).cast(self.deltas.schema[m].dataType).alias(m) for m in SALE_MEASURES],
+            F.max("sale_date").alias("last_sold"),
         )
+        # as many buckets as there are products, which are far fewer than lines
+        self.deltas.write(self._kept(changes, "changes"), batch_id)
         self.entries.fold(batch_id)
         self.deltas.fold(batch_id)
 

@@ -261,6 +261,7 @@ def test_sales_ledger_ignores_how_the_feed_is_cut(spark, tmp_path):
 
 def test_sales_ledger_reads_a_batch_twice_at_most(spark, tmp_path):
     state, read = sale_state(spark, tmp_path), spark.sparkContext.accumulator(0)
+    state.deltas.rows_per_bucket = 2
 
     def batch(*lines):
         def counted(row):
@@ -282,6 +283,8 @@ def test_sales_ledger_reads_a_batch_twice_at_most(spark, tmp_path):
     state.process(batch(*second), 1)
     assert totals_of(state) == {1: (7, 0, 2), 2: (9, 0, 0)}
     assert read.value <= 2 * len(second)
+    # two products are one file, however many lines they have
+    assert {r.depth for r in state.deltas.runs()} == {0}
 
 
 def test_compaction_may_stop_anywhere(spark, tmp_path, monkeypatch):
